@@ -28,8 +28,8 @@ from .tokens import encoder, spread, steps, tokenizer_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 MAX_BITS, STRIDE, BLOCK_IDS = 17, 512, 1 << 20
-#: Ids to a part: what one task sorts and writes.
-PART_IDS = 8 << 20
+#: Ids to a part: what one task sorts and writes. With MOST_PARTS parts, parts grow instead.
+PART_IDS, MOST_PARTS = 8 << 20, 10_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -172,9 +172,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     codes, _, _ = canonical(lengths)
 
+    # the upper ends of parts with about as many documents each, from the ids alone
+    parts = min(MOST_PARTS, max(1, -(-int(counts.sum()) // PART_IDS)))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = np.unique(np.array((shares and tokens.agg(F.percentile_approx("doc_id", shares, 20 * MOST_PARTS)).first()[0]) or [], np.int64))
+
     def compress(batches):
         for batch in batches:
-            for i, j in steps(batch.column(2)):
+            for i, j in steps(batch.column(2), 1 << 20):
                 part = batch.slice(i, j - i)
                 n = part.column(1).to_numpy().astype(np.int64)
                 payload, offsets, within = encode_docs(_flat(part.column(2), wide), n, codes, lengths)
@@ -182,7 +187,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 marks = within[spread(np.cumsum(n) - n, n)][_every(n)].astype("<u8")
                 mark_at = np.concatenate([[0], np.cumsum(lanes)]) * 8
                 binary = lambda at, data: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary(offsets, payload), binary(mark_at, marks)], ["doc_id", "n_tokens", "payload", "marks"])
+                keys = part.column(0).cast(pa.int64())
+                number = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(), side="left")
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), keys, part.column(1), binary(offsets, payload), binary(mark_at, marks)], ["part", "doc_id", "n_tokens", "payload", "marks"])
 
     def block(batches):
         part, start, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -211,9 +218,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield made()[0]
 
-    parts = max(1, -(-int(counts.sum()) // PART_IDS))
-    packed = tokens.mapInArrow(compress, "doc_id long, n_tokens long, payload binary, marks binary")
-    ordered = packed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    packed = tokens.mapInArrow(compress, "part int, doc_id long, n_tokens long, payload binary, marks binary")
+    ordered = packed.repartitionById(len(bounds) + 1, F.col("part")).drop("part").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(block, _BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

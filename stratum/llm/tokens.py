@@ -1,8 +1,9 @@
 """Fast encoding of whole texts with the ``tokenizers`` library.
 
-Both public BPE files split a text before every single space that stands between two characters that aren't white
-space: no pre-token crosses such a place. So a text is cut there, the distinct pieces of a batch are encoded by
-the library once, joined by the special token, and ids are put together by numpy.
+Both public BPE files split a text before a single space that stands between two characters that aren't white space,
+before a punctuation mark after a letter or digit, and around a single line end: no pre-token crosses such a place.
+So a text is cut there, the distinct pieces of a batch are encoded by the library once, many in one call, and ids
+are put together by numpy.
 """
 
 from __future__ import annotations
@@ -35,22 +36,25 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
+#: One that occurs in no text of a batch stands at the cuts.
+_MARKS = ("\x01", "\x02", "\x03", "\x04", "\ue000", "\uf8ff")
+
+
 def pieces(texts: pa.Array, keep_space: bool) -> tuple[pa.Array, np.ndarray]:
     """Pieces of all texts and, by text, the number of pieces. keep_space: a piece after a cut starts with the space."""
-    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-    if odd.any():
-        cut = [_CUT.split(t) for t in texts.to_pylist()]
-        parts = pa.array(cut, pa.list_(pa.string()))
-    else:
-        parts = pc.split_pattern(texts, " ")
-    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = parts.flatten()
-    if keep_space and len(flat):
-        first = np.zeros(len(flat), bool)
-        starts = np.cumsum(counts) - counts
-        first[starts[counts > 0]] = True
-        flat = pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), flat, "")
-    return flat, counts
+    mark = next((m for m in _MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
+    if mark is None:
+        return texts, np.ones(len(texts), np.int64)
+    space = " " if keep_space else ""
+    odd = pc.match_substring_regex(texts, _ODD)
+    marked = pc.replace_substring(texts, " ", mark + space)
+    marked = pc.replace_substring_regex(marked, r"([\pL\pN])([.,;:!?])", rf"\1{mark}\2")
+    marked = pc.replace_substring_regex(marked, rf"([^\s{mark}])\n([^\s{mark}])", f"\\1{mark}\n{mark}\\2")
+    if (n := pc.sum(odd).as_py() or 0) > 0:
+        cut = [(mark + space).join(_CUT.split(t)) for t in texts.filter(odd).to_pylist()]
+        marked = pc.replace_with_mask(marked, odd, pa.array(cut, marked.type)) if n < len(texts) else pa.array(cut, marked.type)
+    parts = pc.split_pattern(marked, mark)
+    return parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def steps(texts: pa.Array, at_once: int = STEP_BYTES):
@@ -165,21 +169,58 @@ class LibraryEncoder(PieceEncoder):
         # a byte-level tokenizer keeps the space before a word; one that drops white space doesn't need it
         super().__init__(keep_space=bool(self.tokenizer.encode(" ", add_special_tokens=False).ids))
 
-    def encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [w for w in new if "<|" not in w and "|>" not in w]
-        lengths = np.zeros(len(new), np.int64)
-        if len(plain) != len(new) or self.separator is None:
-            found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in new]
-            return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        out = []
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        vocab = self.tokenizer.get_vocab()
+        size = max(vocab.values(), default=0) + 1
+        #: ids that begin a piece which starts with a space, or end a piece of letters alone
+        self.begins, self.ends_word = np.zeros(size, bool), np.zeros(size, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _one_call(self, part: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and lengths of pieces that can be told apart by their ids when encoded together."""
+        if self.keep_space:  # each starts with its only space
+            ids = self._ids("".join(part))
+            first = np.flatnonzero(self.begins[ids])
+            lengths = np.diff(first, append=len(ids))
+        else:  # each is one word
+            ids = self._ids(" ".join(part))
+            lengths = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        return (ids, lengths) if len(lengths) == len(part) and lengths.sum() == len(ids) else None
+
+    def _separated(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.separator is not None and not any("<|" in w or "|>" in w for w in part):
+            ids = self._ids(SEPARATOR.join(part))
             cuts = np.flatnonzero(ids == self.separator)
-            ends = np.append(cuts, len(ids))
-            lengths[i : i + len(part)] = np.diff(ends, prepend=-1) - 1
-            out.append(ids[ids != self.separator])
-        return (np.concatenate(out) if out else np.empty(0, np.uint32)), lengths
+            return ids[ids != self.separator], np.diff(np.append(cuts, len(ids)), prepend=-1) - 1
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in part]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _plain(self, w: str) -> bool:
+        if self.keep_space:
+            return w[:1] == " " and w.count(" ") == 1 and not w[-1].isspace() and "<" not in w
+        return w.isalpha() and "\u0130" not in w  # its lower case holds a mark that is no letter
+
+    def encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter(map(self._plain, new), bool, len(new))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n, ids, lengths = int(plain.sum()), [], []
+        for low, high, call in ((0, n, self._one_call), (n, len(new), self._separated)):
+            for i in range(low, high, 2000):
+                part = [new[k] for k in order[i : min(high, i + 2000)]]
+                x = call(part) or self._separated(part)
+                ids.append(x[0])
+                lengths.append(x[1])
+        if not ids:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        flat, size = np.concatenate(ids), np.concatenate(lengths)
+        start = np.empty(len(new), np.int64)
+        start[order] = np.cumsum(size) - size
+        out = np.empty(len(new), np.int64)
+        out[order] = size
+        return flat[spread(start, out)], out
 
 
 _ENCODERS: dict = {}
