@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, text_of
+from .shared import documents, materialize, text_of
 from .tokens import encoder, steps
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,7 +38,8 @@ def histogram(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZE
 
 def limit_table(hist: DataFrame) -> DataFrame:
     """For each length L that occurs, as context limit: documents and tokens of at least L, documents of at most L
-    and their share (the quantile), all tokens, and the tokens left when every document is cut to L."""
+    and their share (the quantile), all tokens, and the tokens left when every document is cut to L. ``hist`` is read
+    twice, so it should be materialised."""
     rows = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("__b"))
     blocks = rows.groupBy("__b").agg(F.sum("n_docs").alias("__d"), F.sum("tokens").alias("__t"))
     # a row for BLOCK lengths: the longest document bounds their number
@@ -68,4 +69,4 @@ def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limit_table(histogram(documents(spark, sf_dir)))
+    return limit_table(materialize(histogram(documents(spark, sf_dir)), "lengths"))
