@@ -85,10 +85,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     sketch = materialize(sketches(stats, len(groups)), "sketch")
     limits = [f"{k}_{e}" for k in SLACK for e in ("lo", "hi")]
     own = bounds(sketch, keys)
-    every = bounds(sketch.groupBy("what", "value").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"])
-    # the bounds of all documents are one row
-    own = own.withColumn("all", F.lit(0)).join(F.broadcast(every.select("all", *[F.col(x).alias(f"all_{x}") for x in limits])), "all")
-    own = own.select(*keys, *[F.when(F.col("docs") >= LEAST, F.col(x)).otherwise(F.col(f"all_{x}")).alias(x) for x in limits])
+    every = bounds(sketch.groupBy("what", "value").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"]).select(*limits).first()  # one row
+    of_all = {x: F.lit(every[x] if every else None).cast("int") for x in limits}
+    own = own.select(*keys, *[F.when(F.col("docs") >= LEAST, F.col(x)).otherwise(of_all[x]).alias(x) for x in limits])
     # a group may hold a third of all rows: its rows go to SALTS parts, its one row of bounds to each
     salted = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
     rows = stats.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")).alias("s")
