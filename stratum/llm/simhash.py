@@ -23,9 +23,9 @@ from .shared import documents, materialize, skew_safe_join, text_of
 
 WORDS, K, SEED, BITS = 3, 2, 42, 64
 #: Classes of a bucket beyond which it is dealt out by further blocks.
-SPLIT = 20_000
-#: Node pairs handled at once.
-PAIRS = 1 << 19
+SPLIT = 5_000
+#: Node pairs handled at once; a level of the trie keeps four times as many waiting at most.
+PAIRS = 1 << 15
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -93,15 +93,14 @@ def trie_pairs(bucket: np.ndarray, fp: np.ndarray, k: int = K):
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     ends = np.append(starts[1:], len(bucket))
     many = ends - starts > 1
-    stack = [(BITS - 1, np.stack([starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), np.int64)]))]
+    stack = [(BITS - 1, np.stack([starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), np.int64)]).astype(np.int32))]
     while stack:
         bit, pairs = stack.pop()
         if not pairs.shape[1]:
             continue
         if pairs.shape[1] > PAIRS:  # the rest waits: memory stays bounded
-            half = pairs.shape[1] // 2
-            stack += [(bit, pairs[:, half:]), (bit, pairs[:, :half])]
-            continue
+            stack.append((bit, pairs[:, PAIRS:].copy()))
+            pairs = pairs[:, :PAIRS].copy()
         small = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
         if small.any() or bit < 0:
             leaf = pairs[:, small]
