@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import documents, materialize, skew_safe_join, text_of
 from .tokens import spread
 
-LENGTH, K, SYMBOL = 400, 32, 50
+LENGTH, K, SYMBOL = 400, 32, 100
 #: Bytes of text that anchors are sought in at once, and bytes of segments compared at once and in one shard.
 PIECE, GROUP, SHARD = 1 << 21, 1 << 21, 1 << 19
 #: Different segments of one anchor beyond which their strings are dealt out by digest.
