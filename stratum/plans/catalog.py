@@ -1,10 +1,467 @@
-"""Named queries of the corpus engine and their SQL."""
+"""Named queries of the corpus engine, each with the SQL that a plain engine would run on the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import align, annotate, index, meta, rank
+from ..sources import conllu
+from ..sources import documents as src
+from . import formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# --- SQL shared by the oracles ------------------------------------------------------------------------------------
+
+_MON = "['JAN','FEB','MRZ','APR','MAI','JUN','JUL','AUG','SEP','OKT','NOV','DEZ']"
+D = f"""d AS (SELECT doc_id, upper(lang) || '24_' || {_MON}[doc_id % 12 + 1] || '.' || CASE WHEN doc_id < 100000 THEN lpad(doc_id::VARCHAR, 5, '0') ELSE doc_id::VARCHAR END AS text_id,
+  upper(lang) || '24' AS corpus, upper(lang) || '24/' || {_MON}[doc_id % 12 + 1] AS doc, text, lang, source FROM documents)"""
+TOK = D + r""",
+pa AS (SELECT text_id, regexp_extract_all(text, '[ \t\n\r\f]+|[\p{L}\p{M}\p{N}_]+|[^ \t\n\r\f\p{L}\p{M}\p{N}_]') AS ps FROM d),
+pc AS (SELECT text_id, unnest(ps) AS piece, unnest(generate_series(1, len(ps))) AS pos FROM pa),
+pp AS (SELECT *, sum(length(piece)) OVER (PARTITION BY text_id ORDER BY pos) AS t, regexp_matches(piece, '^[ \t\n\r\f]') AS sp FROM pc),
+pq AS (SELECT *, coalesce(sum((piece IN ('.', '!', '?') OR (sp AND contains(piece, chr(10))))::INT) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM pp),
+tok AS (SELECT text_id, (row_number() OVER (PARTITION BY text_id ORDER BY pos) - 1)::INT AS tok_idx, (t - length(piece))::INT AS f, t::INT AS t, piece AS surface,
+  (dense_rank() OVER (PARTITION BY text_id ORDER BY part) - 1)::INT AS sent_idx FROM pq WHERE NOT sp),
+sen AS (SELECT text_id, sent_idx, min(f) AS f, max(t) AS t, count(*) AS n FROM tok GROUP BY text_id, sent_idx),
+scan AS (SELECT *, sent_idx <> coalesce(lag(sent_idx) OVER (PARTITION BY text_id ORDER BY tok_idx), 0) AS boundary, row_number() OVER (PARTITION BY text_id, sent_idx ORDER BY tok_idx) AS id FROM tok)"""
+RULE = TOK + r""",
+rule AS (SELECT text_id, tok_idx, sent_idx, f, t, surface, CASE WHEN surface = '|' THEN '--' ELSE lower(surface) END AS lemma,
+  CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'NUM' WHEN NOT regexp_matches(surface, '[\p{L}\p{N}_]') THEN 'PUNCT' WHEN regexp_matches(surface, '^\p{Lu}') THEN 'NOUN' ELSE 'X' END AS upos,
+  CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'CARD' WHEN NOT regexp_matches(surface, '[\p{L}\p{N}_]') THEN '$.' WHEN regexp_matches(surface, '^\p{Lu}') THEN 'NN' ELSE 'XY' END AS xpos,
+  'Len=' || length(surface) || CASE WHEN regexp_matches(surface, '^\p{Lu}') THEN '|Case=Up' ELSE '|Case=Low' END AS feats FROM tok),
+alt AS (SELECT text_id, tok_idx, f, t, CASE WHEN length(surface) % 2 = 0 THEN lower(surface) ELSE lower(surface) || '|' || lower(surface) || 'x' END AS lemma, length(surface) % 2 = 0 AS even FROM tok WHERE tok_idx % 3 = 0),
+dep AS (SELECT text_id, tok_idx, sent_idx, f, t, lag(tok_idx) OVER w AS prev, CASE WHEN lag(tok_idx) OVER w IS NULL THEN 'root' ELSE 'nk' END AS deprel,
+  coalesce(lag(f) OVER w, min(f) OVER s) AS hf, coalesce(lag(t) OVER w, max(t) OVER s) AS ht FROM tok WINDOW w AS (PARTITION BY text_id, sent_idx ORDER BY tok_idx), s AS (PARTITION BY text_id, sent_idx)),
+head AS (SELECT d.*, coalesce(k.tok_idx + 1, 0)::INT AS head FROM dep d LEFT JOIN tok k ON k.text_id = d.text_id AND k.f = d.hf AND k.t = d.ht)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    t = src.texts(spark, d)
+    spans = src.spans(t)
+    return align.token_ids(align.sentence_scan(spans.drop("sent_idx"), spans.groupBy("text_id", "sent_idx").agg(F.max("to").alias("to"))))
+
+
+def _sentences(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("text_id", "sent_idx").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+
+
+# --- text lines ---------------------------------------------------------------------------------------------------
+
+_NOW = "SELECT text_id, '@@' || text_id || ' ' || string_agg(CASE WHEN boundary AND tok_idx > 0 THEN ' <p> ' ELSE '' END || {v}, ' ' ORDER BY tok_idx) AS line FROM scan GROUP BY text_id"
+_W2V = "SELECT text_id, string_agg(CASE WHEN tok_idx = 0 THEN '' WHEN boundary THEN chr(10) ELSE ' ' END || {v}, '' ORDER BY tok_idx) AS lines FROM scan GROUP BY text_id"
+
+
+@query(f"WITH {TOK} {_NOW.format(v='surface')}")
+def now_lines(spark, d):
+    return formats.now_lines(_scan(spark, d), F.col("surface"))
+
+
+@query(f"WITH {TOK} {_NOW.format(v="CASE WHEN surface = '|' THEN '--' ELSE lower(surface) END")}")
+def now_lemma_only(spark, d):
+    rows = _scan(spark, d)
+    return formats.now_lines(rows.join(src.rule_foundry(rows).select("text_id", "from", "to", "lemma"), align.SPAN, "left"), F.coalesce(tx.given(F.col("lemma")), F.lit("_")))
+
+
+@query(f"WITH {TOK} {_W2V.format(v='surface')}")
+def w2v_lines(spark, d):
+    return formats.w2v_lines(_scan(spark, d), F.col("surface"))
+
+
+@query(f"WITH {TOK}, sp AS (SELECT s.*, CASE WHEN regexp_matches(surface, '[\\p{{L}}\\p{{N}}_]') THEN surface ELSE 'P' || surface END AS v FROM scan s) {_W2V.format(v='v').replace('FROM scan', 'FROM sp')}")
+def w2v_lemma(spark, d):
+    rows = _scan(spark, d)
+    m = src.sparse_foundry(rows).select("text_id", "from", "to", F.col("xpos").alias("lemma"))
+    return formats.w2v_lines(rows.join(m, align.SPAN, "left"), F.coalesce(tx.given(F.col("lemma")), F.col("surface")))
+
+
+@query(f"""WITH {TOK}, n AS (SELECT text_id, count(*) AS n FROM tok GROUP BY text_id), m AS (SELECT text_id, source || chr(9) || lang || chr(9) AS m FROM d)
+SELECT text_id, string_agg(CASE WHEN tok_idx = 0 THEN m WHEN boundary THEN chr(10) || CASE WHEN tok_idx >= n - 1 THEN '' ELSE m END ELSE ' ' END || surface, '' ORDER BY tok_idx) AS lines FROM scan JOIN n USING (text_id) JOIN m USING (text_id) GROUP BY text_id""")
+def w2v_meta(spark, d):
+    t = src.texts(spark, d)
+    raw = F.concat(F.lit("<src>"), "source", F.lit("</src><lang>"), "lang", F.lit("</lang>"))
+    m = t.select("text_id", F.array_join(meta.extract(raw, ["<src>(.*?)</src>", "<none>(.*?)</none>", "<lang>(.*?)</lang>"]), "\t").alias("m"))
+    return formats.w2v_lines(_scan(spark, d).join(m, "text_id"), F.col("surface"), F.col("m"))
+
+
+# --- spans --------------------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {TOK} SELECT text_id, tok_idx, f AS "from", t AS "to", surface FROM tok')
+def token_spans(spark, d):
+    return src.tokens(src.texts(spark, d))
+
+
+@query(f'WITH {TOK} SELECT text_id, sent_idx, f AS "from", t AS "to" FROM sen')
+def sentence_spans(spark, d):
+    return src.sentences(src.texts(spark, d))
+
+
+@query(f"WITH {TOK} SELECT text_id, count(*) AS n_tokens, count(DISTINCT sent_idx) AS n_sentences, count(*) FILTER (boundary) AS n_boundaries FROM scan GROUP BY text_id")
+def sentence_counts(spark, d):
+    return _scan(spark, d).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_tokens"), (F.max("sent") + 1).cast("long").alias("n_sentences"), F.count_if("boundary").alias("n_boundaries"))
+
+
+@query(f"WITH {TOK} SELECT text_id, tok_idx, sent_idx AS sent, id::INT AS id, boundary FROM scan")
+def sentence_scan(spark, d):
+    return _scan(spark, d).select("text_id", "tok_idx", "sent", "id", "boundary")
+
+
+@query(rf"WITH {TOK} SELECT text_id, tok_idx, surface FROM tok WHERE regexp_matches(surface, '[\p{{L}}\p{{Nd}}_\p{{So}}\x{{10000}}-\x{{10FFFF}}]')")
+def nonword_filter(spark, d):
+    return src.tokens(src.texts(spark, d)).filter(tx.is_word(F.col("surface"))).select("text_id", "tok_idx", "surface")
+
+
+@query(f"""WITH {TOK}, sp AS (SELECT text_id, sent_idx AS span_id, f + 1 AS f, t + 1 AS t FROM sen)
+SELECT s.text_id, s.span_id, s.f AS "from", s.t AS "to", coalesce(min(k.tok_idx) FILTER (k.f >= s.f AND k.f < s.t), 0) AS token_from, coalesce(max(k.tok_idx) FILTER (k.t <= s.t AND k.t > s.f) + 1, count(*))::INT AS token_to
+FROM sp s JOIN tok k USING (text_id) GROUP BY ALL""")
+def span_token_range(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    moved = _sentences(spans).select("text_id", F.col("sent_idx").alias("span_id"), (F.col("from") + 1).alias("from"), (F.col("to") + 1).alias("to"))
+    return align.token_range(moved, spans)
+
+
+@query(f"WITH {TOK} SELECT text_id, sent_idx, min(tok_idx) AS first_tok, max(tok_idx) AS last_tok FROM tok GROUP BY ALL")
+def sentence_token_range(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    return align.contained(_sentences(spans), spans)
+
+
+@query(f"WITH {TOK} SELECT text_id, sent_idx AS sent, min(f) || ' ' || string_agg(f::VARCHAR, ' ' ORDER BY tok_idx) AS start_offsets, max(t) || ' ' || string_agg(t::VARCHAR, ' ' ORDER BY tok_idx) AS end_offsets FROM tok GROUP BY ALL")
+def conllu_offsets(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    return formats.offset_comments(_scan(spark, d), _sentences(spans))
+
+
+# --- annotation ---------------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {RULE} SELECT text_id, f AS "from", t AS "to", tok_idx, surface, lemma, upos, xpos, feats FROM rule')
+def morpho_join(spark, d):
+    t = src.tokens(src.texts(spark, d))
+    return align.with_morpho(t, src.rule_foundry(t)).drop("misc")
+
+
+@query(rf"""WITH {TOK} SELECT text_id, f AS "from", t AS "to", tok_idx, surface, CASE WHEN NOT regexp_matches(surface, '[\p{{L}}\p{{N}}_]') THEN 'P' || surface END AS xpos FROM tok""")
+def sparse_join(spark, d):
+    t = src.tokens(src.texts(spark, d))
+    return align.with_morpho(t, src.sparse_foundry(t)).select("text_id", "from", "to", "tok_idx", "surface", "xpos")
+
+
+@query(f"""WITH {RULE}, a AS (SELECT text_id, f, t, xpos FROM rule WHERE tok_idx % 2 = 0), b AS (SELECT text_id, f, t, deprel, hf, ht FROM dep WHERE tok_idx % 3 = 0)
+SELECT coalesce(a.text_id, b.text_id) AS text_id, coalesce(a.f, b.f) AS "from", coalesce(a.t, b.t) AS "to", xpos, deprel, hf AS head_from, ht AS head_to FROM a FULL JOIN b ON a.text_id = b.text_id AND a.f = b.f AND a.t = b.t""")
+def morpho_dep_merge(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    idx = spans.select("text_id", "from", "to", "tok_idx")
+    m = src.rule_foundry(spans.filter("tok_idx % 2 = 0")).select("text_id", "foundry", "from", "to", "xpos")
+    dep = src.dependencies(spans).join(idx.filter("tok_idx % 3 = 0"), align.SPAN, "left_semi")
+    return align.merge_dependency(m, dep)
+
+
+@query(f"WITH {RULE} SELECT text_id, tok_idx, head, deprel FROM head")
+def dep_heads(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    return align.heads(spans.drop("sent_idx"), src.dependencies(spans)).select("text_id", "tok_idx", "head", "deprel")
+
+
+@query(f"WITH {RULE} SELECT text_id, head - 1 AS tok_idx, tok_idx AS other, deprel FROM head WHERE head > 0")
+def dep_inverse(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    return align.edges(spans.drop("sent_idx"), src.dependencies(spans)).filter("kind = 'in'").select("text_id", "tok_idx", "other", "deprel")
+
+
+@query(f"WITH {RULE} SELECT text_id, tok_idx, deprel FROM head WHERE head = 0 AND hf = 0")
+def dep_roots(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    return align.edges(spans.drop("sent_idx"), src.dependencies(spans)).filter("kind = 'root'").select("text_id", "tok_idx", "deprel")
+
+
+@query(f"""WITH {RULE} SELECT text_id, f AS "from", t AS "to", CASE WHEN even THEN 'ADV|KON' ELSE 'KON|ADV' END AS xpos, CASE WHEN even THEN '0.785|0.215' ELSE '0.800|0.200' END AS misc,
+CASE WHEN even THEN lemma ELSE split_part(lemma, '|', 2) || '|' || split_part(lemma, '|', 1) END AS lemma FROM alt""")
+def readings_sorted(spark, d):
+    a = src.alt_foundry(src.tokens(src.texts(spark, d)))
+    x, m = F.col("xpos"), F.col("misc")
+    # new names first: inside lambdas a name may mean a column of the same select
+    rows = a.select("text_id", "from", "to", rank.sorted_pos(x, m).alias("__x"), rank.sorted_misc(x, m).alias("__m"), rank.sorted_lemma(F.col("lemma"), x, m).alias("__l"))
+    return rows.toDF("text_id", "from", "to", "xpos", "misc", "lemma")
+
+
+@query(f"""WITH {RULE} SELECT text_id, f AS "from", t AS "to", CASE WHEN even THEN 'alt/p:ADV$<b>129<b>200 alt/p:KON$<b>129<b>55' ELSE 'alt/p:KON$<b>129<b>204 alt/p:ADV$<b>129<b>51' END AS annotations FROM alt""")
+def pos_payload(spark, d):
+    a = src.alt_foundry(src.tokens(src.texts(spark, d)))
+    return a.select("text_id", "from", "to", F.array_join(rank.payloads(F.col("foundry"), F.col("xpos"), F.col("misc")), " ").alias("annotations"))
+
+
+@query(f"WITH {RULE} SELECT text_id, tok_idx, 'rule/m:case:' || CASE WHEN feats LIKE '%Up' THEN 'up' ELSE 'low' END || ' rule/m:len:' || length(surface) AS feats FROM rule")
+def feats_sorted(spark, d):
+    t = src.tokens(src.texts(spark, d))
+    return align.with_morpho(t, src.rule_foundry(t)).select("text_id", "tok_idx", F.array_join(rank.features(F.lit("rule"), F.col("feats")), " ").alias("feats"))
+
+
+def _conllu(spark, d) -> DataFrame:
+    rows = _scan(spark, d)
+    spans = src.spans(src.texts(spark, d))
+    full = align.heads(rows, src.dependencies(spans)).drop("head_from", "head_to")
+    return align.with_morpho(full, src.rule_foundry(rows))
+
+
+@query(f"""WITH {RULE} SELECT r.text_id, r.tok_idx, r.sent_idx AS sent, s.id::VARCHAR AS id, r.surface AS form, lemma, upos, xpos, feats, h.head::VARCHAR AS head, deprel, '_' AS deps, '_' AS misc
+FROM rule r JOIN head h USING (text_id, tok_idx) JOIN scan s USING (text_id, tok_idx)""")
+def conllu_rows(spark, d):
+    return formats.conllu_rows(_conllu(spark, d))
+
+
+@query(f"WITH {RULE} SELECT r.text_id, r.tok_idx, s.id || chr(9) || r.surface || chr(9) || lemma || chr(9) || upos || chr(9) || xpos AS line FROM rule r JOIN scan s USING (text_id, tok_idx)")
+def conllu_cols5(spark, d):
+    return formats.conllu_rows(_conllu(spark, d)).select("text_id", "tok_idx", formats.conllu_line(5).alias("line"))
+
+
+def _conllu_texts(spark, d) -> DataFrame:
+    spans = src.spans(src.texts(spark, d))
+    return formats.conllu_texts(formats.conllu_rows(_conllu(spark, d)), formats.offset_comments(_scan(spark, d), _sentences(spans)), "rule")
+
+
+@query(f"""WITH {RULE} SELECT r.text_id, 'rule' AS foundry, r.sent_idx, s.id::INT AS id, r.surface AS form, lemma, upos, xpos, feats, h.head::VARCHAR AS head, deprel, NULL::VARCHAR AS deps, NULL::VARCHAR AS misc, r.f AS "from", r.t AS "to"
+FROM rule r JOIN head h USING (text_id, tok_idx) JOIN scan s USING (text_id, tok_idx)""")
+def conllu_parse(spark, d):
+    """Layers to CoNLL-U and back."""
+    return conllu.parse(_conllu_texts(spark, d).select(F.col("text_id").alias("file"), F.col("conllu").alias("content")))
+
+
+@query()
+def conllu_texts(spark, d):
+    return _conllu_texts(spark, d)
+
+
+@query(f"""WITH {RULE} SELECT text_id, f AS "from", t AS "to", 'tagged' AS foundry, lower(surface) AS lemma, xpos FROM rule""")
+def rule_tagger(spark, d):
+    return annotate.tag(src.spans(src.texts(spark, d)), annotate.REGISTRY["rule"], "tagged")
+
+
+@query(f"WITH {TOK} SELECT text_id, '@@' || text_id || ' ' || string_agg(surface, ' ' ORDER BY tok_idx) || chr(10) AS output FROM tok GROUP BY text_id")
+def external_pipe(spark, d):
+    rows = _scan(spark, d).withColumn("boundary", F.lit(False))
+    return annotate.pipe(formats.now_lines(rows, F.col("surface")).select("text_id", F.concat("line", F.lit("\n")).alias("conllu")), "cat")
+
+
+# --- index --------------------------------------------------------------------------------------------------------
+
+@query(rf"""WITH {TOK}, x AS (SELECT text_id, bool_or(NOT regexp_matches(surface, '[\p{{L}}\p{{N}}_]')) AS s FROM tok GROUP BY text_id)
+SELECT text_id, 'alt/l=tokens alt/p=tokens dep/d=rels rule/l=tokens rule/m=tokens rule/p=tokens rule/u=tokens' || CASE WHEN s THEN ' sparse/p=tokens' ELSE '' END AS layer_infos,
+'alt alt/morpho dep dep/dependency rule rule/morpho' || CASE WHEN s THEN ' sparse sparse/morpho' ELSE '' END AS foundries FROM x""")
+def layer_infos(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    m = src.rule_foundry(spans).unionByName(src.alt_foundry(spans)).unionByName(src.sparse_foundry(spans))
+    return index.layer_summary(index.layer_infos(m, src.dependencies(spans)))
+
+
+def _index_rows(spark, d) -> DataFrame:
+    spans = src.spans(src.texts(spark, d))
+    s = _sentences(spans)
+    ranges = align.token_range(s.select("text_id", F.col("sent_idx").alias("span_id"), "from", "to"), spans)
+    ranges = ranges.select("text_id", F.lit("base/s:s").alias("layer"), "from", "to", F.lit(2).alias("depth"), "token_from", "token_to")
+    return index.token_annotations(spans.drop("sent_idx"), s, ranges, src.rule_foundry(spans), align.edges(spans.drop("sent_idx"), src.dependencies(spans)), "dep")
+
+
+_STREAM = rf"""WITH {RULE}, esc AS (SELECT *, replace(replace(surface, '#', '\#'), '$', '\$') AS es FROM tok),
+ann AS (SELECT text_id, 0 AS tok_idx, 0 AS c, 1 AS o, '' AS o2, '-:base/sentences$<i>' || count(*) AS v FROM sen GROUP BY text_id
+UNION ALL SELECT text_id, 0, 0, 2, '', '-:tokens$<i>' || count(*) FROM tok GROUP BY text_id
+UNION ALL SELECT s.text_id, min(k.tok_idx), 1, 0, '', '<>:base/s:s$<b>64<i>' || s.f || '<i>' || s.t || '<i>' || (max(k.tok_idx) + 1) || '<b>2' FROM sen s JOIN tok k USING (text_id, sent_idx) GROUP BY s.text_id, s.sent_idx, s.f, s.t
+UNION ALL SELECT text_id, tok_idx, 2, 0, '', '_' || tok_idx || '$<i>' || f || '<i>' || t FROM tok
+UNION ALL SELECT text_id, tok_idx, 3, 0, '', 'i:' || lower(es) FROM esc
+UNION ALL SELECT text_id, tok_idx, 4, 0, '', 'base/p:_' FROM tok WHERE NOT regexp_matches(surface, '[\p{{L}}\p{{Nd}}_\p{{So}}\x{{10000}}-\x{{10FFFF}}]')
+UNION ALL SELECT text_id, head - 1, 5, tok_idx, deprel, '<:dep/d:' || deprel || '$<b>32<i>' || tok_idx FROM head WHERE head > 0
+UNION ALL SELECT text_id, tok_idx, 6, 0, '', '>:dep/d:' || deprel || '$<b>32<i>' || (head - 1) FROM head WHERE head > 0
+UNION ALL SELECT text_id, tok_idx, 6, 0, '', '<:dep/d:' || deprel || '$<b>34<i>' || f || '<i>' || t || '<i>' || tok_idx || '<i>1' FROM head WHERE head = 0 AND hf = 0
+UNION ALL SELECT text_id, tok_idx, 6, 1, '', 'rule/m:case:' || CASE WHEN feats LIKE '%Up' THEN 'up' ELSE 'low' END FROM rule
+UNION ALL SELECT text_id, tok_idx, 6, 2, '', 'rule/m:len:' || length(surface) FROM rule
+UNION ALL SELECT text_id, tok_idx, 6, 3, '', 'rule/p:' || replace(xpos, '$', '\$') FROM rule
+UNION ALL SELECT text_id, tok_idx, 6, 4, '', 'rule/l:' || replace(replace(lemma, '#', '\#'), '$', '\$') FROM rule
+UNION ALL SELECT text_id, tok_idx, 6, 5, '', 'rule/u:' || upos FROM rule
+UNION ALL SELECT text_id, tok_idx, 7, 0, '', 's:' || es FROM esc)"""
+
+
+@query(_STREAM + " SELECT text_id, tok_idx, string_agg(v, ' ' ORDER BY c, o2, o) AS stream FROM ann GROUP BY ALL")
+def index_stream(spark, d):
+    return index.streams(_index_rows(spark, d)).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
+
+
+@query(_STREAM + " SELECT text_id, tok_idx, string_agg(v, ' ' ORDER BY c, o2, o) AS stream FROM (SELECT text_id, tok_idx, c, o, o2, v FROM ann WHERE NOT starts_with(v, 'rule/') UNION ALL SELECT text_id, tok_idx, 6, 1, '', 'rule/p:NEW' FROM tok) GROUP BY ALL")
+def patch_foundries(spark, d):
+    """An update that supplies the rule foundry anew."""
+    t = src.tokens(src.texts(spark, d))
+    new = t.select("text_id", "tok_idx", F.lit(index.CLASSES.index("foundry")).alias("class"), F.lit("rule").alias("owner"), F.lit("000000").alias("ord"), F.lit("rule/p:NEW").alias("value"))
+    return index.streams(index.patch_foundries(_index_rows(spark, d), new)).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
+
+
+def _fields(spark, d) -> DataFrame:
+    return index.fields(src.texts(spark, d), {"availability": ("type:string", F.when(F.col("doc_id") % 2 == 0, F.col("source"))), "language": ("type:string", F.col("lang")), "title": ("type:text", F.concat(F.lit("T"), F.col("doc_id").cast("string")))})
+
+
+_FIELDS = """f AS (SELECT text_id, pos, key, type, value FROM (SELECT text_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['corpusSigle', 'docSigle', 'textSigle', 'availability', 'language', 'title']) AS key,
+unnest(['type:string', 'type:string', 'type:string', 'type:string', 'type:string', 'type:text']) AS type, unnest([corpus, doc, replace(replace(text_id, '_', '/'), '.', '/'), CASE WHEN doc_id % 2 = 0 THEN source END, lang, 'T' || doc_id]) AS value FROM d) WHERE value IS NOT NULL)"""
+
+
+@query(f"WITH {D}, {_FIELDS} SELECT text_id, pos, key, type, value FROM f")
+def index_fields(spark, d):
+    return _fields(spark, d)
+
+
+@query(f"""WITH {D}, {_FIELDS}, o AS (SELECT text_id, pos, key, type, value FROM f WHERE key <> 'title' UNION ALL SELECT text_id, pos, key, type, 'new' FROM f WHERE key = 'title' UNION ALL SELECT text_id, 1000000, 'award', 'type:keywords', 'a' FROM d)
+SELECT text_id, (row_number() OVER (PARTITION BY text_id ORDER BY pos, key) - 1)::INT AS pos, key, type, value FROM o""")
+def patch_fields(spark, d):
+    new = src.texts(spark, d).select("text_id", F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("key"), F.lit(t).alias("type"), F.lit(v).alias("value")) for p, k, t, v in ((0, "title", "type:text", "new"), (0, "award", "type:keywords", "a"))])).alias("f")).select("text_id", "f.*")
+    return index.patch_fields(_fields(spark, d), new)
+
+
+@query()
+def index_json(spark, d):
+    spans = src.spans(src.texts(spark, d))
+    summary = index.layer_summary(index.layer_infos(src.rule_foundry(spans), src.dependencies(spans)))
+    return index.documents(src.texts(spark, d), _fields(spark, d), summary, index.streams(_index_rows(spark, d)))
+
+
+@query()
+def morpho_xml(spark, d):
+    t = src.tokens(src.texts(spark, d))
+    return formats.morpho_xml(align.with_morpho(t, src.alt_foundry(t)))
+
+
+# --- texts and metadata -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D} SELECT text_id, doc_id FROM d WHERE regexp_matches(text_id, 'DE24_(JAN|MRZ)')")
+def sigle_filter(spark, d):
+    return src.texts(spark, d).filter(F.col("text_id").rlike("DE24_(JAN|MRZ)")).select("text_id", "doc_id")
+
+
+@query(f"WITH {D} SELECT text_id, row_number() OVER (PARTITION BY corpus ORDER BY doc_id % 12, doc_id) AS position FROM d")
+def text_order(spark, d):
+    t = src.texts(spark, d)
+    return t.select("text_id", F.row_number().over(Window.partitionBy("corpus").orderBy(tx.order_key(F.col("text_id")))).cast("long").alias("position"))
+
+
+@query(f"WITH {D} SELECT text_id, replace(replace(text_id, '_', '/'), '.', '/') AS sigle, replace(replace(text_id, '_', '-'), '.', '-') AS file_name, text_id AS back FROM d")
+def text_ids(spark, d):
+    t = src.texts(spark, d).select("text_id")
+    return t.select("text_id", tx.sigle(F.col("text_id")).alias("sigle"), tx.file_name(F.col("text_id")).alias("file_name"), tx.text_id(F.concat(tx.sigle(F.col("text_id")), F.lit("/data.xml"))).alias("back"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS dotted, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y') AS year FROM orders""")
+def date_normalise(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    f = lambda p: F.date_format("o_orderdate", p)
+    n = tx.normalise_date
+    return o.select("o_orderkey", n(f("yyyy.M.d")).alias("iso"), n(F.concat(F.lit("Donnerstag,  "), f("d.M.yyyy"))).alias("dotted"), n(F.concat(f("yyyy.MM"), F.lit("-1999.01"))).alias("month"), n(F.concat(F.lit("im Jahr "), f("yyyy"))).alias("year"))
+
+
+@query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title, nullif(regexp_extract(html, '<html lang=.([a-z]+).', 1), '') AS language FROM pages")
+def header_fields(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    get = lambda r: F.nullif(F.trim(F.regexp_extract("html", r, 1)), F.lit(""))
+    return p.select("page_id", get("(?s)<title>(.*?)</title>").alias("title"), get("<html lang=.([a-z]+).").alias("language"))
+
+
+@query(f"""WITH {D}, t AS (SELECT text_id, doc, corpus, CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN source END AS place, CASE WHEN doc_id % 5 = 0 THEN '2020' END AS cd, CASE WHEN doc_id % 7 = 0 THEN '2021' END AS pd FROM d)
+SELECT text_id, coalesce(nullif(trim(place), ''), CASE WHEN doc LIKE '%/JAN' OR doc LIKE '%/FEB' THEN 'doc ' || doc END, 'corpus ' || corpus) AS "pubPlace", coalesce(cd, pd) AS "creationDate", coalesce(pd, cd) AS "pubDate" FROM t""")
+def meta_inherit(spark, d):
+    k = F.col("doc_id")
+    t = src.texts(spark, d).select("text_id", "doc", "corpus", F.when(k % 3 == 0, " ").when(k % 3 == 1, F.col("source")).alias("pubPlace"), F.when(k % 5 == 0, "2020").alias("creationDate"), F.when(k % 7 == 0, "2021").alias("pubDate"))
+    none = F.lit(None).cast("string")
+    docs = t.select("doc").distinct().select("doc", F.when(F.col("doc").rlike("/(JAN|FEB)$"), F.concat(F.lit("doc "), F.col("doc"))).alias("pubPlace"), none.alias("creationDate"), none.alias("pubDate"))
+    corpora = t.select("corpus").distinct().select("corpus", F.concat(F.lit("corpus "), F.col("corpus")).alias("pubPlace"), none.alias("creationDate"), none.alias("pubDate"))
+    return meta.inherit(t, docs, corpora, ["pubPlace", "creationDate", "pubDate"]).select("text_id", "pubPlace", "creationDate", "pubDate")
+
+
+@query(f"WITH {D} SELECT CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS availability, count(*) AS n FROM d GROUP BY 1")
+def availability_default(spark, d):
+    t = src.texts(spark, d)
+    return t.select(meta.default_availability(F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("source"))).alias("availability")).groupBy("availability").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest([1, 2, 3]) AS n, unnest(['q' || quality, 't' || toxic, 'x']) AS topic, unnest([0.9, quality * 0.5, 0.7]) AS cert FROM labels)
+SELECT doc_id::VARCHAR AS text_id, 'labels' AS key, string_agg(topic, ' ' ORDER BY n) AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM c WHERE cert >= 0.4) WHERE r <= 2 GROUP BY doc_id""")
+def standoff_keywords(spark, d):
+    rows = spark.read.parquet(f"{d}/labels.parquet")
+    each = F.array(*[F.struct(F.lit(i).alias("n"), t.alias("topic"), c.alias("cert")) for i, (t, c) in enumerate(((F.concat(F.lit("q"), F.col("quality").cast("string")), F.lit(0.9)), (F.concat(F.lit("t"), F.col("toxic").cast("string")), F.col("quality") * 0.5), (F.lit("x"), F.lit(0.7))), 1)])
+    classes = rows.select(F.col("doc_id").cast("string").alias("text_id"), F.lit("labels").alias("key"), F.explode(each).alias("c")).select("text_id", "key", "c.*")
+    return meta.keywords(classes, 0.4, 2).select("text_id", "key", F.array_join("value", " ").alias("value"))
+
+
+@query(f"""WITH {D}, a AS (SELECT text_id, 'lang' AS key, lang AS value, 0 AS p FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT text_id, 'lang', corpus, 1 FROM d UNION ALL SELECT text_id, 'src', source, 1 FROM d)
+SELECT text_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY text_id, key ORDER BY p) AS r FROM a) WHERE r = 1""")
+def xeno_precedence(spark, d):
+    t = src.texts(spark, d)
+    one = lambda df, k, v: df.select("text_id", F.lit(k).alias("key"), F.col(v).alias("value"))
+    return meta.precedence(one(t.filter("doc_id % 2 = 0"), "lang", "lang"), one(t, "lang", "corpus").unionByName(one(t, "src", "source")))
+
+
+@query(f"""WITH {D}, r AS (SELECT text_id, CASE doc_id % 4 WHEN 0 THEN 'U24' WHEN 1 THEN 'W24' WHEN 2 THEN corpus ELSE 'ZZ99' END AS c, doc_id FROM d)
+SELECT text_id, CASE WHEN doc_id % 5 = 0 THEN 'https://en.example.org/wiki/' || doc_id WHEN c = 'U24' THEN 'https://archive.example.org/?id=' || doc_id WHEN c = 'W24' THEN 'https://news.example.org/WELT__' || doc_id END AS link,
+CASE WHEN doc_id % 5 = 0 THEN 'Wikipedia' WHEN c = 'U24' THEN 'Archive' WHEN c = 'W24' THEN 'News' END AS link_title FROM r""")
+def ext_link(spark, d):
+    k = F.col("doc_id")
+    t = src.texts(spark, d)
+    rows = t.select(
+        "text_id", F.when(k % 4 == 0, "U24").when(k % 4 == 1, "W24").when(k % 4 == 2, F.col("corpus")).otherwise("ZZ99").alias("corpus"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("ID: "), k.cast("string"), F.lit(" x")).alias("note"),
+        F.when(k % 5 == 0, F.concat(F.lit("Page. URL:https://en.example.org/wiki/"), k.cast("string"), F.lit(": Wikipedia, 2024"))).alias("reference"),
+    )
+    names = spark.createDataFrame([("w", "WELT"), ("u", "UNUSED")], "code string, name string")
+    return meta.external_link(rows, names, volume=(r"^U\d{2}$", "https://archive.example.org/?id=", "Archive"), archive=("https://news.example.org/", "News")).select("text_id", "link", "link_title")
+
+
+@query(f"WITH {TOK} SELECT text_id, doc_id FROM d WHERE text_id IN (SELECT text_id FROM tok) AND doc_id IN (SELECT doc_id FROM labels)")
+def readiness(spark, d):
+    t = src.texts(spark, d)
+    labels = t.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    return align.ready(t, src.tokens(t), labels).select("text_id", "doc_id")
+
+
+@query(f"WITH {D} SELECT text_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_texts(spark, d):
+    return src.texts(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id", "left_anti").select("text_id")
+
+
+@query(f"WITH {D} SELECT DISTINCT text_id FROM d WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def text_union(spark, d):
+    t = src.texts(spark, d)
+    return t.filter("doc_id % 2 = 0").select("text_id").unionByName(t.filter("doc_id % 3 = 0").select("text_id")).dropDuplicates(["text_id"])
+
+
+_TURNS = """c AS (SELECT conv_id, turn, role, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM conversations)"""
+
+
+def _turns(spark, d) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("int")
+    return c.select(F.col("conv_id").cast("string").alias("text_id"), "turn", "role", start.alias("from"), (start + F.length("text")).cast("int").alias("to"))
+
+
+@query(f'WITH {_TURNS} SELECT conv_id::VARCHAR AS text_id, turn, f::INT AS "from", (f + n)::INT AS "to" FROM c')
+def posting_fallback(spark, d):
+    t = _turns(spark, d)
+    named = t.withColumn("name", F.lit("posting")).unionByName(t.withColumn("name", F.lit("u")))
+    return align.fallback_sentences(named).select("text_id", "turn", "from", "to")
+
+
+@query(f"WITH {_TURNS} SELECT conv_id::VARCHAR AS text_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS tok_idx, '# posting/role = ' || role AS lines FROM c")
+def attr_comments(spark, d):
+    t = _turns(spark, d)
+    tokens = t.select("text_id", (F.row_number().over(Window.partitionBy("text_id").orderBy("turn")) - 1).alias("tok_idx"), "from", "to")
+    return align.attribute_lines(t.select("text_id", "from", F.col("turn").cast("int").alias("pos"), F.concat(F.lit("# posting/role = "), "role").alias("line")), tokens)
