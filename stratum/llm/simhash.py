@@ -22,6 +22,9 @@ from .graph import components
 from .shared import documents, materialize, skew_safe_join, text_of
 
 WORDS, K, SEED, BITS = 3, 2, 42, 64
+#: For similarity of five-word shingles: the budget holds 3.5 standard deviations of a pair at 0.8; bins of a signature,
+#: whose estimate at 0.8 has a deviation of 0.035, and the estimate that counts; minima by which candidates meet.
+SIMILAR_WORDS, SIMILAR_K, BINS, ESTIMATE, MINIMA = 5, 20, 128, 0.77, 4
 #: Classes of a bucket beyond which it is dealt out by further blocks.
 SPLIT = 5_000
 #: Node pairs handled at once; a level of the trie keeps four times as many waiting at most.
@@ -208,6 +211,93 @@ def links(classes: DataFrame, k: int = K, split: int = SPLIT) -> DataFrame:
     return dealt.repartition("block", "key").mapInArrow(run, "a long, b long")
 
 
+def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, MINIMA minima of shingle hashes, BINS 16-bit minima by bin; 0: an empty bin)."""
+    from xxhash import xxh64_intdigest
+
+    fp, keys, sig = np.zeros(len(texts), np.uint64), np.zeros((len(texts), MINIMA), np.uint64), np.zeros((len(texts), BINS), np.uint16)
+    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+    for i, text in enumerate(texts):
+        w = text.encode().lower().split()
+        n = len(w) - words + 1
+        shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if n > 0 else [b" ".join(w)] if w else []
+        h = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+        if not len(h):
+            continue
+        count = np.zeros(64, np.int64)
+        for at in range(0, len(h), 4096):
+            count += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint16)
+        fp[i] = np.packbits(count * 2 > len(h)).view(">u8")[0]
+        keys[i] = [((h * x) ^ (h >> np.uint64(29))).min() for x in odd[:MINIMA]]
+        h.sort()
+        bins = (h & np.uint64(BINS - 1)).astype(np.int64)
+        at = np.unique(bins, return_index=True)
+        sig[i, at[0]] = ((h[at[1]] >> np.uint64(24)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return fp, keys, sig
+
+
+def _similar_links(classes: DataFrame, k: int, split: int) -> DataFrame:
+    """(a, b) of classes (fp, keys, sig) that meet at a minimum, pass the trie's budget and the signature's estimate."""
+    rows = materialize(classes.select("fp", "keys", "sig", F.posexplode("keys").alias("i", "v")).select("fp", "keys", "sig", "i", F.xxhash64("i", "v").alias("key")), "minima")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    big = sizes.filter(F.col("n") > split).select("key")
+    marked = rows.join(big.withColumn("big", F.lit(True)), "key", "left")
+    # a minimum that very many share says little: there two must be shared
+    second = F.when(F.col("big"), F.transform(F.filter(F.transform("keys", lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda s: s["j"] != F.col("i")), lambda s: F.xxhash64("key", s["x"], F.least(s["j"], F.col("i"))))).otherwise(F.array("key"))
+    dealt = marked.select("fp", "sig", F.explode(second).alias("key"))
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        fp, key = t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
+        order = np.lexsort((fp, key))
+        bucket = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
+        fp, sig = fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, BINS)
+        forest = Forest(len(fp))
+        for i, j in trie_pairs(bucket, fp, k):
+            apart = forest._find(i) != forest._find(j)  # a pair already joined needs no comparison
+            i, j = i[apart], j[apart]
+            for at in range(0, len(i), 4096):
+                x, y = sig[order[i[at : at + 4096]]], sig[order[j[at : at + 4096]]]
+                either = ((x | y) != 0).sum(1)
+                near = ((x == y) & (x != 0)).sum(1) >= ESTIMATE * np.maximum(1, either)
+                forest.add(i[at : at + 4096][near], j[at : at + 4096][near])
+        x, root = forest.links()
+        fp = fp.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[root])], ["a", "b"])
+
+    return dealt.repartition("key").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, k: int = SIMILAR_K, split: int = SPLIT) -> DataFrame:
+    """As ``near_duplicates``, for a similarity of about 0.8 of five-word shingles, which lies 10 bits apart on average:
+    too many for blocks of bits, so classes meet by minima of their shingles, and the trie works within those buckets."""
+
+    def run(batches):
+        for batch in batches:
+            fp, keys, sig = _signatures(batch.column(1).to_pylist(), words)
+            minima = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * MINIMA), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2), minima, pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "fp", "same", "keys", "sig"])
+
+    t = text_of(text_col)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("__text"), F.xxhash64(t).alias("same"))
+    rows = materialize(narrow.mapInArrow(run, "doc_id long, fp long, same long, keys array<long>, sig binary"), "signatures")
+    per = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("keys", "sig")).alias("s"))
+    classes = materialize(per.select("fp", "least", "n", "s.keys", "s.sig"), "classes")
+    linked = components(_similar_links(classes.select("fp", "keys", "sig"), k, split))
+    return _named(rows.select("doc_id", "fp", "same"), classes.select("fp", "least", "n"), linked)
+
+
+def _named(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows with the smallest id of their component. components are of fingerprints."""
+    placed = materialize(classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")), "placed")
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(placed.join(names, "component").select("fp", "component_id", "n"), "named")
+    return skew_safe_join(rows, named, "fp", "n", rows.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
     """(doc_id, fp, same, component_id, n) for every row; n: rows with this fingerprint."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -215,18 +305,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = materialize(per.select("fp", "least", "n"), "classes")
     nodes = classes.select(F.col("fp").alias("id"), "fp")
-    linked = components(links(nodes, k))
-    # components are of fingerprints; each is named by the smallest id in it
-    placed = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    placed = materialize(placed, "placed")
-    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(placed.join(names, "component").select("fp", "component_id", "n"), "named")
-    return skew_safe_join(rows, named, "fp", "n", rows.count())
+    return _named(rows, classes, components(links(nodes, k)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id (of rows that share it, one), with all columns."""
-    found = near_duplicates(docs, id_col, text_col)
+    """Of each group of similar documents the row with the smallest id (of rows that share it, one), with all columns."""
+    found = similar_documents(docs, id_col, text_col)
     low = -(1 << 63)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("doc_id", F.lit(low)).alias("__key"), F.col("component_id").alias("__c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("__f")).agg(F.min("same").alias("__same")).select("__key", "__same").distinct()
     keyed = docs.withColumns({"__key": F.coalesce(F.col(id_col).cast("long"), F.lit(low)), "__same": F.xxhash64(text_of(text_col))})
