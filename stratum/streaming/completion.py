@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def complete_texts(arrivals: DataFrame, expected: list[str], wait_ms: int = 86_400_000) -> DataFrame:
+def complete_texts(arrivals: DataFrame, expected: list[str], wait_ms: int | None = 86_400_000) -> DataFrame:
     """(text_id, foundries, complete) of a stream of (text_id, foundry). A text that isn't complete after ``wait_ms``
-    without news is emitted as incomplete, and its state is dropped."""
+    without news is emitted as incomplete, and its state is dropped; None waits for ever."""
     wanted = frozenset(expected)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,6 +29,7 @@ def complete_texts(arrivals: DataFrame, expected: list[str], wait_ms: int = 86_4
             yield pd.DataFrame({"text_id": [key[0]], "foundries": [",".join(sorted(seen))], "complete": [True]})
         else:
             state.update((",".join(sorted(seen)),))
-            state.setTimeoutDuration(wait_ms)
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
 
-    return arrivals.groupBy("text_id").applyInPandasWithState(step, "text_id string, foundries string, complete boolean", "seen string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return arrivals.groupBy("text_id").applyInPandasWithState(step, "text_id string, foundries string, complete boolean", "seen string", "append", GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -187,6 +187,6 @@ def test_completion(spark, tmp_path):
     for i, (t, f) in enumerate([("a", "base"), ("b", "base"), ("a", "tt")]):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"text_id": t, "foundry": f}))
     stream = spark.readStream.schema("text_id string, foundry string").json(str(tmp_path / "in"))
-    q = complete_texts(stream, ["base", "tt"]).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = complete_texts(stream, ["base", "tt"], None).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("done").collect()] == [("a", "base,tt", True)]
