@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +36,7 @@ rule AS (SELECT text_id, tok_idx, sent_idx, f, t, surface, CASE WHEN surface = '
   CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'NUM' WHEN NOT regexp_matches(surface, '[\p{L}\p{N}_]') THEN 'PUNCT' WHEN regexp_matches(surface, '^\p{Lu}') THEN 'NOUN' ELSE 'X' END AS upos,
   CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'CARD' WHEN NOT regexp_matches(surface, '[\p{L}\p{N}_]') THEN '$.' WHEN regexp_matches(surface, '^\p{Lu}') THEN 'NN' ELSE 'XY' END AS xpos,
   'Len=' || length(surface) || CASE WHEN regexp_matches(surface, '^\p{Lu}') THEN '|Case=Up' ELSE '|Case=Low' END AS feats FROM tok),
-alt AS (SELECT text_id, tok_idx, f, t, CASE WHEN length(surface) % 2 = 0 THEN lower(surface) ELSE lower(surface) || '|' || lower(surface) || 'x' END AS lemma, length(surface) % 2 = 0 AS even FROM tok WHERE tok_idx % 3 = 0),
+alt AS (SELECT text_id, tok_idx, f, t, CASE WHEN length(surface) % 2 = 0 THEN lower(surface) ELSE lower(surface) || '|' || lower(surface) || 'x' END AS lemma, length(surface) % 2 = 0 AS even FROM tok WHERE tok_idx % 3 = 0 AND surface <> '|'),
 dep AS (SELECT text_id, tok_idx, sent_idx, f, t, lag(tok_idx) OVER w AS prev, CASE WHEN lag(tok_idx) OVER w IS NULL THEN 'root' ELSE 'nk' END AS deprel,
   coalesce(lag(f) OVER w, min(f) OVER s) AS hf, coalesce(lag(t) OVER w, max(t) OVER s) AS ht FROM tok WINDOW w AS (PARTITION BY text_id, sent_idx ORDER BY tok_idx), s AS (PARTITION BY text_id, sent_idx)),
 head AS (SELECT d.*, coalesce(k.tok_idx + 1, 0)::INT AS head FROM dep d LEFT JOIN tok k ON k.text_id = d.text_id AND k.f = d.hf AND k.t = d.ht)"""
@@ -270,12 +271,22 @@ def layer_infos(spark, d):
     return index.layer_summary(index.layer_infos(m, src.dependencies(spans)))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A layer that many branches read, as a table in the folder that driver and executors share."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/stratum"
+    path = f"{base.rstrip('/')}/layer-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _index_rows(spark, d) -> DataFrame:
-    spans = src.spans(src.texts(spark, d))
-    s = _sentences(spans)
+    spans = _written(src.spans(src.texts(spark, d)), "spans")
+    s = _written(_sentences(spans), "sentences")
     ranges = align.token_range(s.select("text_id", F.col("sent_idx").alias("span_id"), "from", "to"), spans)
     ranges = ranges.select("text_id", F.lit("base/s:s").alias("layer"), "from", "to", F.lit(2).alias("depth"), "token_from", "token_to")
-    return index.token_annotations(spans.drop("sent_idx"), s, ranges, src.rule_foundry(spans), align.edges(spans.drop("sent_idx"), src.dependencies(spans)), "dep")
+    edges = _written(align.edges(spans.drop("sent_idx"), src.dependencies(spans)), "edges")
+    return index.token_annotations(spans.drop("sent_idx"), s, ranges, src.rule_foundry(spans), edges, "dep")
 
 
 _STREAM = rf"""WITH {RULE}, esc AS (SELECT *, replace(replace(surface, '#', '\#'), '$', '\$') AS es FROM tok),

@@ -63,7 +63,7 @@ def rule_foundry(tokens: DataFrame) -> DataFrame:
 def alt_foundry(tokens: DataFrame) -> DataFrame:
     """Two readings with certainties on each third token, in either order."""
     s = F.col("surface")
-    third = tokens.filter(F.col("tok_idx") % 3 == 0)
+    third = tokens.filter((F.col("tok_idx") % 3 == 0) & (s != "|"))  # a bar would read as two alternatives
     even = F.length(s) % 2 == 0
     return third.select(
         "text_id", F.lit("alt").alias("foundry"), "from", "to", F.concat(F.lower(s), F.lit("|"), F.lower(s), F.when(even, "").otherwise("x")).alias("lemma"), F.lit(None).cast("string").alias("upos"),
