@@ -23,8 +23,8 @@ from .shared import documents, materialize, skew_safe_join, text_of
 
 WORDS, K, SEED, BITS = 3, 2, 42, 64
 #: For similarity of five-word shingles: the budget holds 3.5 standard deviations of a pair at 0.8; bins of a signature,
-#: whose estimate at 0.8 has a deviation of 0.035, and the estimate that counts; minima by which candidates meet.
-SIMILAR_WORDS, SIMILAR_K, BINS, ESTIMATE, MINIMA = 5, 20, 128, 0.77, 4
+#: whose estimate at 0.8 has a deviation of 0.0125 at most, and the estimate that counts; minima by which candidates meet.
+SIMILAR_WORDS, SIMILAR_K, BINS, ESTIMATE, MINIMA = 5, 20, 1024, 0.79, 4
 #: Classes of a bucket beyond which it is dealt out by further blocks.
 SPLIT = 5_000
 #: Node pairs handled at once; a level of the trie keeps four times as many waiting at most.
@@ -212,10 +212,10 @@ def links(classes: DataFrame, k: int = K, split: int = SPLIT) -> DataFrame:
 
 
 def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, MINIMA minima of shingle hashes, BINS 16-bit minima by bin; 0: an empty bin)."""
+    """(fingerprints, MINIMA minima of shingle hashes, BINS 8-bit minima by bin; 0: an empty bin)."""
     from xxhash import xxh64_intdigest
 
-    fp, keys, sig = np.zeros(len(texts), np.uint64), np.zeros((len(texts), MINIMA), np.uint64), np.zeros((len(texts), BINS), np.uint16)
+    fp, keys, sig = np.zeros(len(texts), np.uint64), np.zeros((len(texts), MINIMA), np.uint64), np.zeros((len(texts), BINS), np.uint8)
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
     for i, text in enumerate(texts):
         w = text.encode().lower().split()
@@ -230,21 +230,23 @@ def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, n
         fp[i] = np.packbits(count * 2 > len(h)).view(">u8")[0]
         keys[i] = [((h * x) ^ (h >> np.uint64(29))).min() for x in odd[:MINIMA]]
         h.sort()
-        bins = (h & np.uint64(BINS - 1)).astype(np.int64)
-        at = np.unique(bins, return_index=True)
-        sig[i, at[0]] = ((h[at[1]] >> np.uint64(24)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+        bins, at = np.unique((h & np.uint64(BINS - 1)).astype(np.int64), return_index=True)
+        sig[i, bins] = (h[at] >> np.uint64(24)) % np.uint64(255) + np.uint64(1)
     return fp, keys, sig
 
 
 def _similar_links(classes: DataFrame, k: int, split: int) -> DataFrame:
-    """(a, b) of classes (fp, keys, sig) that meet at a minimum, pass the trie's budget and the signature's estimate."""
-    rows = materialize(classes.select("fp", "keys", "sig", F.posexplode("keys").alias("i", "v")).select("fp", "keys", "sig", "i", F.xxhash64("i", "v").alias("key")), "minima")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > split).select("key")
-    marked = rows.join(big.withColumn("big", F.lit(True)), "key", "left")
-    # a minimum that very many share says little: there two must be shared
-    second = F.when(F.col("big"), F.transform(F.filter(F.transform("keys", lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda s: s["j"] != F.col("i")), lambda s: F.xxhash64("key", s["x"], F.least(s["j"], F.col("i"))))).otherwise(F.array("key"))
-    dealt = marked.select("fp", "sig", F.explode(second).alias("key"))
+    """(a, b) of classes (fp, keys, sig) that meet at a minimum, pass the trie's budget and the signature's estimate.
+
+    Only classes that share a minimum with another carry their signature on. A bucket of more than ``split`` classes is
+    cut into parts that meet two by two: every pair still meets, and no task holds more than two parts of a bucket."""
+    minima = materialize(classes.select("fp", F.posexplode("keys").alias("i", "v")).select("fp", F.xxhash64("i", "v").alias("key")), "minima")
+    sizes = materialize(minima.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "meetings")
+    met = skew_safe_join(minima, sizes, "key", "n", minima.count())
+    parts = F.ceil(F.col("n") / split).cast("int")
+    cut = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.xxhash64("key", F.least(s, F.col("part")), F.greatest(s, F.col("part"))))
+    dealt = cut.select("fp", F.explode(meet).alias("key")).join(classes.select("fp", "sig"), "fp")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -254,21 +256,22 @@ def _similar_links(classes: DataFrame, k: int, split: int) -> DataFrame:
         fp, key = t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
         order = np.lexsort((fp, key))
         bucket = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
-        fp, sig = fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, BINS)
+        fp, sig = fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
         forest = Forest(len(fp))
         for i, j in trie_pairs(bucket, fp, k):
-            apart = forest._find(i) != forest._find(j)  # a pair already joined needs no comparison
-            i, j = i[apart], j[apart]
             for at in range(0, len(i), 4096):
-                x, y = sig[order[i[at : at + 4096]]], sig[order[j[at : at + 4096]]]
+                p, q = i[at : at + 4096], j[at : at + 4096]
+                apart = forest._find(p) != forest._find(q)  # a pair already joined needs no comparison
+                p, q = p[apart], q[apart]
+                x, y = sig[order[p]], sig[order[q]]
                 either = ((x | y) != 0).sum(1)
                 near = ((x == y) & (x != 0)).sum(1) >= ESTIMATE * np.maximum(1, either)
-                forest.add(i[at : at + 4096][near], j[at : at + 4096][near])
+                forest.add(p[near], q[near])
         x, root = forest.links()
         fp = fp.view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[root])], ["a", "b"])
 
-    return dealt.repartition("key").mapInArrow(run, "a long, b long")
+    return dealt.select("fp", "sig", "key").repartition("key").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, k: int = SIMILAR_K, split: int = SPLIT) -> DataFrame:

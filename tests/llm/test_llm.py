@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -233,6 +234,31 @@ def removed(rows, length):
     return out
 
 
+@pytest.mark.parametrize("split", [5000, 4])
+def test_similar_documents(spark, split):
+    """Components of five-word similarity against all pairs, also where buckets are cut into parts."""
+    r = random.Random(3)
+    docs = []
+    for _ in range(6):
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        for _ in range(9):
+            t = list(base)
+            for at in r.sample(range(300), r.choice([0, 1, 2, 30])):
+                t[at] = f"x{r.randrange(10**6)}"
+            docs.append(" ".join(t))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, docs)]
+    best = list(range(len(docs)))
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(docs)) for j in range(i)]
+    assert not any(0.76 < s < 0.8 for _, _, s in pairs)  # none within the estimate's error
+    for _ in docs:
+        for i, j, s in pairs:
+            if s >= 0.8:
+                best[i] = best[j] = min(best[i], best[j])
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df, split=split).collect()}
+    assert got == dict(enumerate(best)) and len(set(best)) < len(docs)
+
+
 @pytest.mark.parametrize("hot", [3000, 3])
 def test_suffix_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
