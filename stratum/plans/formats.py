@@ -95,3 +95,15 @@ def dependency_xml(rows: DataFrame) -> DataFrame:
     head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<layer docid="'), F.col("text_id"), F.lit('"><spanList>'))
     kept = rows.filter("deprel IS NOT NULL AND deprel <> '_' AND head_from IS NOT NULL")
     return kept.groupBy("text_id").agg(_joined("tok_idx", span).alias("body")).select("text_id", F.concat(head, F.col("body"), F.lit("</spanList></layer>")).alias("xml"))
+
+
+def constituency_xml(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(text_id, xml) of rows (text_id, span_idx, node_id, label, from, to, children of (kind, id)): a span per node with a
+    relation to each child. With ``texts``, those without a tree get the XML declaration alone."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    at = lambda c: F.when(c["kind"] == "node", F.concat(F.lit('target="'), esc(c["id"]))).otherwise(F.concat(F.lit('uri="morpho.xml#'), esc(c["id"])))
+    rels = F.array_join(F.transform(F.coalesce("children", F.array()), lambda c: F.concat(F.lit('<rel label="dominates" '), at(c), F.lit('"/>'))), "")
+    span = F.concat(F.lit('<span id="'), esc(F.col("node_id")), F.lit('" from="'), F.col("from").cast("string"), F.lit('" to="'), F.col("to").cast("string"), F.lit('"><fs type="node"><f name="const">'), esc(F.coalesce("label", F.lit(""))), F.lit("</f></fs>"), rels, F.lit("</span>"))
+    first = '<?xml version="1.0" encoding="UTF-8"?>\n'
+    layer = nodes.groupBy("text_id").agg(_joined("span_idx", span).alias("body")).select("text_id", F.concat(F.lit(first + '<layer docid="'), esc(F.col("text_id")), F.lit('"><spanList>'), F.col("body"), F.lit("</spanList></layer>")).alias("xml"))
+    return layer if texts is None else texts.select("text_id").join(layer, "text_id", "left").select("text_id", F.coalesce("xml", F.lit(first)).alias("xml"))

@@ -68,28 +68,25 @@ def dependency(rows: DataFrame) -> DataFrame:
 
 
 def constituency(rows: DataFrame) -> DataFrame:
-    """(text_id, foundry, node_id, label, from, to, children of (kind, id))."""
+    """(text_id, foundry, span_idx, node_id, label, from, to, children of (kind, id))."""
     feats = F.flatten(F.transform("s.fs", lambda x: x["f"]))
     label = F.get(F.filter(feats, lambda x: x["_name"] == "const"), F.lit(0))["_VALUE"]
     kids = F.transform(F.filter("s.rel", lambda r: r["_label"] == "dominates"), lambda r: F.when(r["_target"].isNotNull(), F.struct(F.lit("node").alias("kind"), r["_target"].alias("id"))).otherwise(F.struct(F.lit("morpho").alias("kind"), F.substring_index(r["_uri"], "#", -1).alias("id"))))
-    return _spans(rows).select("text_id", "foundry", F.col("s._id").alias("node_id"), label.alias("label"), "from", "to", kids.alias("children"))
-
-
-def header(rows: DataFrame) -> DataFrame:
-    """Main fields of a header, the first source of each that isn't blank."""
-    x = without_comments(F.col("xml"))
-    first = lambda *paths: F.coalesce(*[F.nullif(F.trim(F.xpath_string(x, F.lit(p))), F.lit("")) for p in paths])
-    return rows.select(
-        "text_id", first("//textSigle", "//dokumentSigle", "//korpusSigle").alias("sigle"), first("//analytic/h.author", "//monogr/h.author", "//h.author", "//author").alias("author"), first("//analytic/h.title[@type='main']", "//monogr/h.title[@type='main']", "//title").alias("title"),
-        first("//h.title[@type='sub']").alias("subTitle"), first("//publisher").alias("publisher"), first("//distributor").alias("distributor"), first("//availability").alias("availability"), first("//pubPlace").alias("pubPlace"), first("//creatDate").alias("creationDate"),
-        first("//textType").alias("textType"), first("//textDomain").alias("textDomain"), first("//textTypeArt").alias("textTypeArt"), first("//textTypeRef").alias("textTypeRef"), first("//column").alias("textColumn"), first("//reference[@type='complete']").alias("reference"),
-        F.xpath(x, F.lit("//textClass/catRef/@target")).alias("targets"),
-    )
+    return _spans(rows).select("text_id", "foundry", "span_idx", F.col("s._id").alias("node_id"), label.alias("label"), "from", "to", kids.alias("children"))
 
 
 def standoff(rows: DataFrame) -> DataFrame:
-    """(docid, key, n, cert, target) of metadata layers of classifications."""
-    schema = "metadataLayer array<struct<`_xml:id`:string,_type:string,text:array<struct<textRef:struct<_target:string>,catRef:array<struct<_n:string,_cert:string,_target:string>>>>>>"
+    """(docid, key, type, pos, n, cert, target, title): the entries of metadata layers of any type, one row per text and
+    entry. Layers without a key, texts without a target and blank targets give no row; a layer without a type is a classification."""
+    ref = "struct<_target:string,_VALUE:string>"
+    schema = f"metadataLayer array<struct<`_xml:id`:string,_key:string,_type:string,textRef:array<struct<_target:string,catRef:array<struct<_n:string,_cert:string,_target:string>>,ref:array<{ref}>>>>>"
+    given = lambda c: F.when(F.trim(c) != "", c)
+    bare = lambda c: F.regexp_replace(c, "^#", "")
     layer = rows.select(F.explode(F.from_xml(without_comments(F.col("xml")), schema, OPTIONS)["metadataLayer"]).alias("m"))
-    each = layer.select(F.col("m")["_xml:id"].alias("key"), F.explode("m.text").alias("t")).select("key", F.col("t.textRef._target").alias("docid"), F.explode("t.catRef").alias("c"))
-    return each.select("docid", "key", F.col("c._n").try_cast("int").alias("n"), F.col("c._cert").try_cast("double").alias("cert"), F.col("c._target").alias("target"))
+    each = layer.select(F.coalesce(given(F.col("m")["_xml:id"]), given(F.col("m._key"))).alias("key"), F.coalesce(given(F.col("m._type")), F.lit("classification")).alias("type"), F.explode("m.textRef").alias("t"))
+    none = F.lit(None).cast("string")
+    classes = F.transform("t.catRef", lambda c, i: F.struct(i.alias("pos"), c["_n"].try_cast("int").alias("n"), c["_cert"].try_cast("double").alias("cert"), bare(c["_target"]).alias("target"), none.alias("title")))
+    # of a text's links the first counts, even where it is blank
+    links = F.transform(F.slice("t.ref", 1, 1), lambda r, i: F.struct(i.alias("pos"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("double").alias("cert"), r["_target"].alias("target"), F.trim(r["_VALUE"]).alias("title")))
+    entries = each.select(bare(F.col("t._target")).alias("docid"), "key", "type", F.explode(F.when(F.col("type") == "classification", classes).when(F.col("type") == "links", links)).alias("e"))
+    return entries.filter("trim(docid) <> '' AND key IS NOT NULL AND trim(e.target) <> ''").select("docid", "key", "type", "e.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratum.functions import text as tx
 from stratum.operators import align, annotate, index, meta, rank
 from stratum.plans import formats
-from stratum.sources import archive, conllu, layers
+from stratum.sources import archive, conllu, headers, layers
 from stratum.streaming.completion import complete_texts
 
 
@@ -190,3 +190,50 @@ def test_completion(spark, tmp_path):
     q = complete_texts(stream, ["base", "tt"], None).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("done").collect()] == [("a", "base,tt", True)]
+
+
+HEADER = """<idsHeader><fileDesc><textSigle>C/D.1</textSigle><analytic><h.title type="sub">Sub</h.title><h.title type="main">Main <!-- a -- b --> title</h.title><h.author> </h.author><biblNote n="url" rend="Seen">http://a.example</biblNote><biblNote>ID: U7 x</biblNote></analytic>
+<monogr><h.author>M. Author</h.author><editor>Ed</editor><editor role="translator">Tr</editor></monogr><idno type="URN">urn:x:1</idno><idno type="ISBN">123</idno><pubPlace key="DE">Here</pubPlace>
+<pubDate type="year">2020</pubDate><pubDate type="month">3</pubDate><pubDate type="day"/><note type="award" subtype="a"/><note type="award" subtype=" "/></fileDesc>
+<textClass><catRef target="topic.culture.film"/><catRef target="topic.sport"/></textClass><catRef target="other.x"/><textDesc><textTypeArt>Bericht</textTypeArt><column>c</column></textDesc><link/><link target="http://l.example"/>
+<xenoData><meta name="word" type="keyword" project="P">one</meta><meta name="n" type="string">1</meta><meta name="word" type="keyword" project="P">two</meta><meta name="n" type="string">2</meta><meta name="e" type="text">---</meta><meta name="u" type="what">x</meta>
+<meta name="my_id" type="uri" desc="A b">http://x/y</meta><meta name="d" type="date">20200000</meta><meta name="f" type="attachment">v</meta></xenoData></idsHeader>"""
+
+
+def test_header_fields(spark):
+    rows = spark.createDataFrame([("a", HEADER, "own"), ("b", None, None), ("c", "<broken", None)], "text_id string, xml string, title string")
+    got = {r.text_id: r.asDict() for r in headers.fields(rows).collect()}
+    a = got["a"]
+    want = {"sigle": "C/D.1", "title": "Main  title", "subTitle": "Sub", "author": "M. Author", "translator": "Tr", "editor": None, "ISBN": "123", "pubPlace": "Here", "pubPlaceKey": "DE", "pubDate": "2020-03", "creationDate": "2020-03", "award": ["a"], "textClass": ["culture", "film", "sport"]}
+    want |= {"textType": "Berichten", "textColumn": "c", "externalLink": "http://l.example", "textExternalLink": "http://a.example", "textExternalLinkTitle": "Seen", "note": "U7", "language": "de", "availability": None}
+    assert {k: a[k] for k in want} == want and a["URN"].urn == "urn:x:1"
+    assert got["b"]["title"] is None and got["c"]["award"] == [] and len(got) == 3
+
+
+def test_xeno_fields(spark):
+    rows = headers.fields(spark.createDataFrame([("a", HEADER), ("b", None)], "text_id string, xml string"))
+    got = [tuple(r)[2:] for r in meta.xeno_fields(rows).orderBy("pos").collect()]
+    assert got == [
+        ("P.word", "type:keywords", None, ["one", "two"]), ("n", "type:string", "2", None), ("myID", "type:attachement", "data:application/x.link;title=A%20b,http%3A%2F%2Fx%2Fy", None),
+        ("d", "type:date", "2020", None), ("f", "type:attachement", "data:,v", None),
+    ]
+    assert {r.key for r in meta.xeno_fields(rows, "doc").collect()} >= {"P.docWord", "docN"}
+
+
+def test_standoff_layers(spark):
+    xml = """<standOff><metadataLayer xml:id="dom" type="classification"><textRef target="#T1"><catRef n="2" cert="0.5" target="#b"/><catRef n="1" cert="0.9" target="a"/><catRef target="z"/><catRef n="3" cert="0.1" target="c"/></textRef><textRef target=""><catRef target="x"/></textRef></metadataLayer>
+<metadataLayer key="ext" type="links"><textRef target="T1"><ref target="http://a/b"> A </ref><ref target="http://c"/></textRef><textRef target="T2"><ref target="http://d"/></textRef></metadataLayer><metadataLayer><textRef target="T1"><catRef target="n"/></textRef></metadataLayer></standOff>"""
+    entries = layers.standoff(spark.createDataFrame([(xml,)], "xml string"))
+    got = {tuple(r)[:2]: (r.type, r.value_str, r.value_list) for r in meta.standoff_fields(entries, 0.4).collect()}
+    assert got == {
+        ("T1", "dom"): ("type:keywords", None, ["a", "b", "z"]), ("T1", "ext"): ("type:attachement", "data:application/x.link;title=A,http%3A%2F%2Fa%2Fb", None), ("T2", "ext"): ("type:attachement", "data:application/x.link;title=Link,http%3A%2F%2Fd", None),
+    }
+
+
+def test_constituency_xml_reads_back(spark):
+    nodes = layers.constituency(spark.createDataFrame([("C_D.1", "f", CONST)], "text_id string, foundry string, xml string"))
+    texts = spark.createDataFrame([("C_D.1",), ("none",)], "text_id string")
+    xml = {r.text_id: r.xml for r in formats.constituency_xml(nodes, texts).collect()}
+    assert xml["none"] == '<?xml version="1.0" encoding="UTF-8"?>\n'
+    again = layers.constituency(spark.createDataFrame([("C_D.1", "f", xml["C_D.1"])], "text_id string, foundry string, xml string"))
+    assert again.collect() == nodes.collect() and again.count() == 2
