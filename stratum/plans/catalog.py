@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import align, annotate, index, meta, rank
-from ..sources import conllu
+from ..sources import conllu, headers, layers
 from ..sources import documents as src
 from . import formats
 
@@ -476,3 +476,46 @@ def attr_comments(spark, d):
     t = _turns(spark, d)
     tokens = t.select("text_id", (F.row_number().over(Window.partitionBy("text_id").orderBy("turn")) - 1).alias("tok_idx"), "from", "to")
     return align.attribute_lines(t.select("text_id", "from", F.col("turn").cast("int").alias("pos"), F.concat(F.lit("# posting/role = "), "role").alias("line")), tokens)
+
+
+def _headers(spark, d) -> DataFrame:
+    k = F.col("doc_id")
+    xml = F.concat(
+        F.lit("<idsHeader><textSigle>"), tx.sigle(F.col("text_id")), F.lit('</textSigle><analytic><h.title type="sub">s</h.title><h.title type="main"> Title '), k.cast("string"), F.lit('</h.title></analytic><pubPlace key="'), F.upper("lang"), F.lit('">'), F.col("source"),
+        F.lit('</pubPlace><pubDate type="year">2020</pubDate><pubDate type="month">'), (k % 12 + 1).cast("string"), F.lit('</pubDate><catRef target="topic.'), F.col("lang"), F.lit("."), F.col("source"), F.lit('"/><xenoData><meta name="word" type="keyword" project="P">'), F.col("lang"), F.lit('</meta><meta name="word" type="keyword" project="P">'), F.col("source"),
+        F.lit('</meta><meta name="text_id" type="string">old</meta><meta name="text_id" type="string">'), k.cast("string"), F.lit('</meta><meta name="day" type="date">20210'), (k % 9 + 1).cast("string"), F.lit('00</meta><meta name="x" type="other">y</meta></xenoData></idsHeader>'),
+    )
+    return src.texts(spark, d).select("text_id", xml.alias("xml"))
+
+
+@query(f"""WITH {D} SELECT text_id, 'Title ' || doc_id AS title, 's' AS "subTitle", source AS "pubPlace", upper(lang) AS "pubPlaceKey", '2020-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS "pubDate", '2020-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS "creationDate", lang || ' ' || source AS "textClass", 'de' AS language FROM d""")
+def header_xml(spark, d):
+    return headers.fields(_headers(spark, d)).select("text_id", "title", "subTitle", "pubPlace", "pubPlaceKey", "pubDate", "creationDate", F.array_join("textClass", " ").alias("textClass"), "language")
+
+
+@query(f"""WITH {D} SELECT text_id, 'P.docWord' AS key, 'type:keywords' AS type, lang || ' ' || source AS value FROM d UNION ALL SELECT text_id, 'docTextID', 'type:string', doc_id::VARCHAR FROM d
+UNION ALL SELECT text_id, 'docDay', 'type:date', '2021-0' || (doc_id % 9 + 1) FROM d""")
+def xeno_typed(spark, d):
+    return meta.xeno_fields(headers.fields(_headers(spark, d)), "doc").select("text_id", "key", "type", F.coalesce("value_str", F.array_join("value_list", " ")).alias("value"))
+
+
+@query("""SELECT doc_id::VARCHAR AS text_id, 'ext' AS key, 'type:attachement' AS type, 'data:application/x.link;title=' || CASE quality WHEN 1 THEN 'Good' ELSE 'Link' END || ',http%3A%2F%2Fx.example%2F' || doc_id AS value FROM labels
+UNION ALL SELECT doc_id::VARCHAR, 'dom', 'type:keywords', CASE quality WHEN 1 THEN 'b a z' ELSE 'b z' END FROM labels""")
+def standoff_layers(spark, d):
+    k = F.col("doc_id").cast("string")
+    xml = F.concat(
+        F.lit('<standOff><metadataLayer xml:id="ext" type="links"><textRef target="#'), k, F.lit('"><ref target="http://x.example/'), k, F.lit('">'), F.when(F.col("quality") == 1, "Good").otherwise(""), F.lit('</ref></textRef></metadataLayer><metadataLayer key="dom"><textRef target="'), k,
+        F.lit('"><catRef target="z"/><catRef n="2" cert="0.'), F.when(F.col("quality") == 1, "9").otherwise("1"), F.lit('" target="a"/><catRef n="1" cert="0.8" target="#b"/></textRef></metadataLayer></standOff>'),
+    )
+    entries = layers.standoff(spark.read.parquet(f"{d}/labels.parquet").select(xml.alias("xml")))
+    return meta.standoff_fields(entries, 0.5).select("text_id", "key", "type", F.coalesce("value_str", F.array_join("value_list", " ")).alias("value"))
+
+
+@query(f"""WITH {TOK}, s AS (SELECT text_id, sent_idx, '<span id="s' || sent_idx || '" from="' || min(f) || '" to="' || max(t) || '"><fs type="node"><f name="const">S</f></fs>' || string_agg('<rel label="dominates" uri="morpho.xml#t_' || tok_idx || '"/>', '' ORDER BY tok_idx) || '</span>' AS x FROM tok GROUP BY ALL),
+b AS (SELECT text_id, string_agg(x, '' ORDER BY sent_idx) AS body FROM s GROUP BY text_id)
+SELECT text_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || coalesce('<layer docid="' || text_id || '"><spanList>' || body || '</spanList></layer>', '') AS xml FROM d LEFT JOIN b USING (text_id)""")
+def constituency_layer(spark, d):
+    t = src.texts(spark, d)
+    kids = F.transform(F.array_sort(F.collect_list("tok_idx")), lambda i: F.struct(F.lit("morpho").alias("kind"), F.concat(F.lit("t_"), i.cast("string")).alias("id")))
+    nodes = src.spans(t).groupBy("text_id", "sent_idx").agg(F.min("from").alias("from"), F.max("to").alias("to"), kids.alias("children"))
+    return formats.constituency_xml(nodes.select("text_id", F.col("sent_idx").alias("span_idx"), F.concat(F.lit("s"), F.col("sent_idx").cast("string")).alias("node_id"), F.lit("S").alias("label"), "from", "to", "children"), t)

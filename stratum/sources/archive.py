@@ -49,6 +49,16 @@ def with_base(paths: list[str]) -> list[str]:
     return list(out)
 
 
+def surface_inputs(paths: list[str]) -> list[str]:
+    """For plain text without annotations: each annotation archive gives way to the base archive beside it, named once."""
+    planned = []
+    for p in paths:
+        parts = os.path.basename(p).split(".")
+        base = os.path.join(os.path.dirname(p), f"{parts[0]}.zip")
+        planned.append(base if len(parts) > 2 and os.path.exists(base) else p)
+    return list(dict.fromkeys(planned))
+
+
 class _Part(InputPartition):
     def __init__(self, archive: str, names: list[str]):
         self.archive, self.names = archive, names

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import text as tx
-from stratum.operators import align, annotate, index, meta, rank
+from stratum.operators import align, annotate, counters, index, meta, rank
 from stratum.plans import formats
 from stratum.sources import archive, conllu, headers, layers
 from stratum.streaming.completion import complete_texts
@@ -237,3 +237,14 @@ def test_constituency_xml_reads_back(spark):
     assert xml["none"] == '<?xml version="1.0" encoding="UTF-8"?>\n'
     again = layers.constituency(spark.createDataFrame([("C_D.1", "f", xml["C_D.1"])], "text_id string, foundry string, xml string"))
     assert again.collect() == nodes.collect() and again.count() == 2
+
+
+def test_counters(spark):
+    texts = spark.createDataFrame([("a", 0, None), ("b", 3, " "), ("c", 2, "free"), ("d", None, "free")], "text_id string, tokens int, availability string")
+    df, seen = counters.counted(texts, "texts", empty=F.col("tokens") == 0, unknown=meta.filled(F.col("availability")).isNull())
+    assert df.count() == 4 and seen.get == {"rows": 4, "empty": 1, "unknown": 2}
+
+
+def test_surface_inputs(zipped):
+    annotated, base, other = (str(zipped / n) for n in ("c.tt.zip", "c.zip", "z.tt.zip"))
+    assert archive.surface_inputs([annotated, base, other]) == [base, other]
