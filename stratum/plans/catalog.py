@@ -511,7 +511,7 @@ def standoff_layers(spark, d):
     return meta.standoff_fields(entries, 0.5).select("text_id", "key", "type", F.coalesce("value_str", F.array_join("value_list", " ")).alias("value"))
 
 
-@query(f"""WITH {TOK}, s AS (SELECT text_id, sent_idx, '<span id="s' || sent_idx || '" from="' || min(f) || '" to="' || max(t) || '"><fs type="node"><f name="const">S</f></fs>' || string_agg('<rel label="dominates" uri="morpho.xml#t_' || tok_idx || '"/>', '' ORDER BY tok_idx) || '</span>' AS x FROM tok GROUP BY ALL),
+@query(f"""WITH {TOK}, s AS (SELECT text_id, sent_idx, '<span id="s' || sent_idx || '" from="' || min(f) || '" to="' || max(t) || '"><fs type="node"><f name="const">S</f></fs>' || string_agg('<rel label="dominates" uri="morpho.xml#t_' || tok_idx || '"/>', '' ORDER BY tok_idx) || '</span>' AS x FROM tok GROUP BY text_id, sent_idx),
 b AS (SELECT text_id, string_agg(x, '' ORDER BY sent_idx) AS body FROM s GROUP BY text_id)
 SELECT text_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || coalesce('<layer docid="' || text_id || '"><spanList>' || body || '</spanList></layer>', '') AS xml FROM d LEFT JOIN b USING (text_id)""")
 def constituency_layer(spark, d):
