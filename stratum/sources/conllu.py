@@ -22,18 +22,25 @@ def parse(files: DataFrame, foundry: str | None = None, strict: bool = True) ->
     lines = files.select("file", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "line"))
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # a foundry comment stands before the text_id that it belongs to
-    tag = lambda k: F.when(F.col("line").startswith(f"# {k} = "), F.trim(F.substring("line", len(k) + 6, 100000)))
+    tag = lambda k: F.when(F.col("line").startswith(f"# {k} = "), F.trim(F.substring("line", len(k) + 6, (1 << 31) - 1)))
     last = lambda c: F.last(c, ignorenulls=True).over(w)
+    counter = lambda k: F.sum(F.when(F.col("line").startswith(f"# {k} = "), 1).otherwise(0)).over(w)
     rows = lines.select(
         "file", "pos", "line", last(tag("text_id")).alias("text_id"), (F.lit(foundry) if foundry else last(tag("foundry"))).alias("foundry"),
-        F.sum(F.when(F.col("line").startswith("# start_offsets = "), 1).otherwise(0)).over(w).alias("block"), last(tag("start_offsets")).alias("starts"), last(tag("end_offsets")).alias("ends"),
+        counter("start_offsets").alias("block"), counter("end_offsets").alias("end_block"), tag("start_offsets").alias("starts"), tag("end_offsets").alias("ends"),
     )
     cells = F.split("line", "\t")
     tokens = rows.filter(F.col("line").rlike(r"^[0-9]+\t") & (F.size(cells) >= 10)).withColumn("id", cells[0].cast("int"))
-    number = lambda c: F.get(F.split(c, r"\s+"), F.col("id")).try_cast("int")
+
+    def numbers(c: str, block: str, name: str) -> DataFrame:
+        """A comment's numbers as rows: a token that carried its sentence's comment would cost the square of its length."""
+        each = rows.filter(F.col(c).isNotNull()).select("file", block, F.posexplode(F.split(c, r"\s+")).alias("id", "v"))
+        return each.select("file", block, "id", F.col("v").try_cast("int").alias(name))
+
+    tokens = tokens.join(numbers("starts", "block", "from"), ["file", "block", "id"], "left").join(numbers("ends", "end_block", "to"), ["file", "end_block", "id"], "left")
     empty = lambda c: F.when(c != "_", c)
     sent = F.dense_rank().over(Window.partitionBy("file", "text_id").orderBy("block")) - 1
-    out = tokens.select("text_id", "foundry", sent.alias("sent_idx"), "id", *[(cells[i + 1] if c == "form" else empty(cells[i + 1])).alias(c) for i, c in enumerate(COLUMNS)], number("starts").alias("from"), number("ends").alias("to"))
+    out = tokens.select("text_id", "foundry", sent.alias("sent_idx"), "id", *[(cells[i + 1] if c == "form" else empty(cells[i + 1])).alias(c) for i, c in enumerate(COLUMNS)], "from", "to")
     known = F.col("text_id").isNotNull() & F.col("foundry").isNotNull() & F.col("from").isNotNull() & F.col("to").isNotNull()
     if strict:
         return out.withColumn("text_id", F.when(known, F.col("text_id")).otherwise(F.raise_error(F.lit("token without text_id, foundry or offsets")).cast("string")))
