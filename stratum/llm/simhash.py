@@ -91,8 +91,8 @@ def _gather(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 def trie_pairs(bucket: np.ndarray, fp: np.ndarray, k: int = K):
     """Batches (i, j) of all pairs of rows in the same bucket that differ in at most ``k`` bits.
 
-    Rows must be sorted by (bucket, fp) and be distinct. A node is a range of rows that share their first bits; the
-    frontier of node pairs is an array, and one bit is taken at a time for all of it."""
+    Rows must be sorted by (bucket, fp); rows of equal fp are pairs too. A node is a range of rows that share their first
+    bits; the frontier of node pairs is an array, and one bit is taken at a time for all of it."""
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     ends = np.append(starts[1:], len(bucket))
     many = ends - starts > 1
@@ -113,6 +113,7 @@ def trie_pairs(bucket: np.ndarray, fp: np.ndarray, k: int = K):
                 yield leaf[0][near], leaf[2][near]
             pairs = pairs[:, ~small]
             if bit < 0 or not pairs.shape[1]:
+                yield from _products(pairs)
                 continue
         lo1, hi1, lo2, hi2, used = pairs
         mid1, mid2 = _middle(fp, lo1, hi1, bit), _middle(fp, lo2, hi2, bit)
@@ -123,6 +124,21 @@ def trie_pairs(bucket: np.ndarray, fp: np.ndarray, k: int = K):
         stack.append((bit - 1, down[:, alive]))
 
 
+def _products(pairs: np.ndarray):
+    """Batches (i, j) of all pairs of rows of node pairs that have no bits left: a node is rows of equal fingerprints."""
+    lo1, hi1, lo2, hi2 = pairs[:4].astype(np.int64)
+    width = hi2 - lo2
+    size = (hi1 - lo1) * width
+    ends = np.cumsum(size)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        x = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        p = np.searchsorted(ends, x, "right")
+        off = x - (ends[p] - size[p])
+        i, j = lo1[p] + off // width[p], lo2[p] + off % width[p]
+        once = (lo1[p] != lo2[p]) | (i < j)
+        yield i[once], j[once]
+
+
 def _middle(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
     """First row of each range whose ``bit`` is set: all ranges are halved side by side."""
     lo, hi = lo.copy(), hi.copy()
@@ -236,27 +252,27 @@ def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _similar_links(classes: DataFrame, k: int, split: int) -> DataFrame:
-    """(a, b) of classes (fp, keys, sig) that meet at a minimum, pass the trie's budget and the signature's estimate.
+    """(a, b) of classes (node, fp, keys, sig) that meet at a minimum, pass the trie's budget and the signature's estimate.
 
     Only classes that share a minimum with another carry their signature on. A bucket of more than ``split`` classes is
     cut into parts that meet two by two: every pair still meets, and no task holds more than two parts of a bucket."""
-    minima = materialize(classes.select("fp", F.posexplode("keys").alias("i", "v")).select("fp", F.xxhash64("i", "v").alias("key")), "minima")
+    minima = materialize(classes.select("node", F.posexplode("keys").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("key")), "minima")
     sizes = materialize(minima.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "meetings")
     met = skew_safe_join(minima, sizes, "key", "n", minima.count())
     parts = F.ceil(F.col("n") / split).cast("int")
-    cut = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int"))
+    cut = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.xxhash64("key", F.least(s, F.col("part")), F.greatest(s, F.col("part"))))
-    dealt = cut.select("fp", F.explode(meet).alias("key")).join(classes.select("fp", "sig"), "fp")
+    dealt = cut.select("node", F.explode(meet).alias("key")).join(classes.select("node", "fp", "sig"), "node")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        fp, key = t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
+        node, fp, key = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
         order = np.lexsort((fp, key))
         bucket = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
-        fp, sig = fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
+        node, fp, sig = node[order], fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
         forest = Forest(len(fp))
         for i, j in trie_pairs(bucket, fp, k):
             for at in range(0, len(i), 4096):
@@ -268,15 +284,18 @@ def _similar_links(classes: DataFrame, k: int, split: int) -> DataFrame:
                 near = ((x == y) & (x != 0)).sum(1) >= ESTIMATE * np.maximum(1, either)
                 forest.add(p[near], q[near])
         x, root = forest.links()
-        fp = fp.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[root])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[root])], ["a", "b"])
 
-    return dealt.select("fp", "sig", "key").repartition("key").mapInArrow(run, "a long, b long")
+    return dealt.select("node", "fp", "sig", "key").repartition("key").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, k: int = SIMILAR_K, split: int = SPLIT) -> DataFrame:
     """As ``near_duplicates``, for a similarity of about 0.8 of five-word shingles, which lies 10 bits apart on average:
-    too many for blocks of bits, so classes meet by minima of their shingles, and the trie works within those buckets."""
+    too many for blocks of bits, so classes meet by minima of their shingles, and the trie works within those buckets.
+
+    A class is the rows whose fingerprint, minima and signature are all equal, which the signature's estimate would link
+    in any case; texts that share the fingerprint alone are compared like any other pair. (doc_id, same, component,
+    component_id, n); n: rows of the class, component: a number of the group that no other group has."""
 
     def run(batches):
         for batch in batches:
@@ -287,18 +306,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     t = text_of(text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("__text"), F.xxhash64(t).alias("same"))
     rows = materialize(narrow.mapInArrow(run, "doc_id long, fp long, same long, keys array<long>, sig binary"), "signatures")
-    per = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("keys", "sig")).alias("s"))
-    classes = materialize(per.select("fp", "least", "n", "s.keys", "s.sig"), "classes")
-    linked = components(_similar_links(classes.select("fp", "keys", "sig"), k, split))
-    return _named(rows.select("doc_id", "fp", "same"), classes.select("fp", "least", "n"), linked)
+    rows = rows.withColumn("class", F.unhex(F.md5(F.concat("sig", F.concat_ws(",", F.col("keys").cast("array<string>"), F.col("fp").cast("string")).cast("binary")))))
+    per = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "keys", "sig")).alias("s"))
+    # written once, so the numbers of the classes stay
+    classes = materialize(per.select(F.monotonically_increasing_id().alias("node"), "class", "least", "n", "s.fp", "s.keys", "s.sig"), "classes")
+    linked = components(_similar_links(classes.select("node", "fp", "keys", "sig"), k, split))
+    return _named(rows.select("doc_id", "class", "same"), classes.select("class", "node", "least", "n"), linked, "class").drop("class")
 
 
-def _named(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows with the smallest id of their component. components are of fingerprints."""
-    placed = materialize(classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")), "placed")
+def _named(rows: DataFrame, classes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """Rows with their component and its smallest id. classes: (key, node, least, n); components are of nodes."""
+    placed = materialize(classes.join(linked, "node", "left").select(key, "least", "n", F.coalesce("component", "node").alias("component")), "placed")
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(placed.join(names, "component").select("fp", "component_id", "n"), "named")
-    return skew_safe_join(rows, named, "fp", "n", rows.count())
+    named = materialize(placed.join(names, "component").select(key, "component", "component_id", "n"), "named")
+    return skew_safe_join(rows, named, key, "n", rows.count())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
@@ -308,14 +329,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = materialize(per.select("fp", "least", "n"), "classes")
     nodes = classes.select(F.col("fp").alias("id"), "fp")
-    return _named(rows, classes, components(links(nodes, k)))
+    return _named(rows, classes.withColumn("node", F.col("fp")), components(links(nodes, k)), "fp").drop("component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of similar documents the row with the smallest id (of rows that share it, one), with all columns."""
     found = similar_documents(docs, id_col, text_col)
     low = -(1 << 63)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("doc_id", F.lit(low)).alias("__key"), F.col("component_id").alias("__c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("__f")).agg(F.min("same").alias("__same")).select("__key", "__same").distinct()
+    # by the group itself, not its name: groups of null ids, or of a repeated id, share a name
+    named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = named.groupBy("component").agg(F.coalesce(F.min("doc_id"), F.lit(low)).alias("__key"), F.min("same").alias("__same")).select("__key", "__same")
     keyed = docs.withColumns({"__key": F.coalesce(F.col(id_col).cast("long"), F.lit(low)), "__same": F.xxhash64(text_of(text_col))})
     return keyed.join(kept, ["__key", "__same"], "left_semi").dropDuplicates(["__key", "__same"]).drop("__key", "__same")
 

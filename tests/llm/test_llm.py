@@ -259,6 +259,47 @@ def test_similar_documents(spark, split):
     assert got == dict(enumerate(best)) and len(set(best)) < len(docs)
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("split", [5000, 4])
+def test_equal_fingerprints_are_compared(spark, split, monkeypatch):
+    """Different texts under one fingerprint (here: all of them) stay, and near copies among them are found."""
+    true = simhash._signatures
+
+    def equal(texts, words):
+        fp, keys, sig = true(texts, words)
+        return np.zeros_like(fp), keys, sig
+
+    r = random.Random(4)
+    body = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+    tail = " ".join(["one line of nine words that comes many times"] * 50)
+    shared = [" ".join(body()) + " " + tail for _ in range(12)]
+    near = body()
+    docs = shared + [" ".join(near), " ".join([*near[:50], "x", *near[51:]])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert max(jaccard(a, b) for i, a in enumerate(shared) for b in shared[:i]) < 0.1 and jaccard(*docs[12:]) > 0.8
+    assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == list(range(13))
+    monkeypatch.setattr(simhash, "_signatures", equal)
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df, split=split).collect()}
+    assert got == {**{i: i for i in range(13)}, 13: 12}
+    for key in (None, 7):  # groups that share a name
+        named = spark.createDataFrame([(key, t) for t in docs], "doc_id long, text string")
+        assert simhash.keep_one(named).count() == 13
+
+
+def test_trie_with_equal_fingerprints():
+    rng = np.random.default_rng(6)
+    fp = rng.choice(rng.integers(0, 1 << 10, 12, dtype=np.uint64), 60)
+    bucket = np.sort(rng.integers(0, 3, 60))
+    order = np.lexsort((fp, bucket))
+    fp, bucket = fp[order], bucket[order]
+    got = sorted(tuple(sorted(map(int, p))) for i, j in simhash.trie_pairs(bucket, fp, 3) for p in zip(i, j))
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if bucket[i] == bucket[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 3]
+
+
 @pytest.mark.parametrize("hot", [3000, 3])
 def test_suffix_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
