@@ -228,7 +228,10 @@ def links(classes: DataFrame, k: int = K, split: int = SPLIT) -> DataFrame:
 
 
 def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, MINIMA minima of shingle hashes, BINS 8-bit minima by bin; 0: an empty bin)."""
+    """(fingerprints, MINIMA minima of shingle hashes, BINS 8-bit minima by bin; 0: an empty bin), of different shingles.
+
+    A repeated shingle counts once in all three: a fingerprint that counted repeats would follow a much repeated line, and
+    put similar texts beyond the trie's budget."""
     from xxhash import xxh64_intdigest
 
     fp, keys, sig = np.zeros(len(texts), np.uint64), np.zeros((len(texts), MINIMA), np.uint64), np.zeros((len(texts), BINS), np.uint8)
@@ -237,7 +240,7 @@ def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, n
         w = text.encode().lower().split()
         n = len(w) - words + 1
         shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if n > 0 else [b" ".join(w)] if w else []
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+        h = np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
         if not len(h):
             continue
         count = np.zeros(64, np.int64)
@@ -245,7 +248,6 @@ def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, n
             count += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint16)
         fp[i] = np.packbits(count * 2 > len(h)).view(">u8")[0]
         keys[i] = [((h * x) ^ (h >> np.uint64(29))).min() for x in odd[:MINIMA]]
-        h.sort()
         bins, at = np.unique((h & np.uint64(BINS - 1)).astype(np.int64), return_index=True)
         sig[i, bins] = (h[at] >> np.uint64(24)) % np.uint64(255) + np.uint64(1)
     return fp, keys, sig

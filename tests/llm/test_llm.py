@@ -290,6 +290,21 @@ def test_equal_fingerprints_are_compared(spark, split, monkeypatch):
         assert simhash.keep_one(named).count() == 13
 
 
+def test_similar_documents_with_heavy_repeats(spark):
+    """Groups against all pairs, where a much repeated line is in some copies only."""
+    r = random.Random(5)
+    line = "one line of nine words that comes many times".split()
+    docs = []
+    for n, times in [(300, 20), (300, 10), (100, 10), (100, 50)] * 3:
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        docs += [" ".join(base), " ".join(base + line * times)]
+    pairs = [(i, j) for i, a in enumerate(docs) for j, b in enumerate(docs[:i]) if jaccard(a, b) >= 0.8]
+    assert len(pairs) == 12
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
+    assert got == dict(enumerate(classes(len(docs), pairs)))
+
+
 def test_trie_with_equal_fingerprints():
     rng = np.random.default_rng(6)
     fp = rng.choice(rng.integers(0, 1 << 10, 12, dtype=np.uint64), 60)
