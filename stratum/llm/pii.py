@@ -28,27 +28,35 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
 }
+DOT, GAP, HEX = r"(?:\.|\[\.\]|\(\.\)|\{\.\}|\x20?[\[(]dot[\])]\x20?)", r"[\x20.\-\xA0\u2010-\u2015]", "[0-9A-Fa-f]{1,4}"
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9.])[0-9(](?:[\x20().-]{0,3}+[0-9]){7,}+",
+    # written with brackets or words for dots, or of version 6
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9])"
+    rf"|(?<![0-9A-Za-z:.])(?:(?:{HEX}:){{7}}{HEX}|(?=(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}[0-9A-Fa-f]{{0,4}}(?![0-9A-Za-z:]))(?:{HEX}(?::{HEX})*+)?::(?:{HEX}(?::{HEX})*+)?)(?![0-9A-Za-z:])",
+    # the layouts of cards, wherever they stand in a longer run of digits
+    "card": rf"(?<![0-9])(?:[0-9]{{4}}(?:{GAP}{{1,3}}+[0-9]{{4}}){{3}}|[0-9]{{4}}{GAP}{{1,3}}+[0-9]{{6}}{GAP}{{1,3}}+[0-9]{{5}}|[0-9]{{13,19}})(?![0-9])",
 }
+#: A run of digits in any groups, of which a card may be the first so many, up to the end of a group.
+RUN, PREFIXES = rf"(?<![0-9])[0-9](?:{GAP}{{0,3}}+[0-9]){{12,}}+", (16, 15, 19, 18, 17, 14, 13)
 #: Labelers' word lists, fixed values.
 BEFORE = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write to|correo|courriel|kontakt)\b[^\n]{0,12}$",
-    "ip": r"(?i)\b(?:ip|host|server|address|addr|client)\b[^\n]{0,12}$",
+    "ip": r"(?i)\b(?:ip|ipv[46]|host|server|address|addr|client)\b[^\n]{0,12}$",
     "card": r"(?i)\b(?:card|visa|mastercard|credit|payment|karte|tarjeta|carte)\b[^\n]{0,12}$",
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|teléfono|téléphone)\b[^\n]{0,12}$",
 }
 GAZETTEER = {
     "email": r"(?i)(?:\.|\(dot\)|\[dot\])\x20?(?:com|net|org|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0|127\.|255\.|22[4-9]\.|2[34][0-9]\.)",
+    "ip": r"(?i)^(?!0|127\D|255\D|22[4-9][.\[({\x20]|2[34][0-9][.\[({\x20]|::1?$|fe80:)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(?:\+|00)?\D?(?:1|33|34|39|44|49|7|81|86|91)",
 }
 SHAPE = {
     "email": r"^[A-Za-z][A-Za-z0-9._%+-]{1,63}\x20?[@(\[]",
-    "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
-    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
+    "ip": rf"^(?:[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}|(?=.*[0-9])(?:[0-9A-Fa-f]{{0,4}}:){{3,8}}[0-9A-Fa-f]{{0,4}})$",
+    "card": rf"^(?:[0-9]{{13,19}}|[0-9]{{4}}(?:{GAP}[0-9]{{4}}){{3}}|[0-9]{{4}}{GAP}[0-9]{{6}}{GAP}[0-9]{{5}})$",
     "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}$",
 }
 THRESHOLD = 0.9
@@ -82,10 +90,33 @@ def _digits(value: Column) -> Column:
 def _valid(span: Column) -> Column:
     """The contract's checks of a strict match."""
     value, digits = span["value"], _digits(span["value"])
-    part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])?"
-    ip = value.rlike(rf"^{part}(?:\.{part}){{3}}$")
     n = F.length(digits)
-    return F.when(span["kind"] == 0, F.lit(True)).when(span["kind"] == 1, ip).when(span["kind"] == 2, n.between(13, 19) & F.call_function("luhn_check", digits)).otherwise(n.between(9, 15))
+    return F.when(span["kind"] == 0, F.lit(True)).when(span["kind"] == 1, _octets(value)).when(span["kind"] == 2, _card(value)).otherwise(n.between(9, 15))
+
+
+def _octets(value: Column) -> Column:
+    part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])?"
+    return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
+
+
+def _card(value: Column) -> Column:
+    digits = _digits(value)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+
+
+def _plausible(span: Column) -> Column:
+    """What a loose candidate must pass before the labelers vote: octets or groups of an address, Luhn's sum of a card."""
+    value = span["value"]
+    groups = ~(value.contains("::") & value.rlike(rf"^(?:{HEX}::?){{7}}{HEX}$"))
+    ip = F.when(value.contains(":"), groups).otherwise(_octets(F.regexp_replace(value, "[^0-9]+", ".")))
+    return F.when(span["kind"] == 1, ip).when(span["kind"] == 2, _card(value)).otherwise(True)
+
+
+def _prefix(span: Column) -> Column:
+    """The span cut to the first of PREFIXES that passes Luhn's sum, with an empty value if none does."""
+    cut = F.transform(F.array(*[F.regexp_extract(span["value"], rf"^[0-9](?:{GAP}{{0,3}}+[0-9]){{{n - 1}}}(?![0-9])", 0) for n in PREFIXES]), lambda v: F.when(_card(v), v))
+    value = lambda v: F.struct(span["kind"].alias("kind"), span["s"].alias("s"), (span["s"] + F.length(v)).cast("int").alias("e"), v.alias("value"), span["before"].alias("before"))
+    return let(F.coalesce(F.get(F.filter(cut, lambda v: v.isNotNull()), F.lit(0)), F.lit("")), value)
 
 
 def _by_kind(span: Column, lists: dict[str, str], on: str) -> Column:
@@ -105,8 +136,12 @@ def _arrays(t: Column) -> tuple[Column, Column]:
     digit, at = t.rlike("[0-9]"), t.contains("@")
     gate = {"email": at, "ip": digit, "card": digit, "phone": t.contains("+")}
     strict = F.flatten(F.array(*[F.filter(_found(t, k, STRICT[k], gate[k]), _valid) for k in KINDS]))
-    loose = F.flatten(F.array(_found(t, "email", LOOSE["email"], at | t.contains("(at)") | t.contains("[at]")), _found(t, "phone", LOOSE["phone"], digit)))
-    return strict, loose
+    gate = {"email": at | t.contains("(at)") | t.contains("[at]"), "ip": digit & (t.contains(".") | t.contains("dot")) | t.contains("::") | t.rlike(f"{HEX}:{HEX}:"), "card": digit, "phone": digit}
+    loose = F.flatten(F.array(*[F.filter(_found(t, k, LOOSE[k], gate[k]), _plausible) for k in KINDS]))
+    runs = F.filter(F.transform(_found(t, "card", RUN, digit), _prefix), lambda x: x["value"] != "")
+    card = lambda x, y: (x["kind"] == y["kind"]) & (y["s"] < x["e"]) & (x["s"] < y["e"])
+    # of a kind no two overlap: a prefix counts where no layout was found
+    return strict, let(F.struct(loose.alias("l"), runs.alias("r")), lambda c: F.concat(c["l"], F.filter(c["r"], lambda x: ~F.exists(c["l"], lambda y: card(x, y)))))
 
 
 def _with_candidates(rows: DataFrame, text: str) -> DataFrame:

@@ -152,6 +152,28 @@ def test_pii(spark, odd, empty):
     assert [(r.text, r.extra) for r in masked] == [("mail [EMAIL], ip [IP]!", 7), (None, 8)]
 
 
+def test_pii_loose_cards_and_addresses(spark):
+    """Cards and addresses that the strict patterns miss are candidates, and the classifier decides on them."""
+    r = random.Random(7)
+
+    def card():
+        body = "4" + "".join(str(r.randrange(10)) for _ in range(14))
+        total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(body))
+        d = body + str(-total % 10)
+        return [d[i : i + 4] for i in (0, 4, 8, 12)]
+
+    plain = [f"my {('card', 'number')[i % 2]} {' '.join(card())} is lost" for i in range(40)] + [f"the server 81.{r.randrange(256)}.{r.randrange(256)}.9 is down" for _ in range(40)] + ["nothing of note"] * 40
+    bad = ["years 2019 2020 2021 2022 2023", "std::vector and Abc::Def at 12:30:45", "ratio 1:2:3", "from 999[.]168[.]1[.]7", "pages 1234.5678.9012.3456", "order 10000000000000000000000000000000"]
+    found = {"card 4111 1111 1111 1111 12/26.": "card:5:24", "visa 4111.1111.1111.1111": "card:5:24", "card 4111 1111 1111 1111 5500 0000 0000 0004": "card:5:24,card:25:44", "host 192[.]168[.]1[.]7 up": "ip:5:22", "server 2001:db8:85a3::8a2e:370:7334, up": "ip:7:35", "ip 2001:0db8:0:0:0:0:0:1": "ip:3:24"}
+    texts = plain + bad + list(found)
+    got = [x.spans for x in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    of = lambda x: ",".join(y for y in x.split(",") if y.startswith(("ip", "card")))
+    assert [of(x) for x in got[len(plain) + len(bad) :]] == list(found.values())
+    assert not any(of(x) for x in got[len(plain) : len(plain) + len(bad)])
+    masked = pii.mask(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).filter("text LIKE '%12/26.'").first().text
+    assert masked == "card [CARD] 12/26."
+
+
 def test_quality_rules(spark, odd, empty):
     rows = quality_rules.verdicts(odd)
     assert rows.count() == odd.count() and rows.filter("doc_id IS NULL AND n_words = 0 AND base_failed AND NOT kept").count() == 2
