@@ -26,7 +26,7 @@ from .tokens import encoder, steps
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Tokens gathered before rests are packed, and the number of rests that stay for the next round.
 POOL, STAY = 1 << 20, 256
-#: Distinct lengths that one subset-sum looks at.
+#: Distinct lengths that the first subset-sum looks at; if they don't fill the capacity, one over all lengths follows.
 LENGTHS = 96
 
 
@@ -90,7 +90,10 @@ class Packer:
             counts = {n: len(self.rests[n]) for n in order if n in self.rests and n <= free}
             # the longest, and the shortest that can close a gap
             lengths = list(counts) if len(counts) <= LENGTHS else [*list(counts)[: LENGTHS // 2], *list(counts)[-LENGTHS // 2 :]]
-            for n, k in closest(free, counts, lengths).items():
+            chosen = closest(free, counts, lengths)
+            if len(lengths) < len(counts) and sum(n * k for n, k in chosen.items()) < free:
+                chosen = closest(free, counts, list(counts))
+            for n, k in chosen.items():
                 pieces += [self._take(n) for _ in range(k)]
                 free, left = free - n * k, left - k
             if free and self.rests:  # cut a longer rest: it is longer than the gap, or it would have fitted

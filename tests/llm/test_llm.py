@@ -124,6 +124,16 @@ def test_packing(spark, odd, empty):
     assert packing.closest(10, {7: 1, 4: 2, 3: 1}, [7, 4, 3]) == {7: 1, 3: 1}
 
 
+def test_packing_looks_at_all_lengths():
+    """1600 + 1296 + 1200 fill the window; neither the 48 longest nor the 48 shortest lengths do."""
+    lengths = [*range(1000, 1048), 1200, 1296, *range(1553, 1601)]
+    packer = packing.Packer(4096)
+    for n in lengths:
+        packer.add(n, n)
+    packer.pack(len(lengths) - 1)
+    assert len(lengths) > packing.LENGTHS and sorted(n for _, _, n, seq, _ in packer.placed if seq == 0) == [1200, 1296, 1600]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
