@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from ..functions import text as tx
 from ..operators import align, annotate, index, meta, rank
 from ..sources import conllu, headers, layers
 from ..sources import documents as src
+from ..storage import materialize
 from . import formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,21 +271,12 @@ def layer_infos(spark, d):
     return index.layer_summary(index.layer_infos(m, src.dependencies(spans)))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A layer that many branches read, as a table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/stratum"
-    path = f"{base.rstrip('/')}/layer-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _index_rows(spark, d) -> DataFrame:
-    spans = _written(src.spans(src.texts(spark, d)), "spans")
-    s = _written(_sentences(spans), "sentences")
+    spans = materialize(src.spans(src.texts(spark, d)), "spans")
+    s = materialize(_sentences(spans), "sentences")
     ranges = align.token_range(s.select("text_id", F.col("sent_idx").alias("span_id"), "from", "to"), spans)
     ranges = ranges.select("text_id", F.lit("base/s:s").alias("layer"), "from", "to", F.lit(2).alias("depth"), "token_from", "token_to")
-    edges = _written(align.edges(spans.drop("sent_idx"), src.dependencies(spans)), "edges")
+    edges = materialize(align.edges(spans.drop("sent_idx"), src.dependencies(spans)), "edges")
     return index.token_annotations(spans.drop("sent_idx"), s, ranges, src.rule_foundry(spans), edges, "dep")
 
 
