@@ -1,14 +1,14 @@
-"""Helpers of the training-data operators: the shared folder, written cuts of lineage, joins that stand a hot key."""
+"""Helpers of the training-data operators: texts, and joins that stand a hot key."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, a local shell).
-LOCAL_FALLBACK = "/tmp/checkpoints/stratum"
+from ..storage import discard, fresh_path, materialize, run_dir, shared_dir
+
+__all__ = ["discard", "documents", "fresh_path", "hot_keys", "let", "materialize", "run_dir", "shared_dir", "skew_safe_join", "text_of"]
+
 #: Most rows of a table of hot keys; a key is hot with 1/HOT_KEYS of all rows, so there can be no more.
 HOT_KEYS = 500
 
@@ -17,23 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or LOCAL_FALLBACK).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stratum-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -50,10 +33,11 @@ def hot_keys(counts: DataFrame, n: str, total: int) -> DataFrame:
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join where ``right`` has a row per key and the key's row count ``n``.
+    """Inner join where ``right`` has a row per key and ``n`` says how many of the ``total`` rows of ``left`` have it.
 
-    Hot keys (at most HOT_KEYS, by their counts) are joined by broadcast and so never meet in one task;
-    the others by shuffle. ``left`` and ``right`` should be materialised, they are read twice."""
+    Hot keys are joined by broadcast and so never meet in one task; the others by shuffle. ``n`` must count rows of
+    ``left``: only then are there at most HOT_KEYS hot keys to broadcast. ``left`` and ``right`` should be
+    materialised, they are read twice."""
     line = max(1000, total // HOT_KEYS)
     hot, cold = F.broadcast(right.filter(F.col(n) >= line)), right.filter(F.col(n) < line)
     hot_ids = F.broadcast(right.filter(F.col(n) >= line).select(key))
