@@ -2,7 +2,7 @@
 
 Equal fingerprints are one class from the start. Two fingerprints at most K bits apart agree on one of K + 1 blocks of
 bits, so each class enters one bucket for each block; a bucket with more than SPLIT classes is dealt out again by
-the blocks of its other bits, which keeps every link. In a bucket the sorted fingerprints are a binary trie. Pairs of
+the blocks of its other bits, level by level, which keeps every link. Tasks read buckets one after another. In a bucket the sorted fingerprints are a binary trie. Pairs of
 nodes go down it together: differing bits are summed, and a pair over the budget of K is dropped with all below it.
 A bucket gives a spanning forest of its links, not all pairs; components then follow from all forests.
 
@@ -27,6 +27,10 @@ WORDS, K, SEED, BITS = 3, 2, 42, 64
 SIMILAR_WORDS, SIMILAR_K, BINS, ESTIMATE, MINIMA = 5, 20, 1024, 0.79, 4
 #: Classes of a bucket beyond which it is dealt out by further blocks.
 SPLIT = 5_000
+#: Levels of blocks: 64 bits leave 8 after five of thirds, and a bucket of 256 fingerprints at most.
+LEVELS = 5
+#: Rows of buckets that a task holds at once, without and with signatures, besides the rest of the last bucket.
+ROWS, SIGNED_ROWS = 1 << 16, 1 << 13
 #: Node pairs handled at once; a level of the trie keeps four times as many waiting at most.
 PAIRS = 1 << 15
 
@@ -177,54 +181,86 @@ class Forest:
         return x, self._find(x)
 
 
+def whole_buckets(batches, rows: int):
+    """Tables of whole buckets, of about ``rows`` rows each. Batches come sorted by ``key``: a task holds what it works
+    on, not all that it was dealt."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            other = batch.column("key").to_numpy() != held[-1].column("key")[-1].as_py()
+            if other.any():
+                cut = int(other.argmax())
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                batch, held, size = batch.slice(cut), [], 0
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _left(path: int, level: int, n: int) -> list[int]:
+    """Bits outside the blocks that ``path`` names, one digit to base n for each level."""
+    bits, digits = list(range(BITS - 1, -1, -1)), []
+    for _ in range(level):
+        path, digit = divmod(path, n)
+        digits.append(digit)
+    for d in reversed(digits):
+        chosen = blocks(bits, n)[d]
+        bits = [x for x in bits if x not in chosen]
+    return bits
+
+
+def _keyed(rows: DataFrame, level: int, n: int) -> DataFrame:
+    """Each class under each of n blocks of the bits that its bucket's path left; the key tells path and bits."""
+
+    def run(batches):
+        for batch in batches:
+            fp, path, key = (batch.column(c).to_numpy() for c in ("fp", "path", "key"))
+            fp, key = fp.view(np.uint64), key.view(np.uint64)
+            for p in np.unique(path).tolist():
+                own = np.flatnonzero(path == p)
+                for i, part in enumerate(blocks(_left(p, level, n), n)):
+                    mixed = (key[own] * np.uint64(0x9E3779B97F4A7C15) + _gather(fp[own], part) + np.uint64(p * n + i + 1)) * np.uint64(0xD6E8FEB86659FD93)
+                    mixed ^= mixed >> np.uint64(32)
+                    taken = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(taken), batch.column("fp").take(taken), pa.array(np.full(len(own), p * n + i, np.int64)), pa.array(mixed.view(np.int64))], ["id", "fp", "path", "key"])
+
+    return rows.select("id", "fp", "path", "key").mapInArrow(run, "id long, fp long, path long, key long")
+
+
 def links(classes: DataFrame, k: int = K, split: int = SPLIT) -> DataFrame:
-    """(a, b): ids of linked classes, a spanning forest for each bucket. classes: (id, fp), one row per fp."""
-    every = list(range(BITS - 1, -1, -1))
-
-    def keyed(rows: DataFrame, level: int) -> DataFrame:
-        """Each class under each block: level 0 splits all bits, level 1 the bits outside the first block."""
-
-        def run(batches):
-            for batch in batches:
-                fp = batch.column("fp").to_numpy().view(np.uint64)
-                top = batch.column("block").to_numpy() if level else np.zeros(len(fp), np.int64)
-                key = batch.column("key").to_numpy().view(np.uint64) if level else np.zeros(len(fp), np.uint64)
-                for b in np.unique(top):
-                    own = np.flatnonzero(top == b)
-                    bits = every if not level else [x for x in every if x not in blocks(every, k + 1)[b]]
-                    for i, part in enumerate(blocks(bits, k + 1)):
-                        block = np.full(len(own), i if not level else 100 + int(b) * 10 + i, np.int64)
-                        value = _gather(fp[own], part) | (key[own] << np.uint64(len(part)))
-                        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), batch.column("fp").take(pa.array(own)), pa.array(block), pa.array(value.view(np.int64))], ["id", "fp", "block", "key"])
-
-        return rows.mapInArrow(run, "id long, fp long, block long, key long")
-
-    first = materialize(keyed(classes, 0), "blocks")
-    sizes = first.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"))
-    big = materialize(sizes.filter(F.col("n") > split).select("block", "key"), "big-blocks")
-    if big.isEmpty():
-        dealt = first
-    else:
-        # each has over SPLIT of the rows, so there are fewer than rows / SPLIT of them
-        dealt = first.join(big, ["block", "key"], "left_anti").select("id", "fp", "block", "key").unionByName(keyed(first.join(big, ["block", "key"], "left_semi").select("id", "fp", "block", "key"), 1))
+    """(a, b): ids of linked classes, a spanning forest for each bucket. classes: (id, fp), one row per fp.
+
+    A bucket of more than ``split`` classes goes down another level, to the blocks of the bits that are left; after
+    LEVELS of them so few bits are left that no bucket can be large. Keys that happen to be equal join buckets, which
+    costs comparisons and changes no link."""
+    rows, dealt = classes.select("id", "fp", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("key")), None
+    for level in range(LEVELS + 1):
+        here = materialize(_keyed(rows, level, k + 1), "blocks")
+        add = lambda x: x.select("id", "fp", "key") if dealt is None else dealt.unionByName(x.select("id", "fp", "key"))  # noqa: B023, E731
+        sizes = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        if level == LEVELS or (most or 0) <= split:
+            dealt = add(here)
+            break
+        placed = materialize(skew_safe_join(here, materialize(sizes, "block-sizes"), "key", "n", total), "placed-blocks")
+        dealt, rows = add(placed.filter(F.col("n") <= split)), placed.filter(F.col("n") > split)
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        ids, fp, block, key = (t[c].to_numpy() for c in ("id", "fp", "block", "key"))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, key, block))
-        ids, fp, block, key = ids[order], fp[order], block[order], key[order]
-        bucket = np.cumsum(np.r_[False, (block[1:] != block[:-1]) | (key[1:] != key[:-1])])
-        forest = Forest(len(fp))
-        for i, j in trie_pairs(bucket, fp, k):
-            forest.add(i, j)
-        x, root = forest.links()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[root])], ["a", "b"])
-
-    return dealt.repartition("block", "key").mapInArrow(run, "a long, b long")
+        for t in whole_buckets(batches, ROWS):
+            ids, fp, key = (t[c].to_numpy() for c in ("id", "fp", "key"))
+            fp = fp.view(np.uint64)
+            order = np.lexsort((fp, key))
+            ids, fp, key = ids[order], fp[order], key[order]
+            forest = Forest(len(fp))
+            for i, j in trie_pairs(np.cumsum(np.r_[False, key[1:] != key[:-1]]), fp, k):
+                forest.add(i, j)
+            x, root = forest.links()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[root])], ["a", "b"])
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _signatures(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,28 +303,25 @@ def _similar_links(classes: DataFrame, k: int, split: int) -> DataFrame:
     dealt = cut.select("node", F.explode(meet).alias("key")).join(classes.select("node", "fp", "sig"), "node")
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        node, fp, key = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
-        order = np.lexsort((fp, key))
-        bucket = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
-        node, fp, sig = node[order], fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
-        forest = Forest(len(fp))
-        for i, j in trie_pairs(bucket, fp, k):
-            for at in range(0, len(i), 4096):
-                p, q = i[at : at + 4096], j[at : at + 4096]
-                apart = forest._find(p) != forest._find(q)  # a pair already joined needs no comparison
-                p, q = p[apart], q[apart]
-                x, y = sig[order[p]], sig[order[q]]
-                either = ((x | y) != 0).sum(1)
-                near = ((x == y) & (x != 0)).sum(1) >= ESTIMATE * np.maximum(1, either)
-                forest.add(p[near], q[near])
-        x, root = forest.links()
-        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[root])], ["a", "b"])
-
-    return dealt.select("node", "fp", "sig", "key").repartition("key").mapInArrow(run, "a long, b long")
+        for t in whole_buckets(batches, SIGNED_ROWS):
+            node, fp, key = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["key"].to_numpy()
+            order = np.lexsort((fp, key))
+            bucket = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
+            node, fp, sig = node[order], fp[order], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
+            forest = Forest(len(fp))
+            for i, j in trie_pairs(bucket, fp, k):
+                for at in range(0, len(i), 4096):
+                    p, q = i[at : at + 4096], j[at : at + 4096]
+                    apart = forest._find(p) != forest._find(q)  # a pair already joined needs no comparison
+                    p, q = p[apart], q[apart]
+                    x, y = sig[order[p]], sig[order[q]]
+                    either = ((x | y) != 0).sum(1)
+                    near = ((x == y) & (x != 0)).sum(1) >= ESTIMATE * np.maximum(1, either)
+                    forest.add(p[near], q[near])
+            x, root = forest.links()
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[root])], ["a", "b"])
+
+    return dealt.select("node", "fp", "sig", "key").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, k: int = SIMILAR_K, split: int = SPLIT) -> DataFrame:
