@@ -1,11 +1,14 @@
 """Exact dedup with a persistent digest index.
 
-The index is a table bucketed and sorted by digest: a row per different text with the document that stays and the
-number of copies. New rows are grouped by digest, joined to the index by a sort-merge join that moves only the new
-side, and what the index lacks (the anti-join) is appended. Texts are compared as they are.
-
-Of equal texts the row with the largest id stays; of repeated rows (same id, same text) exactly one. Null counts as
-the empty text, a null id is smaller than any other. An empty table adds nothing. Other columns may have any name.
+The index is a table bucketed and sorted by digest: a row per different text, with the document that stays, the batch
+that brought it and its copies there, and a further row for the copies in each later batch. A batch is grouped by digest and
+joined to the index by a sort-merge anti-join that moves only the new side; what the index lacks is appended, of what
+it knows only the count. Texts are compared as they are.
+
+Of equal texts in a batch the row with the largest id stays; of repeated rows (same id, same text) exactly one. A text
+known from an earlier batch is dropped, also when the same batch is delivered twice: such copies count again. Null
+counts as the empty text, a null id is smaller than any other. An empty table adds nothing. Other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -17,35 +20,52 @@ from pyspark.sql import functions as F
 
 from .shared import documents, fresh_path, materialize, skew_safe_join, text_of
 
-#: Buckets of an index; about one per 128 MB of its digests.
-BUCKETS = 64
+#: Digests to a bucket (about 128 MB of them), and the fewest and most buckets of an index.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 2_000_000, 8, 50_000
+SCHEMA = "digest binary, keep_id long, keep_row long, group_size long, batch string, later boolean"
+#: Stands for a null id in joins.
+LOWEST = -(1 << 63)
 
 
 class DigestIndex:
-    """The index at ``path`` in the session's shared folder, known to the catalog as ``table``."""
+    """The index at ``path``, known to the catalog as ``table``; without a path it lives as long as the application.
+
+    The number of buckets is fixed when the first batch comes: ``buckets``, or from that batch's rows and ``growth``,
+    the number of such batches that the index is to hold."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None, buckets: int | None = None, growth: int = 1):
+        self.spark, self.buckets, self.growth = spark, buckets, growth
         self.path = path or fresh_path(spark, "digest-index")
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def create(self, rows: int) -> None:
+        """Make the empty table, unless it is there."""
+        if self.spark.catalog.tableExists(self.table):
+            return
+        n = self.buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows * self.growth // BUCKET_ROWS)))
+        self.spark.sql(f"CREATE TABLE {self.table} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{self.path}'")
+
+    def bucket_count(self) -> int:
+        rows = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").filter("col_name = 'Num Buckets'").collect()  # one row
+        return int(rows[0].data_type)
 
     def rows(self) -> DataFrame:
-        """(digest, keep_id, group_size)."""
-        return self.spark.table(self.table)
+        """(digest, keep_id, keep_row, group_size, batch): one row per digest; its bucketing serves the aggregation."""
+        own = F.when(~F.col("later"), F.struct("keep_id", "keep_row", "batch"))
+        return self.spark.table(self.table).groupBy("digest").agg(F.first(own, ignorenulls=True).alias("k"), F.sum("group_size").alias("group_size")).select("digest", "k.keep_id", "k.keep_row", "group_size", "k.batch")
 
     def missing(self, groups: DataFrame) -> DataFrame:
         """Rows of ``groups`` (a row per digest) whose digest the index lacks, by a sort-merge anti-join."""
-        return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti") if self.exists() else groups
+        return groups.join(self.spark.table(self.table).select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> None:
-        """Add what the index lacks. Each digest is written once: a second call with the same rows changes nothing."""
-        new = self.missing(groups).select("digest", "keep_id", "keep_row", "group_size")
-        if self.exists():  # a table cannot be read and appended to at once
-            new = materialize(new, "digests")
-        new.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").format("parquet").saveAsTable(self.table)
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add what the index lacks, and the counts of what it knows. ``groups``, see ``groups_of``, is read twice."""
+        later = groups.join(self.spark.table(self.table).filter("NOT later").select("digest").hint("merge"), "digest", "left_semi")
+        columns = lambda df, is_later: df.select("digest", *([F.lit(None).cast("long").alias(c) for c in ("keep_id", "keep_row")] if is_later else ["keep_id", "keep_row"]), "group_size", F.lit(batch).alias("batch"), F.lit(is_later).alias("later"))
+        # a table cannot be read and appended to at once
+        new = materialize(columns(self.missing(groups), False).unionByName(columns(later, True)), "digests")
+        n = self.bucket_count()
+        new.repartition(n, "digest").write.bucketBy(n, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -63,29 +83,61 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size")
 
 
+def _added(rows: DataFrame, index: DigestIndex) -> tuple[str, DataFrame]:
+    """The batch's name and its groups, once they are in the index."""
+    batch, groups = uuid.uuid4().hex, materialize(groups_of(rows), "digest-groups")
+    index.append(groups, batch)
+    return batch, groups
+
+
+def _verdicts(rows: DataFrame, index: DigestIndex, batches: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of ``rows``, which came in ``batches``.
+
+    The index is cut to their digests first, with the copies in these rows: those tell which digests are hot here."""
+    n, added = rows.count(), None
+    for _, groups in batches:
+        own = groups.select("digest", F.col("group_size").alias("here"))
+        added = own if added is None else added.unionByName(own)
+    here = added.groupBy("digest").agg(F.sum("here").alias("here")) if len(batches) > 1 else added
+    known = materialize(index.rows().join(here.hint("merge"), "digest"), "known-digests")
+    joined = skew_safe_join(rows, known, "digest", "here", n)
+    kept = (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("batch").isin([b for b, _ in batches])
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verdict on every row of a batch, after adding it to ``index``: a text known from an earlier batch is dropped."""
+    """Verdict on every row of a batch, after adding it to ``index``. group_size: copies in all batches so far."""
+    rows = digests(docs, id_col, text_col)
+    index.create(rows.count())
+    return _verdicts(rows, index, [_added(rows, index)])
+
+
+def deduplicate_halves(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``deduplicate`` of a whole table, brought in two batches, larger ids first: what the second holds of the first
+    goes by the anti-join, and the row that stays has the largest id of all."""
     rows = digests(docs, id_col, text_col)
-    index.append(groups_of(rows))
-    known = index.rows().select("digest", "keep_id", "keep_row", "group_size")
-    joined = skew_safe_join(rows, known, "digest", "group_size", rows.count())
-    return joined.select("doc_id", "keep_id", "group_size", ((F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    index.create(n)
+    upper = F.coalesce(F.col("doc_id") > (0 if low is None else low + (high - low) // 2), F.lit(False))
+    return _verdicts(rows, index, [_added(rows.filter(upper), index), _added(rows.filter(~upper), index)])
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; those known to ``index`` go.
 
     Rows meet by (digest, id), one pair of which the index names for each text: copies of a hot text go to different
-    tasks. Repeated rows, which share both, are then told apart by number."""
-    index = DigestIndex(docs.sparkSession)
-    index.append(groups_of(digests(docs, id_col, text_col)))
-    kept = index.rows().select(F.col("digest").alias("__digest"), F.coalesce("keep_id", F.lit(-(1 << 63))).alias("__key"))
-    keyed = docs.withColumns({"__digest": F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)), "__key": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))})
+    tasks. Repeated rows, which share both, become one in each task before they meet."""
+    index = index or DigestIndex(docs.sparkSession)
+    rows = digests(docs, id_col, text_col)
+    index.create(rows.count())
+    batch, _ = _added(rows, index)
+    kept = index.rows().filter(F.col("batch") == batch).select(F.col("digest").alias("__digest"), F.coalesce("keep_id", F.lit(LOWEST)).alias("__key"))
+    keyed = docs.withColumns({"__digest": F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)), "__key": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))})
     return keyed.join(kept, ["__digest", "__key"], "left_semi").dropDuplicates(["__digest", "__key"]).drop("__digest", "__key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir), DigestIndex(spark))
+    return deduplicate_halves(documents(spark, sf_dir), DigestIndex(spark))
 
 
 ORACLE_SQL = """

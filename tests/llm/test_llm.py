@@ -201,11 +201,16 @@ def test_exact_dedup(spark, odd, empty):
     assert len(rows) == odd.count()
     for digest, own in {d: [r for r in rows if r.text_sha256 == d] for d in {r.text_sha256 for r in rows}}.items():
         assert sum(r.kept for r in own) == 1 and {r.group_size for r in own} == {len(own)} and {r.keep_id for r in own} == {max((r.doc_id for r in own if r.doc_id is not None), default=None)}
-    assert not any(r.kept for r in exact_dedup.deduplicate(odd.withColumn("doc_id", F.col("doc_id") + 5000), index).collect())  # all known
+    # the same batch once more: all is known, and the copies count again
+    again = exact_dedup.deduplicate(odd, index).collect()
+    assert not any(r.kept for r in again) and {(r.text_sha256, r.keep_id, r.group_size) for r in again} == {(r.text_sha256, r.keep_id, 2 * r.group_size) for r in rows}
     assert index.rows().count() == len({r.text_sha256 for r in rows})
+    halves = exact_dedup.deduplicate_halves(odd, exact_dedup.DigestIndex(spark, buckets=4)).collect()
+    assert Counter(halves) == Counter(rows)
     kept = exact_dedup.keep_first(odd)
     assert kept.columns == odd.columns and kept.count() == len({r.text_sha256 for r in rows})
     assert exact_dedup.keep_first(empty).count() == 0 and exact_dedup.deduplicate(empty, exact_dedup.DigestIndex(spark)).count() == 0
+    assert exact_dedup.deduplicate_halves(empty, exact_dedup.DigestIndex(spark)).count() == 0
 
 
 def classes(n, links):
@@ -232,7 +237,7 @@ def test_components(spark):
     assert got == {i: c for i, c in enumerate(want) if i != c}
 
 
-@pytest.mark.parametrize("split", [5000, 20])
+@pytest.mark.parametrize("split", [5000, 20, 1])
 def test_trie_links(spark, split):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
