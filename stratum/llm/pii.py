@@ -2,9 +2,12 @@
 
 Strict patterns give the base spans; loose patterns give further candidates. On each candidate four labelers vote:
 the strict pattern, a gazetteer, the words before it, and its shape. Expectation-maximisation over the counts of the
-vote patterns (at most KINDS x 16 rows, whatever the input) estimates each labeler's reliability by kind, and a
-logistic classifier is trained on the resulting soft labels. Base spans stay; candidates that overlap none of them
-and reach THRESHOLD are added.
+vote patterns (at most KINDS x 2**10 rows with the traits, whatever the input) estimates each labeler's reliability by kind, and a
+logistic classifier of the votes and of TRAITS of the span and its surroundings is trained on the resulting soft
+labels. Base spans stay; candidates that overlap none of them and reach THRESHOLD are added.
+
+Running sums and overlaps along a text's matches are found in blocks of about the root of their number, so a text of
+very many matches costs little more than its share.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Matches never overlap others of their
 kind; candidates that fail a check are dropped without another try. Repeated rows are handled one by one, null ids
@@ -30,7 +33,7 @@ STRICT = {
 }
 DOT, GAP, HEX = r"(?:\.|\[\.\]|\(\.\)|\{\.\}|\x20?[\[(]dot[\])]\x20?)", r"[\x20.\-\xA0\u2010-\u2015]", "[0-9A-Fa-f]{1,4}"
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9.])[0-9(](?:[\x20().-]{0,3}+[0-9]){7,}+",
     # written with brackets or words for dots, or of version 6
     "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9])"
@@ -59,28 +62,53 @@ SHAPE = {
     "card": rf"^(?:[0-9]{{13,19}}|[0-9]{{4}}(?:{GAP}[0-9]{{4}}){{3}}|[0-9]{{4}}{GAP}[0-9]{{6}}{GAP}[0-9]{{5}})$",
     "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}$",
 }
+#: Traits of a span and of what stands before it: column and pattern; fixed values.
+TRAITS = (
+    ("value", r"[0-9A-Za-z][\x20().\-\xA0\u2010-\u2015]+[0-9A-Za-z]"), ("value", r"^.{21,}$"), ("value", r"[+@:]"), ("before", r"[A-Za-z0-9_]$"), ("before", r"[:=(\[<\x22']\x20?$"),
+    ("before", r"(?i)\b(?:order|id|no|nr|number|version|isbn|issn|page|pages|year|years|ratio|total|eur|usd|price)\b[^\n]{0,12}$"),
+)
+VOTES = 4
 THRESHOLD = 0.9
 ROUNDS = 50
+#: What a span is to the labelers.
+_SPANS = "array<struct<kind:int,s:int,e:int,value:string,before:string>>"
+
+
+def scan(values: Column, op, kind: str = "int") -> Column:
+    """Running ``op`` (associative) along an array: within blocks, then with what the blocks before it come to."""
+    last = lambda a: F.get(a, F.size(a) - 1)
+    with_ = lambda x, y: F.when(x.isNull(), y).otherwise(op(x, y))
+    none = F.array().cast(f"array<{kind}>")
+    width = lambda v: F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+    cut = lambda v: let(width(v), lambda b: F.transform(F.sequence(F.lit(0), F.size(v) - 1, b), lambda i: F.slice(v, i + 1, b)))
+    inner = lambda v: F.transform(cut(v), lambda x: F.aggregate(x, none, lambda acc, y: F.array_append(acc, with_(last(acc), y))))
+    bases = lambda own: F.aggregate(own, F.array(F.lit(None).cast(kind)), lambda acc, x: F.array_append(acc, with_(last(acc), last(x))))
+    whole = lambda own: let(bases(own), lambda base: F.flatten(F.transform(own, lambda x, k: F.transform(x, lambda y: with_(F.get(base, k), y)))))
+    return let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(let(inner(v), whole)))
 
 
 def _found(text: Column, kind: str, pattern: str, gate: Column) -> Column:
     """Matches of ``pattern`` as (kind, s, e, value, before), from the matches and the gaps between them."""
-    def walk(both):
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,s:int,e:int,value:string,before:string>>").alias("out"))
-        n = F.size(both["m"])
 
-        def step(acc, i):
-            gap, value = F.get(both["g"], i), F.get(both["m"], i)
-            s = acc["at"] + F.length(gap)
-            e = s + F.length(value)
-            span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), s.alias("s"), e.alias("e"), value.alias("value"), F.substring(gap, -40, 40).alias("before"))
-            return F.struct(e.alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["out"])
+    def placed(both):
+        ends = scan(F.transform(both["m"], lambda x, i: F.length(F.get(both["g"], i)) + F.length(x)), lambda x, y: x + y)
+        span = lambda at: lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.get(at, i) - F.length(x)).alias("s"), F.get(at, i).alias("e"), x.alias("value"), F.substring(F.get(both["g"], i), -40, 40).alias("before"))
+        return let(ends, lambda at: F.transform(both["m"], span(at)))
 
     some = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    none = F.array().cast("array<struct<kind:int,s:int,e:int,value:string,before:string>>")
-    return F.when(gate & text.rlike(pattern), let(some, walk)).otherwise(none)
+    return F.when(gate & text.rlike(pattern), let(some, placed)).otherwise(F.array().cast(_SPANS))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """``spans`` that overlap none of ``others``: both in one order of starts, with the last end before and the next start
+    behind of the others."""
+    struct = lambda x, other: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(other).alias("o"), x.alias("x"))
+    both = F.sort_array(F.concat(F.transform(others, lambda x: struct(x, True)), F.transform(spans, lambda x: struct(x, False))))
+    ends = lambda a: scan(F.transform(a, lambda x: F.when(x["o"], x["e"]).otherwise(-1)), F.greatest)
+    starts = lambda a: F.reverse(scan(F.reverse(F.transform(a, lambda x: F.when(x["o"], x["s"]).otherwise(1 << 30))), F.least))
+    clash = lambda at: lambda x, i: x["o"] | (F.get(at["end"], i) > x["s"]) | (F.get(at["next"], i) < x["e"])
+    free = lambda a: let(F.struct(ends(a).alias("end"), starts(a).alias("next")), lambda at: F.transform(F.filter(a, lambda x, i: ~clash(at)(x, i)), lambda x: x["x"]))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(both, free))
 
 
 def _digits(value: Column) -> Column:
@@ -127,8 +155,12 @@ def _by_kind(span: Column, lists: dict[str, str], on: str) -> Column:
 
 
 def _voted(span: Column, strict: Column) -> Column:
-    bit = lambda c: c.cast("int")
-    return F.struct(span["kind"].alias("kind"), span["s"].alias("s"), span["e"].alias("e"), bit(strict).alias("v0"), bit(_by_kind(span, GAZETTEER, "value")).alias("v1"), bit(_by_kind(span, BEFORE, "before")).alias("v2"), bit(_by_kind(span, SHAPE, "value")).alias("v3"))
+    """(kind, s, e, v): the four votes and the traits, one bit each."""
+    bits = [strict, _by_kind(span, GAZETTEER, "value"), _by_kind(span, BEFORE, "before"), _by_kind(span, SHAPE, "value"), *[span[on].rlike(p) for on, p in TRAITS]]
+    total = F.lit(0)
+    for i, b in enumerate(bits):
+        total = total + F.when(b, 1 << i).otherwise(0)
+    return F.struct(span["kind"].alias("kind"), span["s"].alias("s"), span["e"].alias("e"), total.alias("v"))
 
 
 def _arrays(t: Column) -> tuple[Column, Column]:
@@ -139,21 +171,20 @@ def _arrays(t: Column) -> tuple[Column, Column]:
     gate = {"email": at | t.contains("(at)") | t.contains("[at]"), "ip": digit & (t.contains(".") | t.contains("dot")) | t.contains("::") | t.rlike(f"{HEX}:{HEX}:"), "card": digit, "phone": digit}
     loose = F.flatten(F.array(*[F.filter(_found(t, k, LOOSE[k], gate[k]), _plausible) for k in KINDS]))
     runs = F.filter(F.transform(_found(t, "card", RUN, digit), _prefix), lambda x: x["value"] != "")
-    card = lambda x, y: (x["kind"] == y["kind"]) & (y["s"] < x["e"]) & (x["s"] < y["e"])
     # of a kind no two overlap: a prefix counts where no layout was found
-    return strict, let(F.struct(loose.alias("l"), runs.alias("r")), lambda c: F.concat(c["l"], F.filter(c["r"], lambda x: ~F.exists(c["l"], lambda y: card(x, y)))))
+    card = lambda c: F.filter(c["l"], lambda y: y["kind"] == KINDS.index("card"))
+    return strict, let(F.struct(loose.alias("l"), runs.alias("r")), lambda c: F.concat(c["l"], let(card(c), lambda y: _apart(c["r"], y))))
 
 
 def _with_candidates(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``__base`` and ``__more``: arrays of (kind, s, e, v0..v3)."""
+    """``rows`` with ``__base`` and ``__more``: arrays of (kind, s, e, v)."""
     strict, loose = _arrays(F.col(text))
-    clash = lambda x, base: F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    both = let(F.struct(strict.alias("base"), loose.alias("loose")), lambda c: F.struct(F.transform(c["base"], lambda x: _voted(x, F.lit(True))).alias("base"), F.transform(F.filter(c["loose"], lambda x: ~clash(x, c["base"])), lambda x: _voted(x, F.lit(False))).alias("more")))
+    both = let(F.struct(strict.alias("base"), loose.alias("loose")), lambda c: F.struct(F.transform(c["base"], lambda x: _voted(x, F.lit(True))).alias("base"), F.transform(_apart(c["loose"], c["base"]), lambda x: _voted(x, F.lit(False))).alias("more")))
     return rows.withColumn("__both", both).withColumns({"__base": F.col("__both.base"), "__more": F.col("__both.more")}).drop("__both")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, more): arrays of (kind, s, e, v0..v3); written once, the text is read in one pass."""
+    """(doc_id, base, more): arrays of (kind, s, e, v); written once, the text is read in one pass."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     return materialize(_with_candidates(rows, "t").select("doc_id", F.col("__base").alias("base"), F.col("__more").alias("more")), "pii")
 
@@ -164,13 +195,13 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]]) -> dict[int,
     Counts are smoothed, and a vote is never taken as evidence against: this keeps the classes from changing places."""
     out = {}
     for kind in range(len(KINDS)):
-        own = [(v, n) for k, v, n in patterns if k == kind]
+        own = [(v[:VOTES], n) for k, v, n in patterns if k == kind]
         prior, yes, no = 0.5, [0.9, 0.7, 0.5, 0.8], [0.1, 0.3, 0.05, 0.2]
         for _ in range(ROUNDS if own else 0):
             soft = [(v, n, _posterior(v, prior, yes, no)) for v, n in own]
             pos, neg = sum(n * p for _, n, p in soft) + 2, sum(n * (1 - p) for _, n, p in soft) + 2
             prior = min(0.95, max(0.05, pos / (pos + neg)))
-            yes = [min(0.99, (sum(n * p for v, n, p in soft if v[j]) + 1) / pos) for j in range(4)]
+            yes = [min(0.99, (sum(n * p for v, n, p in soft if v[j]) + 1) / pos) for j in range(VOTES)]
             no = [max(0.01, min(y, (sum(n * (1 - p) for v, n, p in soft if v[j]) + 0.2) / neg)) for j, y in enumerate(yes)]
         out[kind] = (prior, yes, no)
     return out
@@ -184,11 +215,12 @@ def _posterior(votes: tuple[int, ...], prior: float, yes: list[float], no: list[
 
 
 def train(patterns: list[tuple[int, tuple[int, ...], int]]) -> dict[int, list[float]]:
-    """Weights (bias, one for each vote) of the final classifier by kind, fitted to the soft labels by gradient steps."""
-    out = {}
+    """Weights (bias, one for each vote and trait) of the final classifier by kind, fitted to the soft labels by gradient
+    steps. The labels come from the votes alone: a trait's weight is what it tells about them across the corpus."""
+    out, width = {}, VOTES + len(TRAITS)
     for kind, (prior, yes, no) in reliabilities(patterns).items():
-        own = [(v, n, _posterior(v, prior, yes, no)) for k, v, n in patterns if k == kind]
-        total, w = sum(n for _, n, _ in own), [0.0] * 5
+        own = [(v, n, _posterior(v[:VOTES], prior, yes, no)) for k, v, n in patterns if k == kind]
+        total, w = sum(n for _, n, _ in own), [0.0] * (width + 1)
         for _ in range(400 if own else 0):
             grad = [0.01 * x for x in w]
             for v, n, p in own:
@@ -197,14 +229,15 @@ def train(patterns: list[tuple[int, tuple[int, ...], int]]) -> dict[int, list[fl
                 for j, b in enumerate(x):
                     grad[j] += n / total * (q - p) * b
             w = [a - 1.5 * g for a, g in zip(w, grad)]
-        out[kind] = w if own else [-30.0, 0.0, 0.0, 0.0, 0.0]
+        out[kind] = w if own else [-30.0] + [0.0] * width
     return out
 
 
 def fitted(found: DataFrame) -> dict[int, list[float]]:
     """The classifier's weights from ``candidates``."""
-    voted = found.select(F.explode(F.concat("base", "more")).alias("x")).groupBy("x.kind", "x.v0", "x.v1", "x.v2", "x.v3").agg(F.count(F.lit(1)).alias("n"))
-    return train(sorted((r.kind, (r.v0, r.v1, r.v2, r.v3), r.n) for r in voted.collect()))  # at most 4 x 16 rows
+    voted = found.select(F.explode(F.concat("base", "more")).alias("x")).groupBy("x.kind", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    rows = voted.collect()  # at most KINDS x 2 ** (votes and traits) rows
+    return train(sorted((r.kind, tuple(r.v >> i & 1 for i in range(VOTES + len(TRAITS))), r.n) for r in rows))
 
 
 def _accepted(base: Column, more: Column, weights: dict[int, list[float]]) -> Column:
@@ -215,11 +248,11 @@ def _accepted(base: Column, more: Column, weights: dict[int, list[float]]) -> Co
         for kind, (b, *w) in weights.items():
             logit = F.lit(b)
             for j, weight in enumerate(w):
-                logit = logit + F.lit(weight) * x[f"v{j}"]
+                logit = logit + F.when(x["v"].bitwiseAND(F.lit(1 << j)) != 0, weight).otherwise(0.0)
             out = F.when(x["kind"] == kind, logit >= math.log(THRESHOLD / (1 - THRESHOLD))).otherwise(out)
         return out
 
-    return F.sort_array(F.array_distinct(F.transform(F.concat(base, F.filter(more, sure)), _place)))
+    return F.sort_array(F.transform(F.concat(base, F.filter(more, sure)), _place))
 
 
 def _place(x: Column) -> Column:
@@ -239,7 +272,7 @@ def _joined(column: str) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     rows = spans(candidates(docs, id_col, text_col))
-    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -248,21 +281,28 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The classifier is trained first, from counts; the spans are then found and replaced where the text is, so no text
     is shuffled. Overlapping spans become one, named after the first."""
     weights = fitted(candidates(docs.withColumn("__id", F.lit(None).cast("long")), "__id", text_col))
-    t = F.col("__t")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        name = F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"])), F.lit("]"))
-        piece = F.concat(F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), name)
-        return F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["e"].alias("at"), F.array_append(acc["out"], piece).alias("out")))
-
-    def whole(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t)))
-
-    ordered = F.sort_array(F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    masked = F.when(F.col(text_col).isNull(), F.col(text_col)).when(F.size("__spans") == 0, t).otherwise(F.aggregate(ordered, start, step, whole))
     rows = _with_candidates(docs.withColumn("__t", text_of(text_col)), "__t")
-    return rows.withColumn("__spans", _accepted(F.col("__base"), F.col("__more"), weights)).withColumn(text_col, masked).drop("__t", "__base", "__more", "__spans")
+    spans = F.transform(_accepted(F.col("__base"), F.col("__more"), weights), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    masked = F.when(F.col(text_col).isNull(), F.col(text_col)).when(F.size("__spans") == 0, F.col("__t")).otherwise(_replaced(F.col("__t"), F.col("__spans")))
+    return rows.withColumn("__spans", F.sort_array(spans)).withColumn(text_col, masked).drop("__t", "__base", "__more", "__spans")
+
+
+def _replaced(t: Column, spans: Column) -> Column:
+    """``t`` with each of ``spans`` (s, e, kind; sorted, some) replaced by its kind; the text is cut by blocks of spans."""
+    name = lambda x: F.concat(F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"])), F.lit("]"))
+    ends = scan(F.transform(spans, lambda x: x["e"]), F.greatest)
+    # the first of each run of overlapping spans, with the end of the run before it; a run ends where the next begins
+    heads = lambda at: F.filter(F.transform(spans, lambda x, i: F.struct(F.coalesce(F.get(at, i - 1), F.lit(0)).alias("p"), x["s"].alias("s"), x["kind"].alias("kind"))), lambda x: x["s"] >= x["p"])
+    width = lambda h: F.ceil(F.sqrt(F.size(h).cast("double"))).cast("int")
+    cut = lambda h: let(width(h), lambda b: F.transform(F.sequence(F.lit(0), F.size(h) - 1, b), lambda i: F.slice(h, i + 1, b)))
+
+    def block(own):
+        first, last = F.get(own, F.lit(0))["p"], F.get(own, F.size(own) - 1)["s"]
+        piece = F.substring(t, first + 1, last - first)
+        return let(piece, lambda part: F.array_join(F.transform(own, lambda x: F.concat(F.substring(part, x["p"] - first + 1, x["s"] - x["p"]), name(x))), ""))
+
+    tail = lambda at: F.substring(t, F.get(at, F.size(at) - 1) + 1, F.length(t))
+    return let(ends, lambda at: F.concat(F.array_join(F.transform(let(heads(at), cut), block), ""), tail(at)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
