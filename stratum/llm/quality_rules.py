@@ -1,10 +1,12 @@
 """Quality rules with thresholds that follow the data.
 
-Four statistics of each document, in thousandths, go into histograms by language and source: sketches with a fixed
-error of a thousandth that merge by adding counts and give the same result in whatever order tasks end. A group's
-bounds are its quartiles, widened by FENCE interquartile ranges and a slack, so that a group of good documents loses
-none; a group of fewer than LEAST documents takes the bounds of all documents, whose sketch is the sum of all groups'.
-A document stays if it passes the base rules and lies within its group's bounds.
+Four statistics of each document, in thousandths, go into quantile sketches by language and source: a value counts by
+its first DIGITS binary digits, so a sketch has some 500 counters for each doubling of the largest value, its error is
+1/512 at most, whatever the range, and sketches merge by adding counts, with the same result in whatever order tasks
+end. A group's bounds are its quartiles, widened by FENCE interquartile ranges and a slack, so that a group of good
+documents loses none; a group of fewer than LEAST documents takes the bounds of all documents, whose sketch is the sum
+of all groups'. A document stays if it passes the base rules and its statistics, as they are, lie within its group's
+bounds.
 
 Null and empty texts have no words and fail the base rules; a null language or source is a group like any other.
 Repeated rows count and return as often as they occur. An empty table gives no rows.
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, let, materialize, text_of
+from .shared import documents, let, materialize, skew_safe_join, text_of
 
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 FENCE, LEAST = 3, 20
@@ -23,10 +25,8 @@ FENCE, LEAST = 3, 20
 SLACK = {"symbols": 30, "dup_lines": 200, "repeats": 150, "word_length": 1500}
 #: Statistics with a lower bound too.
 TWO_SIDED = ("word_length",)
-#: Largest value of a sketch; larger ones count as this.
-TOP = 100_000
-#: Parts of a hot group in the join with its bounds.
-SALTS = 16
+#: Binary digits of a value that its sketch keeps.
+DIGITS = 10
 
 
 def _words(text: Column) -> Column:
@@ -57,15 +57,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", *[f"g{i}" for i in range(len(groups))], F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", (F.col("l.n") - F.col("l.d")).cast("long").alias("n_dup_lines"),
         F.col("w.r").cast("long").alias("n_repeat_words"), F.col("l.n").cast("long").alias("__lines"),
     )
-    per = lambda a, b: F.least(F.lit(TOP), F.coalesce(F.expr(f"{a} * 1000 div nullif({b}, 0)"), F.lit(0))).cast("int")
+    per = lambda a, b: F.coalesce(F.expr(f"{a} * 1000 div nullif({b}, 0)"), F.lit(0)).cast("long")
     rows = rows.withColumns({"symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "__lines"), "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")})
     return materialize(rows, "quality")
 
 
 def sketches(stats: DataFrame, n_groups: int = 2) -> DataFrame:
-    """(group, what, value, n): at most TOP counts for a group and statistic, merged by adding."""
+    """(group, what, value, n): counts by the first DIGITS digits of a value, merged by adding."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(k).alias("value")) for k in SLACK]))
-    return stats.select(*[f"g{i}" for i in range(n_groups)], pairs.alias("p")).groupBy(*[f"g{i}" for i in range(n_groups)], "p.what", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    rows = stats.select(*[f"g{i}" for i in range(n_groups)], pairs.alias("p")).select(*[f"g{i}" for i in range(n_groups)], "p.what", "p.value")
+    rest = f"greatest(0, length(bin(value)) - {DIGITS})"
+    rows = rows.withColumn("value", F.expr(f"shiftleft(shiftright(value, {rest}), {rest})"))
+    return rows.groupBy(*[f"g{i}" for i in range(n_groups)], "what", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounds(sketch: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,21 +89,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     limits = [f"{k}_{e}" for k in SLACK for e in ("lo", "hi")]
     own = bounds(sketch, keys)
     every = bounds(sketch.groupBy("what", "value").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"]).select(*limits).first()  # one row
-    of_all = {x: F.lit(every[x] if every else None).cast("int") for x in limits}
-    own = own.select(*keys, *[F.when(F.col("docs") >= LEAST, F.col(x)).otherwise(of_all[x]).alias(x) for x in limits])
-    # a group may hold a third of all rows: its rows go to SALTS parts, its one row of bounds to each
-    salted = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
-    rows = stats.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")).alias("s")
-    on = F.col("s.__salt") == F.col("b.__salt")
-    for k in keys:
-        on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}"))
+    of_all = {x: F.lit(every[x] if every else None).cast("long") for x in limits}
+    # nulls count as values of a group: JSON leaves them out, so no other value looks like them
+    group = F.to_json(F.struct(*keys)).alias("__group")
+    own = own.select(group, "docs", *[F.when(F.col("docs") >= LEAST, F.col(x)).otherwise(of_all[x]).alias(x) for x in limits])
+    # a group may hold a third of all rows: its one row of bounds goes to them, not they to it
+    rows = skew_safe_join(stats.select("*", group), own, "__group", "docs", stats.count())
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     inside = F.lit(True)
     for k in SLACK:
         inside = inside & (F.col(k) <= F.col(f"{k}_hi"))
         if k in TWO_SIDED:
             inside = inside & (F.col(k) >= F.col(f"{k}_lo"))
-    return rows.join(salted, on).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +110,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     words = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-    per = lambda a, b, k: f"least({TOP}, coalesce({a} * 1000 // nullif({b}, 0), 0)) AS {k}"
+    per = lambda a, b, k: f"coalesce({a} * 1000 // nullif({b}, 0), 0)::BIGINT AS {k}"
     inside = " AND ".join(f"{k} <= {k}_hi" + (f" AND {k} >= {k}_lo" if k in TWO_SIDED else "") for k in SLACK)
     slack = " ".join(f"WHEN '{k}' THEN {s}" for k, s in SLACK.items())
     pivot = ", ".join(f"max(CASE WHEN what = '{k}' THEN lo END) AS {k}_lo, max(CASE WHEN what = '{k}' THEN hi END) AS {k}_hi" for k in SLACK)
     fence = lambda q: f"quantile_disc(value, {q})"
     limits = lambda keys: f"SELECT {keys}what, count(*) AS docs, {fence(0.25)} - {FENCE} * ({fence(0.75)} - {fence(0.25)}) - CASE what {slack} END AS lo, {fence(0.75)} + {FENCE} * ({fence(0.75)} - {fence(0.25)}) + CASE what {slack} END AS hi FROM v GROUP BY {keys}what"
-    values = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS what, {k} AS value FROM s" for k in SLACK)
+    rest = lambda k: f"greatest(0, length(bin({k})) - {DIGITS})"
+    values = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS what, ({k} >> {rest(k)}) << {rest(k)} AS value FROM s" for k in SLACK)
     pick = ", ".join(f"CASE WHEN o.docs >= {LEAST} THEN o.{k}_{e} ELSE a.{k}_{e} END AS {k}_{e}" for k in SLACK for e in ("lo", "hi"))
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, {words} AS ws FROM documents),
