@@ -28,18 +28,23 @@ from .tokens import encoder, spread, steps, tokenizer_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 MAX_BITS, STRIDE, BLOCK_IDS = 17, 512, 1 << 20
-#: Ids to a part: what one task sorts and writes. With MOST_PARTS parts, parts grow instead.
-PART_IDS, MOST_PARTS = 8 << 20, 10_000
+#: Longest code that an id may need: as many bits as a window of four bytes shows from any bit of its first.
+WIDEST = 25
+#: Ids to a part: what one task sorts and writes. Bounds of so many parts are sought at once; of more, within those.
+PART_IDS, AT_ONCE = 8 << 20, 10_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 where the count is 0."""
+    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 where the count is 0. More ids than ``limit``
+    bits can tell apart raise it to what they need."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         out[used] = 1
         return out
-    limit = max(limit, int(np.ceil(np.log2(len(used)))))
+    limit = max(limit, int(len(used) - 1).bit_length())
+    if limit > WIDEST:
+        raise ValueError(f"{len(used)} ids need codes of {limit} bits, over {WIDEST}")
     order = used[np.argsort(counts[used], kind="stable")]
     leaf = counts[order].astype(np.int64)
     rows, level = [], np.empty(0, np.int64)
@@ -72,6 +77,11 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return codes, table, bits
 
 
+def _window(bits: int) -> int:
+    """Bytes that show a code of ``bits`` bits from any bit of the first."""
+    return 3 if bits <= 17 else 4
+
+
 def encode_docs(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(payload, its byte offsets by document, bit position of each id within its document)."""
     width = lengths[ids].astype(np.int64)
@@ -82,18 +92,20 @@ def encode_docs(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths:
     offsets = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
     within = ends - width - np.repeat(total[doc_end - counts], counts)
     at = within + np.repeat(offsets[:-1] * 8, counts)
-    value = codes[ids].astype(np.int64) << (24 - width - (at & 7))
+    span = _window(int(lengths.max(initial=1)))
+    value = codes[ids].astype(np.int64) << (8 * span - width - (at & 7))
     byte, n = at >> 3, int(offsets[-1])
-    out = np.zeros(n + 2)
-    for k, shift in enumerate((16, 8, 0)):
-        out[k:] += np.bincount(byte, weights=(value >> shift) & 255, minlength=n + 2)[: n + 2 - k]
+    out = np.zeros(n + span - 1)
+    for k in range(span):
+        out[k:] += np.bincount(byte, weights=(value >> 8 * (span - 1 - k)) & 255, minlength=n + span - 1)[: n + span - 1 - k]
     return out[:n].astype(np.uint8), offsets, within
 
 
 def decode_block(payload: bytes, checkpoints: np.ndarray, lane_ids: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Ids of a block. lane_ids: ids of each stretch that starts at a checkpoint; all advance by an id at a time."""
+    span = _window(bits)
     raw = np.frombuffer(payload + b"\0\0\0", np.uint8).astype(np.uint32)
-    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:] if span == 3 else (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     out = np.empty(int(lane_ids.sum()), np.uint32)
     order = np.argsort(-lane_ids, kind="stable")
     at, to = checkpoints[order].astype(np.int64), (np.cumsum(lane_ids) - lane_ids)[order]
@@ -101,7 +113,7 @@ def decode_block(payload: bytes, checkpoints: np.ndarray, lane_ids: np.ndarray,
     mask = (1 << bits) - 1
     for n in running.tolist():
         p = at[:n]
-        found = table[(window[p >> 3] >> (24 - bits - (p & 7)).astype(np.uint32)) & mask]
+        found = table[(window[p >> 3] >> (8 * span - bits - (p & 7)).astype(np.uint32)) & mask]
         out[to[:n]] = found >> 5
         p += found & 31
         to[:n] += 1
@@ -172,10 +184,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     codes, _, _ = canonical(lengths)
 
-    # the upper ends of parts with about as many documents each, from the ids alone
-    parts = min(MOST_PARTS, max(1, -(-int(counts.sum()) // PART_IDS)))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = np.unique(np.array((shares and tokens.agg(F.percentile_approx("doc_id", shares, 20 * MOST_PARTS)).first()[0]) or [], np.int64))
+    bounds = _bounds(tokens, max(1, -(-int(counts.sum()) // PART_IDS)))
 
     def compress(batches):
         for batch in batches:
@@ -223,6 +232,29 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     ordered.mapInArrow(block, _BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
+def _bounds(tokens: DataFrame, parts: int) -> np.ndarray:
+    """Upper ends of all but the last of ``parts`` parts with about as many documents each, from the ids alone: eight
+    bytes for PART_IDS ids reach the driver and the tasks. Of more than AT_ONCE, first so many are found, and then those
+    within each of them, side by side."""
+    wanted = lambda n: [i / n for i in range(1, n)]
+    first = min(parts, AT_ONCE)
+    if first < 2:
+        return np.empty(0, np.int64)
+    coarse = np.unique(np.array(tokens.agg(F.percentile_approx("doc_id", wanted(first), 20 * first)).first()[0] or [], np.int64))
+    each = -(-parts // first)
+    if each < 2:
+        return coarse
+
+    def number(batches):
+        for batch in batches:
+            keys = batch.column(0).drop_null()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(coarse, keys.to_numpy(), side="left")), keys], ["part", "doc_id"])
+
+    within = tokens.select("doc_id").mapInArrow(number, "part long, doc_id long").groupBy("part").agg(F.percentile_approx("doc_id", wanted(each), 20 * each).alias("b"))
+    fine = within.select(F.explode("b").alias("b")).toArrow().column("b").to_numpy()
+    return np.unique(np.concatenate([coarse, fine]))
+
+
 def _every(n: np.ndarray) -> np.ndarray:
     """Flat positions of every STRIDE-th id of documents of n ids."""
     lanes = -(-n // STRIDE)
@@ -241,10 +273,10 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first().lengths, np.uint8)
     _, table, bits = canonical(lengths)
     # a row per part, of which each has PART_IDS ids: where the part starts
-    totals = sorted((r.part, r.n) for r in blocks.groupBy("part").agg(F.sum(F.expr("aggregate(doc_tokens, 0L, (a, x) -> a + x)")).alias("n")).collect())
-    starts, base = {}, 0
-    for part, n in totals:
-        starts[part], base = base, base + n
+    totals = blocks.groupBy("part").agg(F.sum(F.expr("aggregate(doc_tokens, 0L, (a, x) -> a + x)")).alias("n")).orderBy("part").toArrow()
+    number, n = totals.column("part").to_numpy(), totals.column("n").to_numpy()
+    starts = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+    starts[number] = np.cumsum(n) - n
 
     def run(batches):
         for batch in batches:
@@ -252,7 +284,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 n = np.array(n, np.int64)
                 ids = decode_block(payload, np.frombuffer(marks, "<u8"), _lanes(n), table, bits).astype("<u4")
                 ends = np.cumsum(n)
-                first = starts[part] + start + ends - n
+                first = int(starts[part]) + start + ends - n
                 if digest:
                     last = pa.array([zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist())], pa.int64())
                 else:

@@ -87,6 +87,30 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_files.read(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_more_ids_than_seventeen_bits():
+    n = np.array([140_000, 3])
+    ids = np.concatenate([np.random.default_rng(1).permutation(140_000), [5, 139_999, 0]]).astype(np.uint32)
+    lengths = token_files.code_lengths(np.ones(140_000, np.int64))
+    assert lengths.max() == 18
+    codes, table, bits = token_files.canonical(lengths)
+    payload, offsets, within = token_files.encode_docs(ids, n, codes, lengths)
+    marks = within[token_files._every(n)] + np.repeat(offsets[:-1] * 8, -(-n // token_files.STRIDE))
+    assert (token_files.decode_block(payload.tobytes(), marks, token_files._lanes(n), table, bits) == ids).all()
+    with pytest.raises(ValueError, match="over 25"):
+        token_files.code_lengths(np.ones((1 << 25) + 1, np.int64))
+
+
+def test_parts_within_parts(spark, tmp_path, monkeypatch):
+    """More parts than are sought at once; starts go on from part to part."""
+    monkeypatch.setattr(token_files, "PART_IDS", 40)
+    monkeypatch.setattr(token_files, "AT_ONCE", 4)
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(300)] + [(None, "x")] * 3, "doc_id long, text string")
+    token_files.write(docs, f"file://{tmp_path}/a")
+    rows = sorted(token_files.read(spark, f"file://{tmp_path}/a").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 3 + list(range(300)) and [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(303)]
+    assert spark.read.parquet(f"file://{tmp_path}/a/blocks").select("part").distinct().count() > 30
+
+
 def test_huffman():
     rng = np.random.default_rng(0)
     for size in (1, 2, 3, 300, 5000):
@@ -162,6 +186,34 @@ def test_pii(spark, odd, empty):
     assert [(r.text, r.extra) for r in masked] == [("mail [EMAIL], ip [IP]!", 7), (None, 8)]
 
 
+def test_pii_many_matches_in_a_text(spark):
+    """Text order and overlaps hold over blocks of matches, and masking cuts the text in the same places."""
+    text = " ".join(f"a{i}@b.co (at 1[.]2[.]3[.]{i % 256}), 4111 1111 1111 1111 +49 30 {i:07d};" for i in range(700))
+    df = spark.createDataFrame([(1, text), (2, "a@b.co and c@d.org" * 50)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.report(df).collect()}
+    for i, t in ((1, text), (2, "a@b.co and c@d.org" * 50)):
+        want = personal(t)
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(rows[i].spans.split(","))
+        assert rows[i].n_spans == len(rows[i].spans.split(","))
+        spans = sorted((int(s), int(e), k.upper()) for k, s, e in (x.split(":") for x in rows[i].spans.split(",")))
+        out, at = "", 0
+        for s, e, k in spans:
+            if s >= at:
+                out += t[at:s] + f"[{k}]"
+            at = max(at, e)
+        assert pii.mask(df).filter(F.col("doc_id") == i).first().text == out + t[at:]
+
+
+def test_pii_traits_decide():
+    """Spans with the same votes: what the corpus tells about a trait moves them apart."""
+    kind, trait = 3, pii.VOTES + 5
+    with_ = lambda votes, on: (kind, (*votes, *(1 if j == trait and on else 0 for j in range(pii.VOTES, pii.VOTES + len(pii.TRAITS)))))
+    patterns = [(*with_((1, 1, 1, 1), False), 900), (*with_((0, 0, 0, 0), True), 900), (*with_((0, 1, 0, 1), True), 50), (*with_((0, 1, 0, 1), False), 50)]
+    w = pii.train(patterns)[kind]
+    odds = lambda v: w[0] + sum(a * b for a, b in zip(w[1:], v))
+    assert odds(patterns[3][1]) > odds(patterns[2][1]) + 0.5 and odds(patterns[0][1]) > 2 and odds(patterns[1][1]) < -2
+
+
 def test_pii_loose_cards_and_addresses(spark):
     """Cards and addresses that the strict patterns miss are candidates, and the classifier decides on them."""
     r = random.Random(7)
@@ -195,6 +247,14 @@ def test_quality_rules(spark, odd, empty):
     assert r.n_repeat_words == len({j for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}) and r.n_dup_lines == 1
 
 
+def test_quality_rules_have_no_largest_value(spark):
+    """Texts of words of 200 characters have bounds of their own, and a blob of one word is beyond them."""
+    docs = [(i, " ".join(f"{i}x{j}".ljust(190 + (7 * i + 3 * j) % 20, "w") for j in range(60)), "zh", "s") for i in range(40)]
+    docs.append((40, " ".join(str(j) for j in range(59)) + " " + "w" * 200_000, "zh", "s"))
+    rows = quality_rules.verdicts(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in rows if not r.kept} == {40} and not any(r.base_failed for r in rows)
+
+
 def test_exact_dedup(spark, odd, empty):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     rows = exact_dedup.deduplicate(odd, index).collect()
