@@ -12,27 +12,50 @@ anchors. Consecutive strings of a text with the same anchor are a run; a run's s
    after h rounds has all suffixes in the order of their first h symbols; the round in which a border first shows
    gives the common prefix there. Intervals without a border after DEPTH rounds are the repeated strings.
 3. An anchor with more than HOT different segments isn't compared in one task: its strings are dealt out by their
-   128-bit digests and counted, which gives the same result.
+   128-bit digests and counted, which gives the same result. Before that, pieces of LENGTH - GRID + 1 bytes at every
+   GRID-th place about the anchor are: a repeated string holds a repeated piece, so only strings that do are dealt out.
+
+Passages, the same with words for bytes: a text's words in strings of PASSAGE words that start at another place too.
+Words are runs of other characters than the six ASCII white-space ones, as they are.
 
 Texts are UTF-8 bytes; null counts as empty; strings never cross documents. Repeated rows are places like others, so
 all their strings are repeated. A null id is a key like any other. An empty table gives no rows. Texts of any
-length are read whole, in pieces that overlap by LENGTH - 1 bytes.
+length are read whole, in pieces that overlap by LENGTH - 1 bytes. Other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, materialize, skew_safe_join, text_of
-from .tokens import spread
+from .tokens import spread, steps
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: items of a string, of an anchor, of a symbol and between pieces of hot anchors."""
+
+    words: bool
+    length: int
+    k: int
+    symbol: int
+    grid: int
+
+    @property
+    def kind(self):
+        return np.dtype("<u8" if self.words else "u1")
+
 
-LENGTH, K, SYMBOL = 400, 32, 100
-#: Bytes of text that anchors are sought in at once, and bytes of segments compared at once and in one shard.
+LENGTH, PASSAGE = 400, 51
+BYTES, WORDS = Unit(False, LENGTH, 32, 100, 40), Unit(True, PASSAGE, 8, 17, 5)
+#: Items of text that anchors are sought in at once, and of segments compared at once and in one shard.
 PIECE, GROUP, SHARD = 1 << 21, 1 << 21, 1 << 19
 #: Different segments of one anchor beyond which their strings are dealt out by digest.
 HOT = 3000
@@ -64,12 +87,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k bytes of ``data``, by differences of a running sum."""
+    """A 64-bit hash of each k items of ``data``, by differences of a running sum."""
     if len(data) < k:
         return np.empty(0, np.uint64)
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up, out=total[1:])
+    np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * up, out=total[1:])
     return _mixed((total[k:] - total[:-k]) * down[: len(data) - k + 1])
 
 
@@ -84,14 +107,14 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, ends: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first string, last string) of each run, of texts that end at ``ends`` in ``data``."""
-    if len(data) < LENGTH:
+    if len(data) < unit.length:
         return (np.empty(0, np.int64),) * 3
-    h = window_hashes(data, K)
-    anchor = window_minima((h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), LENGTH - K + 1) & np.uint64(0xFFFFFFFF)
+    h = window_hashes(data, unit.k)
+    anchor = window_minima((h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), unit.length - unit.k + 1) & np.uint64(0xFFFFFFFF)
     lengths = np.diff(ends, prepend=0)
-    n = np.maximum(0, lengths - LENGTH + 1)
+    n = np.maximum(0, lengths - unit.length + 1)
     at = spread(ends - lengths, n)
     if not len(at):
         return (np.empty(0, np.int64),) * 3
@@ -110,12 +133,41 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _pieces(offsets: np.ndarray, size: int = PIECE):
-    """Lists of (row, from, to within the text): about ``size`` bytes each, long texts in overlapping parts."""
+def _word_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word, offsets by text)."""
+    from xxhash import xxh3_64_intdigest
+
+    parts = pc.ascii_split_whitespace(column)
+    flat = parts.flatten()
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(flat):
+        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    own = np.fromiter((xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) | np.uint64(1)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    real = np.fromiter((w != "" for w in words), bool, len(words))[codes]
+    before = np.concatenate([[0], np.cumsum(real)])
+    return own[codes[real]], before[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def _values(text: str, unit: Unit) -> np.ndarray:
+    """The items of one text."""
+    if not unit.words:
+        return np.frombuffer(text.encode(), np.uint8)
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, text.encode().split()), np.uint64) | np.uint64(1)
+
+
+def _pieces(offsets: np.ndarray, unit: Unit, size: int = PIECE):
+    """Lists of (row, from, to within the text): about ``size`` items each, long texts in overlapping parts."""
     held, total = [], 0
     for i, n in enumerate(np.diff(offsets).tolist()):
-        for at in range(0, max(1, n - LENGTH + 1), size):
-            to = min(n, at + size + LENGTH - 1)
+        if n < unit.length:
+            continue
+        for at in range(0, n - unit.length + 1, size):
+            to = min(n, at + size + unit.length - 1)
             held.append((i, at, to))
             total += to - at
             if total >= size:
@@ -125,27 +177,39 @@ def _pieces(offsets: np.ndarray, size: int = PIECE):
         yield held
 
 
-_RUN = "key long, id long, same long, lo long, hi long, seg binary, n long"
+_RUN_NAMES = ["key", "id", "same", "lo", "hi", "seg", "n", "at"]
+_RUN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+_RUN = "key long, id long, same long, lo long, hi long, seg binary, n long, at long"
+
+
+def _find_runs(unit: Unit):
+    """Runs of each text: hi is the end of the last string, ``at`` the anchor's place in the segment. Segments that a piece
+    holds twice come once, with n = 2, and their places besides as rows without a segment: those are repeated, whatever
+    else the corpus holds."""
 
+    def run(batches):
+        for batch in batches:
+            ids, same, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            if not unit.words:
+                yield from found(ids, same, *_raw(texts))
+                continue
+            for i, j in steps(texts):
+                yield from found(ids[i:j], same[i:j], *_word_values(texts.slice(i, j - i)))
 
-def _find_runs(batches):
-    """Runs of each text: hi is the end of the last string. Segments that a piece holds twice come once, with n = 2,
-    and their places besides as rows without a segment: those are repeated, whatever else the corpus holds."""
-    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+    def found(ids, same, data, offsets):
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-    for batch in batches:
-        ids, same = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        data, offsets = _raw(batch.column(2))
-        for held in _pieces(offsets):
+        for held in _pieces(offsets, unit):
             start, lo, hi = (np.array(x, np.int64) for x in zip(*held))
             own = data[spread(offsets[start] + lo, hi - lo)] if len(held) > 1 else data[offsets[start[0]] + lo[0] : offsets[start[0]] + hi[0]]
             ends = np.cumsum(hi - lo)
-            anchor, first, last = runs(own, ends)
-            view = memoryview(np.ascontiguousarray(own))
+            anchor, first, last = runs(own, ends, unit)
+            w = unit.kind.itemsize
+            view = memoryview(np.ascontiguousarray(own)).cast("B")
             row = np.searchsorted(ends, first, side="right")
             shift = (lo - (ends - (hi - lo)))[row]
-            a, f, e = anchor.tolist(), first.tolist(), (last + LENGTH).tolist()
-            seg = [xxh3_128_digest(view[x:y]) for x, y in zip(f, e)]
+            a, f, e = anchor.tolist(), first.tolist(), (last + unit.length).tolist()
+            seg = [xxh3_128_digest(view[w * x : w * y]) for x, y in zip(f, e)]
             count: dict[bytes, int] = {}
             for s in seg:
                 count[s] = count.get(s, 0) + 1
@@ -154,25 +218,23 @@ def _find_runs(batches):
             for i, s in enumerate(seg):
                 d, x, y = doc[i], f[i] + at[i], e[i] + at[i]
                 if count[s] > 1:
-                    if out and out[-1][5] is None and out[-1][7] == d and x <= out[-1][4]:
+                    if out and out[-1][5] is None and out[-1][8] == d and x <= out[-1][4]:
                         out[-1][4] = y
                     else:
-                        out.append([0, ids[d], same[d], x, y, None, 0, d])
+                        out.append([0, ids[d], same[d], x, y, None, 0, 0, d])
                     if s in told:
                         continue
                     told.add(s)
                     # kept apart, so that places of one text stay next to each other
                     last_known = out.pop()
-                    out += [[_signed(xxh3_64_intdigest(view[a[i] : a[i] + K])), ids[d], same[d], x, y, s, 2, d], last_known]
+                    out += [[_signed(xxh3_64_intdigest(view[w * a[i] : w * (a[i] + unit.k)])), ids[d], same[d], x, y, s, 2, a[i] - f[i], d], last_known]
                 else:
-                    out.append([_signed(xxh3_64_intdigest(view[a[i] : a[i] + K])), ids[d], same[d], x, y, s, 1, d])
+                    out.append([_signed(xxh3_64_intdigest(view[w * a[i] : w * (a[i] + unit.k)])), ids[d], same[d], x, y, s, 1, a[i] - f[i], d])
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:7], _RUN_TYPES)], _RUN_NAMES)
-
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _RUN_TYPES)], _RUN_NAMES)
 
-_RUN_NAMES = ["key", "id", "same", "lo", "hi", "seg", "n"]
-_RUN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    return run
 
 
 def _signed(x: int) -> int:
@@ -189,9 +251,9 @@ def _sorted_by(symbols: np.ndarray) -> np.ndarray:
 
 class Shard:
     """The transform of one shard. symbol: of each place, 0 where the segment ends sooner; has_before: whether the
-    place SYMBOL bytes earlier is in the same segment."""
+    place ``step`` items earlier is in the same segment."""
 
-    def __init__(self, symbol: np.ndarray, has_before: np.ndarray, depth: int, step: int = SYMBOL):
+    def __init__(self, symbol: np.ndarray, has_before: np.ndarray, depth: int, step: int = BYTES.symbol):
         terminal = np.flatnonzero(symbol == 0)
         order = np.arange(len(symbol))
         for _ in range(depth):  # suffixes by one more symbol: those before the suffixes in the last order
@@ -225,9 +287,9 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return z, prefix
 
 
-def repeated(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int = SYMBOL, shard_bytes: int = SHARD) -> np.ndarray:
+def repeated(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int = BYTES.symbol, shard_items: int = SHARD) -> np.ndarray:
     """Places whose ``length`` bytes start at another place too, in segments that end at ``ends`` in ``data``."""
-    # a byte behind each segment is the place of its empty suffix
+    # an item behind each segment is the place of its empty suffix
     data = np.insert(data, ends, 0)
     segment = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0) + 1)
     ends = ends + np.arange(1, len(ends) + 1)
@@ -239,7 +301,7 @@ def repeated(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int
     symbol[full] = np.unique(window_hashes(data, step)[full], return_inverse=True)[1] + 1
     has_before = np.repeat(lengths, lengths) - 1 - left >= step
     # shards of whole segments
-    number = (ends - 1) // shard_bytes
+    number = (ends - 1) // shard_items
     cuts = [0, *ends[np.flatnonzero(np.diff(number))].tolist(), len(data)]
     bases = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
     shards = [Shard(symbol[a:b], has_before[a:b], depth, step) for a, b in bases]
@@ -256,43 +318,51 @@ def repeated(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int
     return found - segment[found]
 
 
-def _compare(batches):
+def _compare(unit: Unit):
     """Removed stretches of segments, which come sorted by key; a segment fetched twice counts once."""
     import itertools
 
-    def rows():
+    w = unit.kind.itemsize
+
+    def rows(batches):
         for batch in batches:
             yield from zip(*(batch.column(c).to_pylist() for c in ("key", "seg", "n", "id", "same", "lo", "data")))
 
-    def groups():
+    def groups(batches):
         held, size = [], 0
-        for _, own in itertools.groupby(rows(), key=lambda r: r[0]):
+        for _, own in itertools.groupby(rows(batches), key=lambda r: r[0]):
             own = list({r[1]: r for r in own}.values())
             if len(own) > 1:
                 held += own
-                size += sum(len(r[6]) for r in own)
+                size += sum(len(r[6]) // w for r in own)
             if size >= GROUP:
                 yield held
                 held, size = [], 0
         if held:
             yield held
 
-    for held in groups():
-        ends = np.cumsum([len(r[6]) for r in held])
-        found = repeated(np.frombuffer(b"".join(r[6] for r in held), np.uint8), ends)
-        if not len(found):
-            continue
-        row = np.searchsorted(ends, found, side="right")
-        first = np.flatnonzero(np.r_[True, (np.diff(found) != 1) | (np.diff(row) != 0)])
-        last = np.append(first[1:], len(found)) - 1
-        out = []
-        for r, a, b in zip(row[first].tolist(), found[first].tolist(), found[last].tolist()):
-            _, _, n, i, s, lo, d = held[r]
-            if n == 1:  # others are removed as a whole
-                base = lo - int(ends[r]) + len(d)
-                out.append((i, s, base + a, base + b + LENGTH))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "same", "lo", "hi"])
+    def run(batches):
+        for held in groups(batches):
+            ends = np.cumsum([len(r[6]) // w for r in held])
+            found = repeated(np.frombuffer(b"".join(r[6] for r in held), unit.kind), ends, unit.length, unit.symbol)
+            if not len(found):
+                continue
+            row = np.searchsorted(ends, found, side="right")
+            first = np.flatnonzero(np.r_[True, (np.diff(found) != 1) | (np.diff(row) != 0)])
+            last = np.append(first[1:], len(found)) - 1
+            out = []
+            for r, a, b in zip(row[first].tolist(), found[first].tolist(), found[last].tolist()):
+                _, _, n, i, s, lo, d = held[r]
+                if n == 1:  # others are removed as a whole
+                    base = lo - int(ends[r]) + len(d) // w
+                    out.append((i, s, base + a, base + b + unit.length))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], _PLACE)
+
+    return run
+
+
+_PLACE = ["id", "same", "lo", "hi"]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -301,100 +371,139 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(t).alias("same"), t.alias("t"))
 
 
-def spans(keyed: DataFrame) -> DataFrame:
-    """(id, same, lo, hi) of removed stretches, in any order, overlapping or not."""
-    spark = keyed.sparkSession
-    found = materialize(keyed.filter(F.octet_length("t") >= LENGTH).mapInArrow(_find_runs, _RUN), "runs")
-    known = found.filter("seg IS NULL").select("id", "same", "lo", "hi")
-    keys = found.filter("seg IS NOT NULL").groupBy("key").agg(F.sum("n").alias("k")).filter("k > 1").select("key")
-    held = materialize(found.filter("seg IS NOT NULL").join(keys, "key", "left_semi"), "repeated-runs")
-    segments = materialize(held.groupBy("seg").agg(F.sum("n").alias("n"), F.min(F.struct("id", "same", "lo", "hi", "key")).alias("f")).select("seg", "n", "f.*"), "segments")
-    total = held.count()
-    whole = skew_safe_join(held.select("seg", "id", "same", "lo", "hi"), segments.filter("n > 1").select("seg", F.col("n").alias("k")), "seg", "k", total).select("id", "same", "lo", "hi")
-    many = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    # keys of over HOT segments: at most segments / HOT, marked here so that no list of them is needed
-    compared = segments.join(many, "key").select("id", "same", F.struct("lo", "hi", "key", "seg", "n", (F.col("m") > HOT).alias("hot")).alias("s"))
-    wanted = compared.groupBy("id", "same").agg(F.collect_list("s").alias("parts"))
-    fetched = wanted.join(keyed, ["id", "same"])
+_CUT_NAMES = ["key", "seg", "n", "id", "same", "lo", "at", "data", "hot"]
+_CUT_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+_CUT = "key long, seg binary, n long, id long, same long, lo long, at long, data binary, hot boolean"
+
+
+def _cut(unit: Unit):
+    """The items of wanted segments of each text."""
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CUT_TYPES)], _CUT_NAMES)
 
-    def cut(batches):
+    def run(batches):
         for batch in batches:
             out = []
             for i, same, parts, text in zip(*(batch.column(c).to_pylist() for c in ("id", "same", "parts", "t"))):
-                raw = text.encode()
-                out += [(p["key"], p["seg"], p["n"], i, same, p["lo"], raw[p["lo"] : p["hi"]], p["hot"]) for p in parts]
+                raw = _values(text, unit)
+                out += [(p["key"], p["seg"], p["n"], i, same, p["lo"], p["at"], raw[p["lo"] : p["hi"]].tobytes(), p["hot"]) for p in parts]
                 if len(out) > 20_000:
-                    yield _cut_batch(out)
+                    yield made(out)
                     out = []
             if out:
-                yield _cut_batch(out)
+                yield made(out)
+
+    return run
 
-    def _cut_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CUT_TYPES)], _CUT_NAMES)
 
-    pieces = materialize(fetched.mapInArrow(cut, "key long, seg binary, n long, id long, same long, lo long, data binary, hot boolean"), "segment-bytes")
-    cold = pieces.filter("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "id long, same long, lo long, hi long")
+def spans(keyed: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """(id, same, lo, hi) of stretches of repeated strings, in any order, overlapping or not; in items of the text."""
+    found = materialize(keyed.filter(F.octet_length("t") >= unit.length * (2 if unit.words else 1) - 1).mapInArrow(_find_runs(unit), _RUN), "runs")
+    known, own = found.filter("seg IS NULL").select(*_PLACE), found.filter("seg IS NOT NULL")
+    keys = own.groupBy("key").agg(F.sum("n").alias("k"), F.count(F.lit(1)).alias("rows")).filter("k > 1").select("key", "rows")
+    held = materialize(skew_safe_join(own, keys, "key", "rows", found.count()).drop("rows"), "repeated-runs")
+    segments = materialize(held.groupBy("seg").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "same", "lo", "hi", "key", "at")).alias("f")).select("seg", "n", "rows", "f.*"), "segments")
+    whole = skew_safe_join(held.select("seg", *_PLACE), segments.filter("n > 1").select("seg", "rows"), "seg", "rows", held.count()).select(*_PLACE)
+    many = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # keys of over HOT segments are marked here, so that no list of them is needed
+    compared = skew_safe_join(segments.drop("rows"), many, "key", "m", segments.count()).select("id", "same", F.struct("lo", "hi", "key", "seg", "n", "at", (F.col("m") > HOT).alias("hot")).alias("s"))
+    wanted = compared.groupBy("id", "same").agg(F.collect_list("s").alias("parts"))  # a text's length bounds them
+    pieces = materialize(wanted.join(keyed, ["id", "same"]).mapInArrow(_cut(unit), _CUT), "segment-items")
+    cold = pieces.filter("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(unit), "id long, same long, lo long, hi long")
     out = known.unionByName(whole).unionByName(cold)
     hot = pieces.filter("hot")
     if hot.isEmpty():
         return out
-    return out.unionByName(_by_digest(hot.dropDuplicates(["seg"])))
+    return out.unionByName(_by_digest(materialize(hot.dropDuplicates(["seg"]), "hot-segments"), unit))
 
 
-_CUT_NAMES = ["key", "seg", "n", "id", "same", "lo", "data", "hot"]
-_CUT_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+def _by_digest(hot: DataFrame, unit: Unit) -> DataFrame:
+    """Repeated strings of segments of hot anchors, by the counts of digests: first of pieces, then of the strings that hold
+    a repeated one."""
+    w, piece = unit.kind.itemsize, unit.length - unit.grid + 1
 
+    def grid(batches):
+        from xxhash import xxh3_128_digest
 
-def _by_digest(hot: DataFrame) -> DataFrame:
-    """Repeated strings of segments of hot anchors, by the count of each string's digest."""
+        for batch in batches:
+            out = []
+            for seg, at, data in zip(*(batch.column(c).to_pylist() for c in ("seg", "at", "data"))):
+                # places as far from the anchor as a multiple of the grid: equal strings have them in the same places
+                out += [(xxh3_128_digest(data[w * x : w * (x + piece)]), seg, x) for x in range(at % unit.grid, len(data) // w - piece + 1, unit.grid)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64()))], ["digest", "seg", "x"])
 
     def strings(batches):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for i, same, lo, n, data in zip(*(batch.column(c).to_pylist() for c in ("id", "same", "lo", "n", "data"))):
-                d = [xxh3_128_digest(data[x : x + LENGTH]) for x in range(len(data) - LENGTH + 1)]
-                k = len(d)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array([i] * k, pa.int64()), pa.array([same] * k, pa.int64()), pa.array(range(lo, lo + k), pa.int64()), pa.array([n] * k, pa.int64())], ["digest", "id", "same", "lo", "n"])
+            out = []
+            for i, same, lo, n, data, places in zip(*(batch.column(c).to_pylist() for c in ("id", "same", "lo", "n", "data", "places"))):
+                top = len(data) // w - unit.length
+                starts = sorted({s for x in places for s in range(max(0, x - unit.grid + 1), min(x, top) + 1)})
+                out += [(xxh3_128_digest(data[w * s : w * (s + unit.length)]), i, same, lo + s, n) for s in starts]
+                if len(out) > 50_000:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), *[pa.int64()] * 4))], ["digest", "id", "same", "lo", "n"])
+
+    def repeats(rows: DataFrame) -> DataFrame:
+        counts = materialize(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "digest-counts")
+        return skew_safe_join(rows, counts, "digest", "k", rows.count())
 
-    rows = materialize(hot.mapInArrow(strings, "digest binary, id long, same long, lo long, n long"), "strings")
-    counts = materialize(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "string-counts")
-    found = skew_safe_join(rows.filter("n = 1").drop("n"), counts, "digest", "k", rows.count())
-    return found.select("id", "same", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    places = repeats(materialize(hot.mapInArrow(grid, "digest binary, seg binary, x long"), "grid-pieces")).groupBy("seg").agg(F.collect_set("x").alias("places"))
+    rows = materialize(hot.join(places, "seg").mapInArrow(strings, "digest binary, id long, same long, lo long, n long"), "strings")
+    return repeats(rows).filter("n = 1").select("id", "same", "lo", (F.col("lo") + unit.length).alias("hi"))
+
+
+def _merged(found) -> list[list[int]]:
+    """Stretches that overlap or touch as one; they come sorted."""
+    merged: list[list[int]] = []
+    for s in found:
+        if merged and s["lo"] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], s["hi"])
+        else:
+            merged.append([s["lo"], s["hi"]])
+    return merged
 
 
 def _applied(keyed: DataFrame, digest: bool) -> DataFrame:
-    """Removal on every row: (id, same, n_bytes, n_removed, n_spans, kept_sha256 or kept binary)."""
-    removed = spans(keyed).groupBy("id", "same").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))  # a text's length bounds them
+    """Removal on every row: (id, same, n_bytes, n_removed, n_spans, kept_sha256 or kept binary, n_passages, n_passage_words)."""
+    every = spans(keyed).withColumn("words", F.lit(False)).unionByName(spans(keyed, WORDS).withColumn("words", F.lit(True)))
+    of = lambda words: F.sort_array(F.collect_set(F.when(F.col("words") == words, F.struct("lo", "hi"))))
+    removed = every.groupBy("id", "same").agg(of(False).alias("spans"), of(True).alias("passages"))  # a text's length bounds them
     last = "kept_sha256" if digest else "kept"
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "spans"))):
+            for i, text, found, passages in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "spans", "passages"))):
                 raw = text.encode()
-                kept, at, removed_bytes, n = [], 0, 0, 0
-                merged: list[list[int]] = []
-                for s in found or ():
-                    if merged and s["lo"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["hi"])
-                    else:
-                        merged.append([s["lo"], s["hi"]])
-                for lo, hi in merged:
+                kept, at, removed_bytes = [], 0, 0
+                cuts, other = _merged(found or ()), _merged(passages or ())
+                for lo, hi in cuts:
                     kept.append(raw[at:lo])
-                    removed_bytes, n, at = removed_bytes + hi - lo, n + 1, hi
+                    removed_bytes, at = removed_bytes + hi - lo, hi
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                out.append((None if i == LOWEST else i, len(raw), removed_bytes, n, hashlib.sha256(rest).hexdigest() if digest else rest))
+                out.append((None if i == LOWEST else i, len(raw), removed_bytes, len(cuts), hashlib.sha256(rest).hexdigest() if digest else rest, len(other), sum(y - x for x, y in other)))
             if out:
-                types = [pa.int64()] * 4 + [pa.string() if digest else pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "n_bytes", "n_removed", "n_spans", last])
+                types = [pa.int64()] * 4 + [pa.string() if digest else pa.binary()] + [pa.int64()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return keyed.join(removed, ["id", "same"], "left").select("id", "t", "spans").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} " + ("string" if digest else "binary"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", last, "n_passages", "n_passage_words"]
+    kinds = ["long"] * 4 + ["string" if digest else "binary"] + ["long"] * 2
+    return keyed.join(removed, ["id", "same"], "left").select("id", "t", "spans", "passages").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary): what is left of every row; a cut may fall inside a character."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, n_passages, n_passage_words): what is left of every row; a cut may
+    fall inside a character. Passages are counted in the input: maximal stretches of words, and their words."""
     return _applied(_keyed(docs, id_col, text_col), digest=False)
 
 
