@@ -1,15 +1,17 @@
 """Quality classifier by co-training of two views.
 
 One view sees the text (shares of symbols, capitals, repeats and so on over the whole text), the other the page's
-metadata (language, source, stated length). Both start from labelled documents; in each round a view's most confident
-judgements on an unlabelled pool become labels for the other. Each view is calibrated on labelled documents it
-wasn't trained on, and their log-odds are added. Features and scores are DataFrame expressions over all documents;
-only the two samples, of LABELLED and POOL rows at most, reach the driver.
+metadata (language, source, stated length). Both start from labelled documents; in each round a view's PER_ROUND most
+confident judgements on all unlabelled documents become labels for the other. Each view is calibrated on labelled
+documents it wasn't trained on, and their log-odds are added. Features and scores are DataFrame expressions over all
+documents; only the labelled sample, of LABELLED rows at most, and the rows picked in each round reach the driver.
 
 A document is rejected if its score is below the limit: one half, or lower, so that at most LOST of the good documents
-held out are rejected. Null and empty texts have zero features, null metadata are values of their own. Labels given
-twice count by their mean (a half is good), those of unknown documents not at all. Without labels of both kinds nothing
-can be learnt: all scores are 1 and every document stays. Repeated rows are scored alike; an empty table gives no rows.
+held out are rejected, the lowest of them never counted, and not under LEAST_LIMIT. Null and empty texts have zero
+features, null metadata are values of their own. Labels given twice count by their mean (a half is good), those of
+unknown documents not at all; of different texts under one id the smallest by features is learnt from. Unlabelled
+documents with the same features are one. Without labels of both kinds nothing can be learnt: all scores are 1 and every
+document stays. Repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, let, text_of
+from .shared import documents, let, materialize, text_of
 
-#: Most labelled and unlabelled rows that training sees, chosen by a hash of the id.
-LABELLED, POOL = 20_000, 20_000
+#: Most labelled rows that training sees, chosen by a hash of the id.
+LABELLED = 20_000
 ROUNDS, CONFIDENT, PER_ROUND = 5, 0.97, 1000
-LOST = 0.005
+LOST, LEAST_LIMIT = 0.005, 0.25
 LANGS, SOURCES = 8, 32
 SPACE = " \t\n\x0b\x0c\r"
 TEXT = ["symbols", "marks", "capitals", "digits", "stops", "word_length", "log_words", "distinct", "again", "lines"]
@@ -73,28 +75,29 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pools: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of both views. y: labels of the first rows; the pool's rows get labels from the other view, each once."""
-    given = [np.full(len(pools[0]), -1.0), np.full(len(pools[0]), -1.0)]
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, picks, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both views. y: labels of the rows of ``views``.
+
+    ``picks(k, label, w, n, known)`` gives the n unlabelled rows, as (number, row of view 0, row of view 1), that view k with
+    weights w is surest about, those that are ``known`` left out; they become labels of the other view, each once."""
+    given: list[dict] = [{}, {}]
 
     def fitted(k):
-        has = given[k] >= 0
-        return fit(np.r_[views[k], pools[k][has]], np.r_[y, given[k][has]])
+        own = list(given[k].values())
+        x = np.array([v[k] for v, _ in own]).reshape(len(own), views[k].shape[1])
+        return fit(np.r_[views[k], x], np.r_[y, [label for _, label in own]])
 
     w = [fitted(0), fitted(1)]
     for _ in range(rounds):
-        changed = False
+        new = []
         for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(_odds(pools[k], w[k]), -30, 30)))
-            other = given[1 - k]
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
+            for label in (1.0, 0.0):
                 # as many of each class as its share of the labelled rows
-                share = y.mean() if label else 1 - y.mean()
-                open_ = np.flatnonzero((other < 0) & (sure >= CONFIDENT))
-                pick = open_[np.argsort(-sure[open_], kind="stable")][: int(PER_ROUND * share)]
-                other[pick] = label
-                changed |= bool(len(pick))
-        if not changed:
+                n = int(PER_ROUND * (y.mean() if label else 1 - y.mean()))
+                new += [(1 - k, number, (v0, v1), label) for number, v0, v1 in picks(k, label, w[k], n, given[1 - k])]
+        for k, number, v, label in new:
+            given[k].setdefault(number, (v, label))
+        if not new:
             break
         w = [fitted(0), fitted(1)]
     return w[0], w[1]
@@ -109,41 +112,65 @@ def _views(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return x, meta
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, **columns) -> dict | None:
-    """The model, or None if there are no labels of both kinds."""
-    id_col = columns.get("id_col", "doc_id")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    order = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id")
+def _text_odds(w: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> Column:
+    out = F.lit(float(w[-1]))
+    for i in range(len(TEXT)):
+        out = out + F.lit(float(w[i])) * F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.get("x", F.lit(i)) - float(mean[i])) / float(scale[i])))
+    return out
+
+
+def _meta_odds(w: np.ndarray, size: tuple[float, float]) -> Column:
+    at = lambda values, c: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(c))
+    return F.lit(float(w[-1])) + at(w[:LANGS], "lang") + at(w[LANGS : LANGS + SOURCES], "source") + F.lit(float(w[-2])) * (F.col("size") - float(size[0])) / float(size[1])
+
+
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict | None:
+    """The model, or None if there are no labels of both kinds. ``rows``: ``features`` of all documents, materialised."""
+    own = ["x", "lang", "source", "size"]
     votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).filter("doc_id IS NOT NULL AND q IS NOT NULL").groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("double").alias("y"))
-    known = order(votes.join(narrow.distinct(), "doc_id", "left_semi")).limit(labelled)
-    free = order(narrow.distinct().join(votes, "doc_id", "left_anti").filter("doc_id IS NOT NULL")).limit(pool).select("doc_id", F.lit(-1.0).alias("y"))
-    # labelled + pool rows at most
-    sample = F.broadcast(known.unionByName(free).select(F.col("doc_id").alias("__sample_id"), F.col("y").alias("__y")))
-    chosen = docs.withColumn("__sample_id", F.col(id_col).cast("long")).join(sample, "__sample_id")
-    rows = features(chosen, **columns, carry=(F.col("__y").alias("y"),)).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    y = np.array([r.y for r in rows])
-    own = [r for r in rows if r.y >= 0]
-    if not own or len({r.y for r in own}) < 2:
+    known = rows.join(votes, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(*own)).alias("f"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("doc_id", "y", "f.*").collect()
+    if len({r.y for r in sample}) < 2:
         return None
-    (xt, xm), (pt, pm), y = _views(own), _views([r for r in rows if r.y < 0]), y[y >= 0]
+    sample.sort(key=lambda r: r.doc_id)
+    y = np.array([r.y for r in sample])
+    xt, xm = _views(sample)
     mean, scale = xt.mean(0), xt.std(0) + 1e-9
     size = (xm[:, -1].mean(), xm[:, -1].std() + 1e-9)
-    for m in (xm, pm):
+
+    def scaled(t, m):
+        m = m.copy()
         m[:, -1] = (m[:, -1] - size[0]) / size[1]
-    xt, pt = np.clip((xt - mean) / scale, -8, 8), np.clip((pt - mean) / scale, -8, 8)
-    held = np.arange(len(y)) % 5 == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    wt, wm = co_train((xt[~held], xm[~held]), y[~held], (pt, pm))
-    test = held if held.any() else ~held
+        return np.clip((t - mean) / scale, -8, 8), m
+
+    # all unlabelled documents; copies become one in each task before they meet
+    free = rows.join(votes, "doc_id", "left_anti").groupBy(*own).agg(F.count(F.lit(1)).alias("n"))
+    pool = materialize(free.select(*own, F.monotonically_increasing_id().alias("number")), "pool")
+    sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def picks(k, label, w, n, given):
+        odds = _text_odds(w, mean, scale) if k == 0 else _meta_odds(w, size)
+        top = pool.withColumn("__o", odds if label else -odds).filter(F.col("__o") >= sure)
+        # PER_ROUND rows for each round at most
+        found = top.orderBy(F.desc("__o"), F.xxhash64(*own), "number").limit(n + len(given)).collect() if n else []
+        found = [r for r in found if r.number not in given][:n]
+        return zip([r.number for r in found], *scaled(*_views(found)))
+
+    xt, xm = scaled(xt, xm)
+    fold = np.arange(len(y)) % 5
+    # the calibration's fold, the figure's, and the rest to train on; with few labels all are one
+    cal, test, own_fold = fold == 0, fold == 1, fold > 1
+    if any(len(set(y[f])) < 2 for f in (cal, test, own_fold)):
+        cal = test = own_fold = np.ones(len(y), bool)
+    wt, wm = co_train((xt[own_fold], xm[own_fold]), y[own_fold], picks)
     # calibration: the log-odds, scaled and shifted to fit the labels held out
-    ct, cm = (_calibrated(_odds(x[test], w), y[test]) for x, w in ((xt, wt), (xm, wm)))
+    ct, cm = (_calibrated(_odds(x[cal], w), y[cal]) for x, w in ((xt, wt), (xm, wm)))
     prior = np.log(y.mean() / (1 - y.mean()))
-    odds = ct[0] * _odds(xt[test], wt) + ct[1] + cm[0] * _odds(xm[test], wm) + cm[1] - prior
-    good = np.sort(odds[y[test] == 1])
-    limit = min(0.0, float(good[int(LOST * len(good))]) - 1e-6)
-    return {"mean": mean, "scale": scale, "size": size, "text": wt, "meta": wm, "cal_text": ct, "cal_meta": cm, "prior": float(prior), "limit": limit, "held_out": (odds, y[test])}
+    both = lambda f: ct[0] * _odds(xt[f], wt) + ct[1] + cm[0] * _odds(xm[f], wm) + cm[1] - prior
+    good = np.sort(both(cal)[y[cal] == 1])
+    lost = max(1, int(LOST * len(good)))
+    limit = max(float(np.log(LEAST_LIMIT / (1 - LEAST_LIMIT))), min(0.0, float(good[min(lost, len(good) - 1)]) - 1e-6))
+    return {"mean": mean, "scale": scale, "size": size, "text": wt, "meta": wm, "cal_text": ct, "cal_meta": cm, "prior": float(prior), "limit": limit, "held_out": (both(test), y[test])}
 
 
 def _calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -167,19 +194,14 @@ def score(rows: DataFrame, model: dict | None) -> DataFrame:
 
 
 def _logits(model: dict) -> tuple[Column, Column, float, float]:
-    number = lambda v: F.lit(float(v))
-    wt, wm, (a, b), (c, d) = model["text"], model["meta"], model["cal_text"], model["cal_meta"]
-    t = number(wt[-1])
-    for i in range(len(TEXT)):
-        t = t + number(wt[i]) * F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.get("x", F.lit(i)) - number(model["mean"][i])) / number(model["scale"][i])))
-    at = lambda values, c: F.get(F.array(*[number(v) for v in values]), F.col(c))
-    m = number(wm[-1]) + at(wm[:LANGS], "lang") + at(wm[LANGS : LANGS + SOURCES], "source") + number(wm[-2]) * (F.col("size") - number(model["size"][0])) / number(model["size"][1])
-    return t * number(a) + number(b), m * number(c) + number(d), model["prior"], model["limit"]
+    (a, b), (c, d) = model["cal_text"], model["cal_meta"]
+    return _text_odds(model["text"], model["mean"], model["scale"]) * a + b, _meta_odds(model["meta"], model["size"]) * c + d, model["prior"], model["limit"]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with all their columns; nothing is shuffled."""
-    model = train(docs, labels, **columns)
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns. Texts aren't shuffled: their
+    features are found once more where they are."""
+    model = train(materialize(features(docs, **columns), "features"), labels)
     if model is None:
         return docs
     text, meta, prior, limit = _logits(model)
@@ -188,5 +210,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return score(features(docs), train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = materialize(features(documents(spark, sf_dir)), "features")
+    return score(rows, train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))

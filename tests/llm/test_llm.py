@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,13 +323,19 @@ def test_simhash(spark, odd, empty):
     assert sorted(r.doc_id for r in simhash.keep_one(near).collect()) == [1, 3]
 
 
-def removed(rows, length):
-    count = Counter(b[i : i + length] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - length + 1))
+def removed(rows, length, words):
+    """Brute force: (id, bytes, removed, spans, kept, passages, words in them) of every row."""
+
+    def repeated(texts, n):
+        count = Counter(x[i : i + n] for x in texts for i in range(len(x) - n + 1))
+        for x in texts:
+            gone = {j for i in range(len(x) - n + 1) if count[x[i : i + n]] > 1 for j in range(i, i + n)}
+            yield gone, sum(j - 1 not in gone for j in gone)
+
+    raw = [(t or "").encode() for _, t in rows]
     out = Counter()
-    for d, t in rows:
-        b = (t or "").encode()
-        gone = {j for i in range(len(b) - length + 1) if count[b[i : i + length]] > 1 for j in range(i, i + length)}
-        out[d, len(b), len(gone), sum(j - 1 not in gone for j in gone), bytes(b[i] for i in range(len(b)) if i not in gone)] += 1
+    for (d, _), b, (gone, n), (passage, m) in zip(rows, raw, repeated(raw, length), repeated([tuple(b.split()) for b in raw], words)):
+        out[d, len(b), len(gone), n, bytes(c for i, c in enumerate(b) if i not in gone), m, len(passage)] += 1
     return out
 
 
@@ -413,15 +421,21 @@ def test_trie_with_equal_fingerprints():
 
 
 @pytest.mark.parametrize("hot", [3000, 3])
-def test_suffix_dedup(spark, hot, monkeypatch):
+def test_suffix_dedup(spark, empty, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = np.random.default_rng(3)
     letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
-    shared = letters(450)
+    say = lambda n: " ".join(letters(int(k)) for k in rng.integers(1, 6, n))
+    shared, passage = letters(450), say(70)
     rows = [(1, None), (2, ""), (3, "a" * 1000), (4, "ab" * 700), (5, "xyz" * 200), (5, "xyz" * 200), (None, "é" * 250 + "w")]
     rows += [(100 + i, letters(300) + shared[: 400 + i % 50] + letters(int(rng.integers(0, 900)))) for i in range(30)]
-    got = Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == removed(rows, 400)
+    # passages of 48 to 60 words, of which those of over 50 count, in texts of their own and across white space
+    rows += [(200 + i, say(int(rng.integers(0, 80))) + " \n" + "\t ".join(passage.split()[i % 5 : 48 + i % 13]) + "  " + say(int(rng.integers(0, 80)))) for i in range(40)]
+    rows += [(300, "one " * 51), (301, "two " * 52), (302, say(51)), (303, passage), (303, passage)]
+    docs = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, seg string, id long")
+    got = Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == removed(rows, 400, 51)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
 def test_transforms_merge():
@@ -438,7 +452,7 @@ def test_transforms_merge():
 def test_classifier(spark, odd, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    odds, y = classifier.train(d, labels)["held_out"]
+    odds, y = classifier.train(classifier.features(d).cache(), labels)["held_out"]
     assert ((odds >= 0) == (y == 1)).mean() >= 0.95
     kept = classifier.keep_good(d, labels)
     assert kept.columns == d.columns
@@ -446,7 +460,44 @@ def test_classifier(spark, odd, empty):
     assert kept.join(good, "doc_id", "left_semi").count() >= 0.99 * good.count()
     none = labels.filter("quality = 1")
     assert classifier.keep_good(odd, none).count() == odd.count() and classifier.keep_good(empty, labels).count() == 0
-    assert classifier.keep_good(odd.unionByName(odd), spark.createDataFrame([(0, 0), (0, 0), (1, 1), (3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")).columns == odd.columns
+    few = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (3, 1), (4, 0), (None, 1), (5, None), (900, 1)], "doc_id long, quality int")
+    assert classifier.keep_good(odd.unionByName(odd), few).columns == odd.columns
+
+
+def test_classifier_against_brute_force(spark):
+    """Features, scores and verdicts from the model's numbers, text by text; equal ids with different texts in any order."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    twice = d.limit(1).withColumn("text", F.lit("a different text under this id $$$"))
+    rows = classifier.features(d.unionByName(twice)).cache()
+    model = classifier.train(rows, labels)
+    again = classifier.train(classifier.features(twice.unionByName(d)), labels)
+    assert all(np.allclose(model[k], again[k]) for k in ("text", "meta", "mean", "scale", "limit"))
+    got = sorted((r.doc_id, round(r.score, 6), r.kept) for r in classifier.score(rows, model).collect())
+    buckets = {(r.lang, r.source): (r.a, r.b) for r in d.select("lang", "source", F.expr(f"int(pmod(xxhash64(coalesce(lang, '\\0')), {classifier.LANGS}))").alias("a"), F.expr(f"int(pmod(xxhash64(coalesce(source, '\\0')), {classifier.SOURCES}))").alias("b")).collect()}
+    want = []
+    for r in d.unionByName(twice).collect():
+        t = r.text or ""
+        words, count = t.split(), lambda chars, t=t: sum(t.count(c) for c in chars)
+        chars, n = max(1, sum(map(len, words))), max(1, len(words))
+        upper = sum(unicodedata.category(c) == "Lu" for c in t)
+        again_ = sum(a == b for a, b in zip(words, words[1:]))
+        x = [count("#*$%&|<>@^~_=\\{}[]") / chars, count("!?") / chars, upper / chars, count("0123456789") / chars, count(".,;:") / chars, chars / n, math.log1p(len(words)), len(set(words)) / n, again_ / n, t.count("\n") / chars]
+        z = np.clip((np.array(x) - model["mean"]) / model["scale"], -8, 8)
+        a, b = buckets[r.lang, r.source]
+        m = model["meta"][a] + model["meta"][classifier.LANGS + b] + model["meta"][-2] * (math.log1p(r.n_chars or 0) - model["size"][0]) / model["size"][1] + model["meta"][-1]
+        both = model["cal_text"][0] * (z @ model["text"][:-1] + model["text"][-1]) + model["cal_text"][1] + model["cal_meta"][0] * m + model["cal_meta"][1] - model["prior"]
+        want.append((r.doc_id, round(1 / (1 + math.exp(-both)), 6), both >= model["limit"]))
+    assert [g[::2] for g in got] == [w[::2] for w in sorted(want)] and np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=1e-5)
+
+
+def test_one_odd_label_does_not_set_the_limit(spark):
+    """A junk text labelled good, among fewer than 200 good ones, is rejected like the others of its kind."""
+    good = [(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(80)) + ".") for i in range(60)]
+    bad = [(100 + i, " ".join(f"###w{(i + j) % 9}$$$" for j in range(80))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in good + bad], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 1 if i == 100 else 0) for i, _ in bad[:40]], "doc_id long, quality int")
+    assert {r.doc_id for r in classifier.keep_good(docs, labels).collect()} == set(range(60))
 
 
 def test_pipeline(spark):
