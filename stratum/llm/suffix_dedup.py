@@ -56,7 +56,9 @@ class Unit:
 LENGTH, PASSAGE = 400, 51
 BYTES, WORDS = Unit(False, LENGTH, 32, 100, 40), Unit(True, PASSAGE, 8, 17, 5)
 #: Items of text that anchors are sought in at once, and of segments compared at once and in one shard.
-PIECE, GROUP, SHARD = 1 << 21, 1 << 21, 1 << 19
+PIECE, GROUP, SHARD = 1 << 20, 1 << 20, 1 << 18
+#: Rows whose lists are Python objects at once.
+ROWS = 512
 #: Different segments of one anchor beyond which their strings are dealt out by digest.
 HOT = 3000
 LOWEST = -(1 << 63)
@@ -325,7 +327,7 @@ def _compare(unit: Unit):
     w = unit.kind.itemsize
 
     def rows(batches):
-        for batch in batches:
+        for batch in _few(batches):
             yield from zip(*(batch.column(c).to_pylist() for c in ("key", "seg", "n", "id", "same", "lo", "data")))
 
     def groups(batches):
@@ -376,6 +378,13 @@ _CUT_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.in
 _CUT = "key long, seg binary, n long, id long, same long, lo long, at long, data binary, hot boolean"
 
 
+def _few(batches):
+    """Batches of ROWS rows at most."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _cut(unit: Unit):
     """The items of wanted segments of each text."""
 
@@ -383,12 +392,12 @@ def _cut(unit: Unit):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CUT_TYPES)], _CUT_NAMES)
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for i, same, parts, text in zip(*(batch.column(c).to_pylist() for c in ("id", "same", "parts", "t"))):
                 raw = _values(text, unit)
                 out += [(p["key"], p["seg"], p["n"], i, same, p["lo"], p["at"], raw[p["lo"] : p["hi"]].tobytes(), p["hot"]) for p in parts]
-                if len(out) > 20_000:
+                if len(out) > 5_000:
                     yield made(out)
                     out = []
             if out:
@@ -426,7 +435,7 @@ def _by_digest(hot: DataFrame, unit: Unit) -> DataFrame:
     def grid(batches):
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for seg, at, data in zip(*(batch.column(c).to_pylist() for c in ("seg", "at", "data"))):
                 # places as far from the anchor as a multiple of the grid: equal strings have them in the same places
@@ -443,7 +452,7 @@ def _by_digest(hot: DataFrame, unit: Unit) -> DataFrame:
                 top = len(data) // w - unit.length
                 starts = sorted({s for x in places for s in range(max(0, x - unit.grid + 1), min(x, top) + 1)})
                 out += [(xxh3_128_digest(data[w * s : w * (s + unit.length)]), i, same, lo + s, n) for s in starts]
-                if len(out) > 50_000:
+                if len(out) > 20_000:
                     yield made(out)
                     out = []
             if out:
@@ -480,7 +489,7 @@ def _applied(keyed: DataFrame, digest: bool) -> DataFrame:
     last = "kept_sha256" if digest else "kept"
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for i, text, found, passages in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "spans", "passages"))):
                 raw = text.encode()
