@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 MONTHS = {"JAN": 1, "FEB": 2, "MAR": 3, "MRZ": 3, "APR": 4, "MAY": 5, "MAI": 5, "JUN": 6, "JUL": 7, "AUG": 8, "SEP": 9, "OCT": 10, "OKT": 10, "NOV": 11, "DEC": 12, "DEZ": 12}
 #: Foundries whose prefix differs from their name.
 PREFIXES = {"tree_tagger": "tt", "marmot-malt": "marmot"}
-LAST = 2147483647
+#: Sorts behind every number.
+LAST = (1 << 63) - 1
+#: Shapes of dates, the more exact and the dotted first, and the group of each that is year, month and day; fixed values.
+DATE_SHAPES = [
+    (r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", (3, 2, 1)),
+    (r"\b(\d{4})\.(\d{1,2})\.(\d{1,2})\b", (1, 2, 3)),
+    (r"\b(\d{4})-(\d{2})-(\d{2})\b", (1, 2, 3)),
+    (r"\b(\d{4})\.(\d{1,2})\b", (1, 2)),
+    (r"\b(\d{4})-(\d{2})\b", (1, 2)),
+    (r"\b(\d{4})\b", (1,)),
+]
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:
@@ -61,6 +71,11 @@ def encode_link(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F"))
 
 
+def encode_form(c: Column) -> Column:
+    """Percent encoding as forms have it: a space becomes +."""
+    return F.url_encode(c)
+
+
 def data_uri(value: Column) -> Column:
     return F.concat(F.lit("data:,"), value)
 
@@ -105,7 +120,7 @@ def order_key(text_id: Column) -> Column:
     rank = F.lit(LAST)
     for name, n in MONTHS.items():
         rank = F.when((F.length(middle) == 3) & (F.upper(middle) == name), n).otherwise(rank)
-    number = F.coalesce(F.get(part, F.lit(2)).try_cast("int"), F.lit(LAST))
+    number = F.coalesce(F.get(part, F.lit(2)).try_cast("long"), F.lit(LAST))
     return F.struct(part[0].alias("prefix"), rank.alias("month"), F.when(rank == LAST, middle).otherwise("").alias("middle"), number.alias("number"), text_id.alias("id"))
 
 
@@ -125,14 +140,12 @@ def normalise_date(c: Column) -> Column:
 
 
 def _date_in(s: Column) -> Column:
-    get = lambda p, i: F.nullif(F.regexp_extract(s, p, i), F.lit(""))
-    pad = lambda x: F.lpad(x, 2, "0")
-    dmy, ymd, ym = r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", r"\b(\d{4})\.(\d{1,2})\.(\d{1,2})\b", r"\b(\d{4})\.(\d{1,2})\b"
-    dash = lambda *x: F.when(x[0].isNotNull(), F.concat_ws("-", *x))
-    return F.coalesce(
-        dash(get(dmy, 3), pad(get(dmy, 2)), pad(get(dmy, 1))), dash(get(ymd, 1), pad(get(ymd, 2)), pad(get(ymd, 3))), get(r"\b\d{4}-\d{2}-\d{2}\b", 0),
-        dash(get(ym, 1), pad(get(ym, 2))), get(r"\b\d{4}-\d{2}\b", 0), get(r"\b\d{4}\b", 0),
-    )
+    """The first shape that the text has, its parts padded and joined."""
+    out = F.lit(None).cast("string")
+    for pattern, groups in reversed(DATE_SHAPES):
+        parts = [F.regexp_extract(s, pattern, g) for g in groups]
+        out = F.when(s.rlike(pattern), F.concat_ws("-", parts[0], *[F.lpad(x, 2, "0") for x in parts[1:]])).otherwise(out)
+    return out
 
 
 def compose_date(year: Column, month: Column, day: Column, plain: Column) -> Column:

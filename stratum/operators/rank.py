@@ -12,6 +12,11 @@ def _alternatives(c: Column) -> Column:
     return F.split(c, r"\|")
 
 
+def _single(c: Column) -> Column:
+    """Whether a cell has one reading, as most have: then there is nothing to split, order or count."""
+    return ~c.contains("|")
+
+
 def certainties(misc: Column) -> Column:
     """The numbers of a cell of alternatives, others left out."""
     return F.filter(F.transform(F.filter(_alternatives(misc), lambda x: ~x.startswith("Offset=")), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
@@ -25,7 +30,7 @@ def _ordered(values: Column, numbers: Column) -> Column:
 def sorted_pos(xpos: Column, misc: Column) -> Column:
     """Readings by falling certainty, if there are as many numbers as readings; else as they are."""
     v, n = _alternatives(xpos), certainties(misc)
-    return F.when(F.size(v) == F.size(n), F.array_join(F.transform(_ordered(v, n), lambda x: x["v"]), "|")).otherwise(xpos)
+    return F.when(_single(xpos), xpos).when(F.size(v) == F.size(n), F.array_join(F.transform(_ordered(v, n), lambda x: x["v"]), "|")).otherwise(xpos)
 
 
 def sorted_misc(xpos: Column, misc: Column) -> Column:
@@ -38,7 +43,7 @@ def sorted_lemma(lemma: Column, xpos: Column, misc: Column) -> Column:
     """Distinct lemmas; by falling certainty if lemmas, readings and numbers are equally many."""
     v, n = F.array_distinct(_alternatives(lemma)), certainties(misc)
     same = (F.size(v) == F.size(n)) & (F.size(_alternatives(xpos)) == F.size(n))
-    return F.when(same, F.array_join(F.transform(_ordered(v, n), lambda x: x["v"]), "|")).otherwise(F.array_join(v, "|"))
+    return F.when(_single(lemma), lemma).when(same, F.array_join(F.transform(_ordered(v, n), lambda x: x["v"]), "|")).otherwise(F.array_join(v, "|"))
 
 
 def payloads(prefix: Column, xpos: Column, misc: Column) -> Column:
@@ -47,8 +52,9 @@ def payloads(prefix: Column, xpos: Column, misc: Column) -> Column:
     numbers = F.transform(parts, lambda x: x.try_cast("double"))
     every = (F.size(parts) == F.size(v)) & ~F.exists(numbers, lambda x: x.isNull())
     rows = F.when(every, _ordered(v, numbers)).otherwise(F.transform(v, lambda x, i: F.struct((-F.get(numbers, i)).alias("p"), i.alias("i"), x.alias("v"))))
+    plain = F.array(F.concat(prefix, F.lit("/p:"), escape_value(xpos)))
     one = lambda x: F.concat(prefix, F.lit("/p:"), escape_value(x["v"]), F.when(x["p"].isNotNull() & (F.size(v) > 1), F.concat(F.lit("$<b>129<b>"), F.rint(-x["p"] * 255).cast("int").cast("string"))).otherwise(""))
-    return F.transform(rows, one)
+    return F.when(_single(xpos), plain).otherwise(F.transform(rows, one))
 
 
 def features(prefix: Column, feats: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import align, annotate, index, meta, rank
+from ..operators import align, annotate, index, merge, meta, rank
 from ..sources import conllu, headers, layers
 from ..sources import documents as src
 from ..storage import materialize
@@ -52,16 +52,33 @@ def query(sql: str | None = None):
     return add
 
 
-def _scan(spark: SparkSession, d: str) -> DataFrame:
-    t = src.texts(spark, d)
-    spans = src.spans(t)
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """The token layer as a table: tokenised once for a query, however many branches read it."""
+    return materialize(src.spans(src.texts(spark, d)), "spans")
+
+
+def _scanned(spans: DataFrame) -> DataFrame:
     return align.token_ids(align.sentence_scan(spans.drop("sent_idx"), spans.groupBy("text_id", "sent_idx").agg(F.max("to").alias("to"))))
 
 
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(_spans(spark, d))
+
+
 def _sentences(spans: DataFrame) -> DataFrame:
     return spans.groupBy("text_id", "sent_idx").agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
 
+_TURNS = """c AS (SELECT conv_id, turn, role, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM conversations)"""
+
+
+def _turns(spark, d) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("int")
+    return c.select(F.col("conv_id").cast("string").alias("text_id"), "turn", "role", start.alias("from"), (start + F.length("text")).cast("int").alias("to"))
+
+
 # --- text lines ---------------------------------------------------------------------------------------------------
 
 _NOW = "SELECT text_id, '@@' || text_id || ' ' || string_agg(CASE WHEN boundary AND tok_idx > 0 THEN ' <p> ' ELSE '' END || {v}, ' ' ORDER BY tok_idx) AS line FROM scan GROUP BY text_id"
@@ -132,21 +149,21 @@ def nonword_filter(spark, d):
 SELECT s.text_id, s.span_id, s.f AS "from", s.t AS "to", coalesce(min(k.tok_idx) FILTER (k.f >= s.f AND k.f < s.t), 0) AS token_from, coalesce(max(k.tok_idx) FILTER (k.t <= s.t AND k.t > s.f) + 1, count(*))::INT AS token_to
 FROM sp s JOIN tok k USING (text_id) GROUP BY ALL""")
 def span_token_range(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     moved = _sentences(spans).select("text_id", F.col("sent_idx").alias("span_id"), (F.col("from") + 1).alias("from"), (F.col("to") + 1).alias("to"))
     return align.token_range(moved, spans)
 
 
 @query(f"WITH {TOK} SELECT text_id, sent_idx, min(tok_idx) AS first_tok, max(tok_idx) AS last_tok FROM tok GROUP BY ALL")
 def sentence_token_range(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     return align.contained(_sentences(spans), spans)
 
 
 @query(f"WITH {TOK} SELECT text_id, sent_idx AS sent, min(f) || ' ' || string_agg(f::VARCHAR, ' ' ORDER BY tok_idx) AS start_offsets, max(t) || ' ' || string_agg(t::VARCHAR, ' ' ORDER BY tok_idx) AS end_offsets FROM tok GROUP BY ALL")
 def conllu_offsets(spark, d):
-    spans = src.spans(src.texts(spark, d))
-    return formats.offset_comments(_scan(spark, d), _sentences(spans))
+    spans = _spans(spark, d)
+    return formats.offset_comments(_scanned(spans), _sentences(spans))
 
 
 # --- annotation ---------------------------------------------------------------------------------------------------
@@ -154,20 +171,20 @@ def conllu_offsets(spark, d):
 
 @query(f'WITH {RULE} SELECT text_id, f AS "from", t AS "to", tok_idx, surface, lemma, upos, xpos, feats FROM rule')
 def morpho_join(spark, d):
-    t = src.tokens(src.texts(spark, d))
+    t = _spans(spark, d).drop("sent_idx")
     return align.with_morpho(t, src.rule_foundry(t)).drop("misc")
 
 
 @query(rf"""WITH {TOK} SELECT text_id, f AS "from", t AS "to", tok_idx, surface, CASE WHEN NOT regexp_matches(surface, '[\p{{L}}\p{{N}}_]') THEN 'P' || surface END AS xpos FROM tok""")
 def sparse_join(spark, d):
-    t = src.tokens(src.texts(spark, d))
+    t = _spans(spark, d).drop("sent_idx")
     return align.with_morpho(t, src.sparse_foundry(t)).select("text_id", "from", "to", "tok_idx", "surface", "xpos")
 
 
 @query(f"""WITH {RULE}, a AS (SELECT text_id, f, t, xpos FROM rule WHERE tok_idx % 2 = 0), b AS (SELECT text_id, f, t, deprel, hf, ht FROM dep WHERE tok_idx % 3 = 0)
 SELECT coalesce(a.text_id, b.text_id) AS text_id, coalesce(a.f, b.f) AS "from", coalesce(a.t, b.t) AS "to", xpos, deprel, hf AS head_from, ht AS head_to FROM a FULL JOIN b ON a.text_id = b.text_id AND a.f = b.f AND a.t = b.t""")
 def morpho_dep_merge(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     idx = spans.select("text_id", "from", "to", "tok_idx")
     m = src.rule_foundry(spans.filter("tok_idx % 2 = 0")).select("text_id", "foundry", "from", "to", "xpos")
     dep = src.dependencies(spans).join(idx.filter("tok_idx % 3 = 0"), align.SPAN, "left_semi")
@@ -176,19 +193,20 @@ def morpho_dep_merge(spark, d):
 
 @query(f"WITH {RULE} SELECT text_id, tok_idx, head, deprel FROM head")
 def dep_heads(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     return align.heads(spans.drop("sent_idx"), src.dependencies(spans)).select("text_id", "tok_idx", "head", "deprel")
 
 
 @query(f"WITH {RULE} SELECT text_id, head - 1 AS tok_idx, tok_idx AS other, deprel FROM head WHERE head > 0")
 def dep_inverse(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     return align.edges(spans.drop("sent_idx"), src.dependencies(spans)).filter("kind = 'in'").select("text_id", "tok_idx", "other", "deprel")
 
 
-@query(f"WITH {RULE} SELECT text_id, tok_idx, deprel FROM head WHERE head = 0 AND hf = 0")
+# the first sentence's first token, unless it is the whole sentence and so its own head
+@query(f"WITH {TOK} SELECT text_id, 0 AS tok_idx, 'root' AS deprel FROM sen WHERE f = 0 AND n > 1")
 def dep_roots(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     return align.edges(spans.drop("sent_idx"), src.dependencies(spans)).filter("kind = 'root'").select("text_id", "tok_idx", "deprel")
 
 
@@ -210,31 +228,48 @@ def pos_payload(spark, d):
 
 @query(f"WITH {RULE} SELECT text_id, tok_idx, 'rule/m:case:' || CASE WHEN feats LIKE '%Up' THEN 'up' ELSE 'low' END || ' rule/m:len:' || length(surface) AS feats FROM rule")
 def feats_sorted(spark, d):
-    t = src.tokens(src.texts(spark, d))
+    t = _spans(spark, d).drop("sent_idx")
     return align.with_morpho(t, src.rule_foundry(t)).select("text_id", "tok_idx", F.array_join(rank.features(F.lit("rule"), F.col("feats")), " ").alias("feats"))
 
 
-def _conllu(spark, d) -> DataFrame:
-    rows = _scan(spark, d)
-    spans = src.spans(src.texts(spark, d))
-    full = align.heads(rows, src.dependencies(spans)).drop("head_from", "head_to")
-    return align.with_morpho(full, src.rule_foundry(rows))
+def _conllu(spans: DataFrame, relations: bool = True) -> DataFrame:
+    rows = _scanned(spans)
+    if relations:
+        rows = align.heads(rows, src.dependencies(spans)).drop("head_from", "head_to")
+    return align.with_morpho(rows, src.rule_foundry(spans))
 
 
 @query(f"""WITH {RULE} SELECT r.text_id, r.tok_idx, r.sent_idx AS sent, s.id::VARCHAR AS id, r.surface AS form, lemma, upos, xpos, feats, h.head::VARCHAR AS head, deprel, '_' AS deps, '_' AS misc
 FROM rule r JOIN head h USING (text_id, tok_idx) JOIN scan s USING (text_id, tok_idx)""")
 def conllu_rows(spark, d):
-    return formats.conllu_rows(_conllu(spark, d))
+    return formats.conllu_rows(_conllu(_spans(spark, d)))
+
+
+#: The rule foundry's cells by token alone, for queries that need no relations.
+_CELLS = r"""CASE WHEN surface = '|' THEN '--' ELSE lower(surface) END AS lemma,
+  CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'NUM' WHEN NOT regexp_matches(surface, '[\p{L}\p{N}_]') THEN 'PUNCT' WHEN regexp_matches(surface, '^\p{Lu}') THEN 'NOUN' ELSE 'X' END AS upos,
+  CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'CARD' WHEN NOT regexp_matches(surface, '[\p{L}\p{N}_]') THEN '$.' WHEN regexp_matches(surface, '^\p{Lu}') THEN 'NN' ELSE 'XY' END AS xpos"""
 
 
-@query(f"WITH {RULE} SELECT r.text_id, r.tok_idx, s.id || chr(9) || r.surface || chr(9) || lemma || chr(9) || upos || chr(9) || xpos AS line FROM rule r JOIN scan s USING (text_id, tok_idx)")
+@query(f"WITH {TOK}, c AS (SELECT text_id, tok_idx, id, surface, {_CELLS} FROM scan) SELECT text_id, tok_idx, id || chr(9) || surface || chr(9) || lemma || chr(9) || upos || chr(9) || xpos AS line FROM c")
 def conllu_cols5(spark, d):
-    return formats.conllu_rows(_conllu(spark, d)).select("text_id", "tok_idx", formats.conllu_line(5).alias("line"))
+    return formats.conllu_rows(_conllu(_spans(spark, d), relations=False)).select("text_id", "tok_idx", formats.conllu_line(5).alias("line"))
+
+
+@query(f"WITH {TOK}, c AS (SELECT text_id, tok_idx, f, t, id, surface, {_CELLS} FROM scan) SELECT text_id, tok_idx, xpos, 'Offset=' || f || '-' || t AS misc FROM c")
+def conllu_misc_offsets(spark, d):
+    return formats.conllu_rows(_conllu(_spans(spark, d), relations=False), offsets=True).select("text_id", "tok_idx", "xpos", "misc")
+
+
+def _conllu_texts(spark, d, **more) -> DataFrame:
+    spans = _spans(spark, d)
+    return formats.conllu_texts(formats.conllu_rows(_conllu(spans)), formats.offset_comments(_scanned(spans), _sentences(spans)), "rule", **more)
 
 
-def _conllu_texts(spark, d) -> DataFrame:
-    spans = src.spans(src.texts(spark, d))
-    return formats.conllu_texts(formats.conllu_rows(_conllu(spark, d)), formats.offset_comments(_scan(spark, d), _sentences(spans)), "rule")
+_LINES = r"""ln AS (SELECT r.text_id, r.tok_idx, r.sent_idx, s.id || chr(9) || r.surface || chr(9) || lemma || chr(9) || upos || chr(9) || xpos || chr(9) || feats || chr(9) || h.head || chr(9) || deprel || chr(9) || '_' || chr(9) || '_' || chr(10) AS line
+FROM rule r JOIN head h USING (text_id, tok_idx) JOIN scan s USING (text_id, tok_idx)),
+off AS (SELECT text_id, sent_idx, '# start_offsets = ' || min(f) || ' ' || string_agg(f::VARCHAR, ' ' ORDER BY tok_idx) || chr(10) || '# end_offsets = ' || max(t) || ' ' || string_agg(t::VARCHAR, ' ' ORDER BY tok_idx) || chr(10) AS o FROM tok GROUP BY ALL)"""
+_HEADER = "'# foundry = rule' || chr(10) || '# filename = ' || replace(replace(text_id, '_', '/'), '.', '/') || '/rule/morpho.xml' || chr(10) || '# text_id = ' || text_id || chr(10)"
 
 
 @query(f"""WITH {RULE} SELECT r.text_id, 'rule' AS foundry, r.sent_idx, s.id::INT AS id, r.surface AS form, lemma, upos, xpos, feats, h.head::VARCHAR AS head, deprel, NULL::VARCHAR AS deps, NULL::VARCHAR AS misc, r.f AS "from", r.t AS "to"
@@ -244,38 +279,114 @@ def conllu_parse(spark, d):
     return conllu.parse(_conllu_texts(spark, d).select(F.col("text_id").alias("file"), F.col("conllu").alias("content")))
 
 
-@query()
+@query(f"""WITH {RULE}, {_LINES}, b AS (SELECT text_id, sent_idx, string_agg(line, '' ORDER BY tok_idx) AS body FROM ln GROUP BY ALL)
+SELECT text_id, {_HEADER} || string_agg(o || body || chr(10), '' ORDER BY sent_idx) AS conllu FROM off JOIN b USING (text_id, sent_idx) GROUP BY text_id""")
 def conllu_texts(spark, d):
     return _conllu_texts(spark, d)
 
 
+@query(f"""WITH {RULE}, {_LINES}, b AS (SELECT text_id, sent_idx, string_agg(CASE WHEN tok_idx % 5 = 0 THEN '# p/n = ' || tok_idx || chr(10) ELSE '' END || line, '' ORDER BY tok_idx) AS body FROM ln GROUP BY ALL)
+SELECT d.text_id, replace({_HEADER}, 'text_id =', 'text_id =') || coalesce(string_agg(o || '# constituency = (S ' || sent_idx || ')' || chr(10) || CASE WHEN sent_idx = 0 THEN '# metadata=' || source || chr(9) || lang || chr(10) ELSE '' END || body || chr(10), '' ORDER BY sent_idx), '') AS conllu
+FROM d LEFT JOIN (SELECT text_id AS i, * EXCLUDE (text_id) FROM off JOIN b USING (text_id, sent_idx)) x ON x.i = d.text_id GROUP BY d.text_id, source, lang""")
+def conllu_full(spark, d):
+    """With metadata, trees, attributes, and texts without tokens."""
+    t = src.texts(spark, d)
+    spans = _spans(spark, d)
+    rows = formats.conllu_rows(_conllu(spans))
+    trees = _sentences(spans).select("text_id", F.col("sent_idx").alias("sent"), F.concat(F.lit("(S "), F.col("sent_idx").cast("string"), F.lit(")")).alias("brackets"))
+    attrs = align.attribute_lines(spans.filter("tok_idx % 5 = 0").select("text_id", "from", F.col("tok_idx").alias("pos"), F.concat(F.lit("# p/n = "), F.col("tok_idx").cast("string")).alias("line")), spans)
+    return formats.conllu_texts(rows, formats.offset_comments(_scanned(spans), _sentences(spans)), "rule", metadata=t.select("text_id", F.array("source", "lang").alias("values")), trees=trees, attributes=attrs, texts=t)
+
+
 @query(f"""WITH {RULE} SELECT text_id, f AS "from", t AS "to", 'tagged' AS foundry, lower(surface) AS lemma, xpos FROM rule""")
 def rule_tagger(spark, d):
     return annotate.tag(src.spans(src.texts(spark, d)), annotate.REGISTRY["rule"], "tagged")
 
 
+@query(f"""WITH {RULE} SELECT text_id, 'made' AS foundry, f AS "from", t AS "to", deprel, hf AS head_from, ht AS head_to FROM dep""")
+def rule_parser(spark, d):
+    spans = _spans(spark, d)
+    tagged = annotate.tag(spans, annotate.REGISTRY["rule"], "tagged").drop("foundry")
+    return annotate.parse(spans.join(tagged, align.SPAN), annotate.PARSERS["rule"], "made")
+
+
+@query(rf"""WITH {TOK}, e AS (SELECT *, coalesce(sum((NOT regexp_matches(surface, '[\p{{L}}\p{{N}}_]'))::INT) OVER (PARTITION BY text_id, sent_idx ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ph FROM tok),
+p AS (SELECT text_id, sent_idx, 's' || sent_idx || '_n' || (ph + 1) AS node_id, 'P' AS label, min(f) AS f, max(t) AS t, 1 AS depth, string_agg('t_' || tok_idx, ' ' ORDER BY tok_idx) AS children FROM e GROUP BY text_id, sent_idx, ph)
+SELECT text_id, node_id, label, f AS "from", t AS "to", depth, children FROM p
+UNION ALL SELECT text_id, 's' || sent_idx || '_n0', 'S', min(f), max(t), 0, string_agg(node_id, ' ' ORDER BY f) FROM p GROUP BY text_id, sent_idx""")
+def rule_trees(spark, d):
+    """Trees by a parser, each node with its depth."""
+    nodes = materialize(annotate.parse_trees(_spans(spark, d), annotate.TREE_PARSERS["rule"], "made"), "trees")
+    found = nodes.join(align.tree_depths(nodes), ["text_id", "foundry", "node_id"])
+    return found.select("text_id", "node_id", "label", "from", "to", "depth", F.array_join(F.transform("children", lambda c: c["id"]), " ").alias("children"))
+
+
 @query(f"WITH {TOK} SELECT text_id, '@@' || text_id || ' ' || string_agg(surface, ' ' ORDER BY tok_idx) || chr(10) AS output FROM tok GROUP BY text_id")
 def external_pipe(spark, d):
-    rows = _scan(spark, d).withColumn("boundary", F.lit(False))
+    rows = _spans(spark, d).withColumn("boundary", F.lit(False))
     return annotate.pipe(formats.now_lines(rows, F.col("surface")).select("text_id", F.concat("line", F.lit("\n")).alias("conllu")), "cat")
 
 
+@query(f"""WITH {RULE}, x AS (SELECT text_id, tok_idx, '<span id="s' || (sent_idx + 1) || '_n' || row_number() OVER (PARTITION BY text_id, sent_idx ORDER BY tok_idx) || '" from="' || f || '" to="' || t || '"><rel label="' || deprel || '"><span from="' || hf || '" to="' || ht || '"/></rel></span>' AS s FROM dep)
+SELECT text_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<layer docid="' || text_id || '"><spanList>' || string_agg(s, '' ORDER BY tok_idx) || '</spanList></layer>' AS xml FROM x GROUP BY text_id""")
+def dependency_xml(spark, d):
+    """Relations with heads by number, as CoNLL-U has them, to spans and XML."""
+    spans = _spans(spark, d)
+    numbered = src.dependencies(spans).select(*align.SPAN, "deprel").join(spans.select(*align.SPAN, "tok_idx", "sent_idx"), align.SPAN)
+    w = Window.partitionBy("text_id", "sent_idx").orderBy("tok_idx")
+    rows = numbered.withColumn("head", (F.row_number().over(w) - 1).cast("string")).drop("sent_idx")
+    # a sentence ends where its last token starts, so the next one's first token starts behind that
+    ends = spans.groupBy("text_id", "sent_idx").agg(F.max("from").alias("to"))
+    bounds = _sentences(spans).select("text_id", "sent_idx", "from", F.col("to").alias("end"))
+    found = align.relation_spans(rows, ends.join(bounds, ["text_id", "sent_idx"]).select("text_id", "sent_idx", "from", "to"))
+    whole = bounds.select("text_id", F.col("sent_idx").alias("sent"), "end")
+    root = found.join(whole, ["text_id", "sent"]).withColumn("head_to", F.when(F.col("deprel") == "root", F.col("end")).otherwise(F.col("head_to")))
+    return formats.dependency_xml(root)
+
+
+@query(f"""WITH {TOK} SELECT text_id, tok_idx, 'out' AS kind, 0 AS other, 'n' AS deprel FROM tok WHERE tok_idx > 0 AND tok_idx % 7 = 3
+UNION ALL SELECT text_id, 0, 'in', tok_idx, 'n' FROM tok WHERE tok_idx > 0 AND tok_idx % 7 = 3 UNION ALL SELECT text_id, tok_idx, 'root', -1, 'r' FROM tok WHERE tok_idx % 7 = 5""")
+def dep_numeric_heads(spark, d):
+    """Heads given as numbers: 1, 0, and one beyond the text, which gives nothing."""
+    spans = _spans(spark, d)
+    k = F.col("tok_idx") % 7
+    none = F.lit(None).cast("int")
+    rows = spans.filter(k.isin(3, 5, 6)).select("text_id", F.lit("num").alias("foundry"), "from", "to", F.when(k == 3, "n").when(k == 5, "r").otherwise("x").alias("deprel"), none.alias("head_from"), none.alias("head_to"), F.when(k == 3, "1").when(k == 5, "0").otherwise("999999999").alias("head"))
+    return align.edges(spans.drop("sent_idx"), rows)
+
+
+@query(f"""WITH {RULE} SELECT text_id, f AS "from", t AS "to", CASE WHEN tok_idx % 2 = 0 THEN xpos ELSE 'B' END AS xpos, CASE WHEN tok_idx % 3 = 0 THEN lemma ELSE 'b' END AS lemma FROM rule""")
+def fill_empty_cells(spark, d):
+    """Two readings of the same tokens, the second where the first has nothing."""
+    spans = _spans(spark, d)
+    r = src.rule_foundry(spans).join(spans.select(*align.SPAN, "tok_idx"), align.SPAN)
+    first = r.select(*align.SPAN, F.when(F.col("tok_idx") % 2 == 0, F.col("xpos")).otherwise("_").alias("xpos"), F.when(F.col("tok_idx") % 3 == 0, F.col("lemma")).alias("lemma"))
+    return align.fill_empty(first, spans.select(*align.SPAN, F.lit("B").alias("xpos"), F.lit("b").alias("lemma")))
+
+
+@query(f"WITH {TOK} SELECT text_id, CASE WHEN sum((NOT regexp_matches(surface, '[\\p{{L}}\\p{{N}}_]'))::INT) > 0 THEN '' ELSE 'sparse' END AS missing FROM tok GROUP BY text_id")
+def foundry_gaps(spark, d):
+    """Which foundries a text lacks."""
+    spans = _spans(spark, d)
+    seen = spans.select("text_id", F.lit("base").alias("foundry")).unionByName(src.sparse_foundry(spans).select("text_id", "foundry"))
+    return align.gaps(seen, ["base", "sparse"]).select("text_id", F.array_join("missing", " ").alias("missing"))
+
+
 # --- index --------------------------------------------------------------------------------------------------------
 
 @query(rf"""WITH {TOK}, x AS (SELECT text_id, bool_or(NOT regexp_matches(surface, '[\p{{L}}\p{{N}}_]')) AS s FROM tok GROUP BY text_id)
 SELECT text_id, 'alt/l=tokens alt/p=tokens dep/d=rels rule/l=tokens rule/m=tokens rule/p=tokens rule/u=tokens' || CASE WHEN s THEN ' sparse/p=tokens' ELSE '' END AS layer_infos,
 'alt alt/morpho dep dep/dependency rule rule/morpho' || CASE WHEN s THEN ' sparse sparse/morpho' ELSE '' END AS foundries FROM x""")
 def layer_infos(spark, d):
-    spans = src.spans(src.texts(spark, d))
+    spans = _spans(spark, d)
     m = src.rule_foundry(spans).unionByName(src.alt_foundry(spans)).unionByName(src.sparse_foundry(spans))
     return index.layer_summary(index.layer_infos(m, src.dependencies(spans)))
 
 
-def _index_rows(spark, d) -> DataFrame:
-    spans = materialize(src.spans(src.texts(spark, d)), "spans")
+def _index_rows(spans: DataFrame) -> DataFrame:
     s = materialize(_sentences(spans), "sentences")
-    ranges = align.token_range(s.select("text_id", F.col("sent_idx").alias("span_id"), "from", "to"), spans)
-    ranges = ranges.select("text_id", F.lit("base/s:s").alias("layer"), "from", "to", F.lit(2).alias("depth"), "token_from", "token_to")
+    ranges = align.token_range(s.select("text_id", "from", "to"), spans)
+    ranges = ranges.withColumns({"layer": F.lit("base/s:s"), "depth": F.lit(2)})
     edges = materialize(align.edges(spans.drop("sent_idx"), src.dependencies(spans)), "edges")
     return index.token_annotations(spans.drop("sent_idx"), s, ranges, src.rule_foundry(spans), edges, "dep")
 
@@ -300,15 +411,18 @@ UNION ALL SELECT text_id, tok_idx, 7, 0, '', 's:' || es FROM esc)"""
 
 @query(_STREAM + " SELECT text_id, tok_idx, string_agg(v, ' ' ORDER BY c, o2, o) AS stream FROM ann GROUP BY ALL")
 def index_stream(spark, d):
-    return index.streams(_index_rows(spark, d)).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
+    return index.streams(_index_rows(_spans(spark, d))).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
 
 
 @query(_STREAM + " SELECT text_id, tok_idx, string_agg(v, ' ' ORDER BY c, o2, o) AS stream FROM (SELECT text_id, tok_idx, c, o, o2, v FROM ann WHERE NOT starts_with(v, 'rule/') UNION ALL SELECT text_id, tok_idx, 6, 1, '', 'rule/p:NEW' FROM tok) GROUP BY ALL")
 def patch_foundries(spark, d):
     """An update that supplies the rule foundry anew."""
-    t = src.tokens(src.texts(spark, d))
-    new = t.select("text_id", "tok_idx", F.lit(index.CLASSES.index("foundry")).alias("class"), F.lit("rule").alias("owner"), F.lit("000000").alias("ord"), F.lit("rule/p:NEW").alias("value"))
-    return index.streams(index.patch_foundries(_index_rows(spark, d), new)).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
+    spans = _spans(spark, d)
+    return index.streams(index.patch_foundries(_index_rows(spans), _new_tags(spans))).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
+
+
+def _new_tags(spans: DataFrame) -> DataFrame:
+    return spans.select("text_id", "tok_idx", F.array(index.item("foundry", F.lit("rule"), F.lit("000000"), F.lit("rule/p:NEW"))).alias("items"))
 
 
 def _fields(spark, d) -> DataFrame:
@@ -331,16 +445,154 @@ def patch_fields(spark, d):
     return index.patch_fields(_fields(spark, d), new)
 
 
-@query()
+def _documents(spark, d, spans: DataFrame, rows: DataFrame, foundry: DataFrame) -> DataFrame:
+    """(name, json) of all texts."""
+    layers_ = index.layer_infos(foundry, src.dependencies(spans)).unionByName(index.structure_layers(_sentences(spans), spans.limit(0).select("text_id", F.lit("").alias("layer"))))
+    docs = index.documents(src.texts(spark, d), _fields(spark, d), index.layer_summary(layers_), index.streams(rows), {"@type": "corpus", "version": "1"})
+    return docs.select(F.concat(tx.file_name(F.col("text_id")), F.lit(".json.gz")).alias("name"), "json")
+
+
+def _digest(read: DataFrame) -> DataFrame:
+    """A row per document: what it holds, counted and joined."""
+    values = F.flatten("data.stream")
+    return read.select(
+        "text_id", F.size("fields").alias("n_fields"), F.array_join(F.transform("fields", lambda f: F.concat(f["key"], F.lit("="), f["value"])), " ").alias("fields"), F.size("data.stream").alias("n_tokens"), F.size(values).alias("n_values"),
+        F.col("data.layerInfos").alias("layer_infos"), F.col("data.foundries").alias("foundries"), F.md5(F.array_join(values, " ").cast("binary")).alias("stream_md5"), F.md5(F.col("data.text").cast("binary")).alias("text_md5"),
+    )
+
+
+_DIGEST = """ SELECT f.text_id, n_fields::INT AS n_fields, fields, n_tokens::INT AS n_tokens, n_values::INT AS n_values, 'dereko/s=spans dep/d=rels {rule}' AS layer_infos,
+'dereko dereko/structure dereko/structure/base-sentences-paragraphs-pagebreaks dep dep/dependency rule rule/morpho' AS foundries, md5(stream) AS stream_md5, md5(text) AS text_md5
+FROM (SELECT text_id, count(*) AS n_fields, string_agg(key || '=' || value, ' ' ORDER BY pos) AS fields FROM f GROUP BY text_id) f JOIN (SELECT text_id, count(*) AS n_values, string_agg(v, ' ' ORDER BY tok_idx, c, o2, o) AS stream FROM {ann} GROUP BY text_id) a USING (text_id)
+JOIN (SELECT text_id, count(*) AS n_tokens FROM tok GROUP BY text_id) n USING (text_id) JOIN d USING (text_id)"""
+_ALL_LAYERS = "rule/l=tokens rule/m=tokens rule/p=tokens rule/u=tokens"
+_PATCHED = "(SELECT text_id, tok_idx, c, o, o2, v FROM ann WHERE NOT starts_with(v, 'rule/') UNION ALL SELECT text_id, tok_idx, 6, 1, '', 'rule/p:NEW' FROM tok)"
+
+
+@query(f"{_STREAM}, {_FIELDS}" + _DIGEST.format(rule=_ALL_LAYERS, ann="ann"))
 def index_json(spark, d):
-    spans = src.spans(src.texts(spark, d))
-    summary = index.layer_summary(index.layer_infos(src.rule_foundry(spans), src.dependencies(spans)))
-    return index.documents(src.texts(spark, d), _fields(spark, d), summary, index.streams(_index_rows(spark, d)))
+    """Documents as JSON, read back."""
+    spans = _spans(spark, d)
+    return _digest(merge.read_documents(_documents(spark, d, spans, _index_rows(spans), src.rule_foundry(spans))))
+
+
+def _merged(spark, d, spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """An update that supplies the rule foundry anew."""
+    new = _new_tags(spans)
+    one = spans.select("text_id").distinct().select("text_id", F.lit(4).alias("rank"), F.lit("rule/p=tokens").alias("layer"))
+    return merge.merge(docs, annotations=new, layers=one)
+
+
+@query(f"{_STREAM}, {_FIELDS}" + _DIGEST.format(rule="rule/p=tokens", ann=_PATCHED))
+def merge_foundry(spark, d):
+    """Documents after an update of a foundry: as if made anew."""
+    spans = _spans(spark, d)
+    docs = materialize(_documents(spark, d, spans, _index_rows(spans), src.rule_foundry(spans)), "documents")
+    return _digest(merge.read_documents(_merged(spark, d, spans, docs)))
+
+
+@query(f"WITH {TOK} SELECT text_id, true AS unchanged, true AS as_made_anew FROM tok GROUP BY text_id")
+def merge_twice(spark, d):
+    """The same update once more changes nothing, and its documents are those that the new annotation gives at once, byte for byte."""
+    spans = _spans(spark, d)
+    rows = materialize(_index_rows(spans), "annotations")
+    once = materialize(_merged(spark, d, spans, _documents(spark, d, spans, rows, src.rule_foundry(spans))), "merged")
+    twice = _merged(spark, d, spans, once).select("name", F.col("json").alias("twice"))
+    none = F.lit(None).cast("string")
+    only = src.rule_foundry(spans).select("text_id", "foundry", "from", "to", *[none.alias(c) for c in ("lemma", "upos", "feats", "misc")], F.lit("NEW").alias("xpos"))
+    anew = _documents(spark, d, spans, index.patch_foundries(rows, _new_tags(spans)), only).select("name", F.col("json").alias("anew"))
+    both = once.join(twice, "name").join(anew, "name")
+    return both.select(merge.text_id_of(F.lit(None).cast("string"), F.col("name")).alias("text_id"), (F.col("json") == F.col("twice")).alias("unchanged"), (F.col("json") == F.col("anew")).alias("as_made_anew"))
+
+
+@query(f"""WITH {D}, {_FIELDS}, n AS (SELECT text_id, doc_id % 2 = 0 AS own FROM d),
+o AS (SELECT text_id, pos, key, value, 0 AS k FROM f WHERE key <> 'title' UNION ALL SELECT text_id, pos, key, 'new', 0 FROM f WHERE key = 'title' UNION ALL SELECT text_id, 9, 'award', 'a b', 1 FROM d UNION ALL SELECT text_id, 8, 'pubDate', '2001', 1 FROM d)
+SELECT text_id, string_agg(key || '=' || value, ' ' ORDER BY k, pos) AS fields FROM o GROUP BY text_id""")
+def merge_fields(spark, d):
+    """Fields of documents after an update by header: replaced in place, appended, sigles never touched."""
+    t = src.texts(spark, d)
+    docs = index.documents(t, _fields(spark, d), t.select("text_id", F.lit("").alias("layer_infos"), F.lit("").alias("foundries")), t.select("text_id", F.lit(0).alias("tok_idx"), F.array(F.lit("_0$<i>0<i>1")).alias("stream")))
+    docs = docs.select(F.concat(tx.file_name(F.col("text_id")), F.lit(".json.gz")).alias("name"), "json")
+    none, no_list = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    new = [(0, "textSigle", "type:string", F.lit("x"), no_list), (1, "title", "type:text", F.lit("new"), no_list), (8, "pubDate", "type:date", F.lit("2001"), no_list), (9, "award", "type:keywords", none, F.array(F.lit("a"), F.lit("b")))]
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("key"), F.lit(kind).alias("type"), v.alias("value"), vs.alias("values")) for p, k, kind, v, vs in new])).alias("f")
+    fields = meta.guard_dates(t.select("text_id", each).select("text_id", "f.*"), t.filter("doc_id % 2 = 0"))
+    rows = merge.field_rows(merge.read_documents(merge.merge(docs, fields=fields)))
+    one = F.concat("key", F.lit("="), F.coalesce("value", F.array_join("values", " ")))
+    return rows.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda x: x["x"]), " ").alias("fields"))
+
+
+@query(f"""WITH {D}, {_FIELDS}, p AS (SELECT text_id, 'pubDate' AS key, CASE WHEN doc_id % 2 = 0 THEN 'own' ELSE CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'inherited' END END AS value FROM d) SELECT text_id, key, value FROM p""")
+def date_guard(spark, d):
+    """Dates of an update: inherited ones only fill in, those of a text's own header replace."""
+    t = src.texts(spark, d)
+    k = F.col("doc_id")
+    old = t.filter(k % 3 == 0).select("text_id", F.lit(0).alias("pos"), F.lit("pubDate").alias("key"), F.lit("type:date").alias("type"), F.lit("old").alias("value"))
+    new = t.select("text_id", F.lit(0).alias("pos"), F.lit("pubDate").alias("key"), F.lit("type:date").alias("type"), F.when(k % 2 == 0, "own").otherwise("inherited").alias("value"))
+    return index.patch_fields(old, meta.guard_dates(new, t.filter(k % 2 == 0))).select("text_id", "key", "value")
+
+
+@query(rf"""WITH {TOK}, x AS (SELECT text_id, max(tok_idx) >= 3 AS e FROM tok GROUP BY text_id)
+SELECT text_id, CASE WHEN e THEN 'cmc/norm=tokens cmc/orig=tokens cmc/phon=tokens cmc/trans=tokens ' ELSE '' END || 'uonly/p=tokens uonly/u=tokens' AS layer_infos, CASE WHEN e THEN 'cmc cmc/morpho ' ELSE '' END || 'uonly uonly/morpho' AS foundries FROM x""")
+def layer_infos_extra(spark, d):
+    """A foundry with universal tags alone, one with inline layers alone, and relations without a head, which are no layer."""
+    spans = _spans(spark, d)
+    dep = src.dependencies(spans).withColumns({"head_from": F.lit(None).cast("int"), "head_to": F.lit(None).cast("int")})
+    return index.layer_summary(index.layer_infos(_extra_foundries(spans), dep))
+
+
+def _extra_foundries(spans: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    empty = {c: none for c in ("lemma", "upos", "xpos", "feats", "misc", *index.EXTRA)}
+    row = lambda df, name, **cells: df.select("text_id", F.lit(name).alias("foundry"), "from", "to", *[cells.get(c, v).alias(c) for c, v in empty.items()])
+    return row(spans, "uonly", upos=F.lit("X"), lemma=F.lit("_")).unionByName(row(spans.filter("tok_idx = 3"), "cmc", norm=F.lit("n#|m"), orig=F.lit("o"), phon=F.lit("p"), trans=F.lit("t")))
+
+
+@query(rf"""WITH {_TURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS m, max(f + n) OVER (PARTITION BY conv_id) AS e FROM c)
+SELECT conv_id::VARCHAR AS text_id, i::INT AS tok_idx, CASE WHEN i = 0 THEN '-:base/paragraphs$<i>' || m || ' -:ext/sentences$<i>1 -:tokens$<i>' || m || ' ' ELSE '' END
+|| '<>:base/s:p$<b>64<i>' || f || '<i>' || (f + n) || '<i>' || (i + 1) || '<b>1 <>:dereko/s:p$<b>64<i>' || f || '<i>' || (f + n) || '<i>' || (i + 1) || '<b>1<s>1 @:dereko/s:role:' || role || '$<b>17<s>1<i>' || (i + 1) || ' @:dereko/s:void$<b>17<s>1<i>' || (i + 1)
+|| CASE WHEN i = 0 THEN ' <>:base/s:t$<b>64<i>0<i>' || e || '<i>' || m || '<b>0 <>:ext/s:s$<b>64<i>0<i>' || e || '<i>' || m || '<b>0' ELSE '' END || ' _' || i || '$<i>' || f || '<i>' || (f + n)
+|| ' i:w' || i || CASE WHEN i = 0 THEN ' cmc/norm:n\# cmc/norm:m cmc/orig:o' ELSE '' END || ' uonly/u:X s:W' || i AS stream FROM k""")
+def structure_stream(spark, d):
+    """Postings as paragraphs with attributes, a foundry's sentences, and inline layers."""
+    t = _turns(spark, d)
+    w = Window.partitionBy("text_id").orderBy("turn")
+    tokens = t.withColumn("tok_idx", F.row_number().over(w) - 1).select("text_id", "tok_idx", "from", "to", F.concat(F.lit("W"), F.col("tok_idx").cast("string")).alias("surface"), "role")
+    none = F.lit(None).cast("string")
+    no_attributes = F.lit(None).cast("map<string,string>")
+    structure = tokens.select("text_id", F.lit("dereko/s:p").alias("layer"), "from", "to", F.lit(1).alias("depth"), F.create_map(F.lit("role"), F.col("role"), F.lit("void"), F.lit("")).alias("attributes"))
+    own = tokens.groupBy("text_id").agg(F.min("from").alias("from"), F.max("to").alias("to")).select("text_id", F.lit("ext/s:s").alias("layer"), "from", "to", F.lit(0).alias("depth"), no_attributes.alias("attributes"))
+    sentences = tokens.limit(0).select("text_id", F.col("tok_idx").alias("sent_idx"), "from", "to")
+    spans = index.base_spans(tokens, sentences, structure.unionByName(own))
+    empty = {c: none for c in ("lemma", "upos", "xpos", "feats", "misc", "norm", "orig")}
+    row = lambda df, name, **cells: df.select("text_id", F.lit(name).alias("foundry"), "from", "to", *[cells.get(c, v).alias(c) for c, v in empty.items()])
+    morpho = row(tokens, "uonly", upos=F.lit("X")).unionByName(row(tokens.filter("tok_idx = 0"), "cmc", norm=F.lit("n#|m"), orig=F.lit("o")))
+    edges = tokens.limit(0).select("text_id", "tok_idx", F.lit("in").alias("kind"), F.lit(0).alias("other"), F.lit("x").alias("deprel"))
+    rows = index.token_annotations(tokens.drop("role"), sentences, spans, morpho, edges, "dep")
+    return index.streams(rows).select("text_id", "tok_idx", F.array_join("stream", " ").alias("stream"))
+
+
+@query(f"""WITH {D}, w AS (SELECT text_id, doc_id, lang, source, split_part(replace(replace(text_id, '_', '/'), '.', '/'), '/', 1) AS c FROM d),
+f AS (SELECT text_id, unnest(['corpusSigle', 'docSigle', 'textSigle', 'publisher', 'creationDate', 'pubDate', 'dmozDomain', 'language', 'URN', 'pubPlace', 'pubPlaceKey', 'title', 'subTitle']) AS key, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]) AS pos,
+unnest(['type:string', 'type:string', 'type:string', 'type:string', 'type:date', 'type:date', 'type:keywords', 'type:string', 'type:attachement', 'type:string', 'type:string', 'type:text', 'type:text']) AS type,
+unnest([c, regexp_replace(replace(replace(text_id, '_', '/'), '.', '/'), '/[^/]*$', ''), replace(replace(text_id, '_', '/'), '.', '/'), 'Pub ' || doc_id, '2020-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0'), '2020-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0'), lang || ' ' || source, 'de',
+'data:application/x.link;title=urn%3Ax+' || doc_id || ',http%3A%2F%2Fnbn-resolving.de%2Furn%3Ax+' || doc_id, source, upper(lang), 'Title ' || doc_id, 's']) AS value FROM w)
+SELECT text_id, key, type, value FROM f""")
+def header_index_fields(spark, d):
+    """Header fields of a document, under older names, with a publisher that is plain text."""
+    k = F.col("doc_id").cast("string")
+    more = F.concat(F.lit("<publisher>Pub "), k, F.lit('</publisher><idno type="URN">urn:x '), k, F.lit("</idno><xenoData>"))
+    raw = headers.fields(_headers(spark, d, more))
+    rows = index.header_fields(raw, {"publisher": "type:string"}, legacy=True)
+    return rows.select("text_id", "key", "type", F.coalesce("value", F.array_join("values", " ")).alias("value"))
 
 
-@query()
+@query(rf"""WITH {RULE}, x AS (SELECT k.text_id, k.tok_idx, '<span id="t_' || k.tok_idx || '" from="' || k.f || '" to="' || k.t || '">' || CASE WHEN a.even IS NULL THEN '<fs type="lex"><f name="lex"><fs></fs></f></fs>' ELSE
+'<fs type="lex"><f name="lex"><fs>' || CASE WHEN l[1] = '_' THEN '' ELSE '<f name="lemma">' || l[1] || '</f>' END || '<f name="pos">ADV</f><f name="certainty">' || CASE WHEN even THEN '0.784759' ELSE '0.2' END || '</f></fs></f></fs><fs type="lex"><f name="lex"><fs>' || CASE WHEN l[2] = '_' THEN '' ELSE '<f name="lemma">' || l[2] || '</f>' END || '<f name="pos">KON</f><f name="certainty">' || CASE WHEN even THEN '0.215241' ELSE '0.8' END || '</f></fs></f></fs>' END || '</span>' AS s
+FROM tok k LEFT JOIN (SELECT *, list_transform([lower(surface), lower(surface) || CASE WHEN even THEN '' ELSE 'x' END], lambda v: replace(replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS l FROM (SELECT text_id, tok_idx, surface, length(surface) % 2 = 0 AS even FROM tok WHERE tok_idx % 3 = 0 AND surface <> '|')) a USING (text_id, tok_idx))
+SELECT text_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<layer docid="' || text_id || '"><spanList>' || string_agg(s, '' ORDER BY tok_idx) || '</spanList></layer>' AS xml FROM x GROUP BY text_id""")
 def morpho_xml(spark, d):
-    t = src.tokens(src.texts(spark, d))
+    t = _spans(spark, d).drop("sent_idx")
     return formats.morpho_xml(align.with_morpho(t, src.alt_foundry(t)))
 
 
@@ -434,6 +686,43 @@ def readiness(spark, d):
     return align.ready(t, src.tokens(t), labels).select("text_id", "doc_id")
 
 
+@query(f"WITH {TOK} SELECT d.text_id, doc_id FROM d WHERE text_id IN (SELECT text_id FROM tok)")
+def empty_text_drop(spark, d):
+    """Texts without tokens have no document."""
+    t = src.texts(spark, d).unionByName(src.texts(spark, d).limit(1).withColumns({"text": F.lit(" \n "), "text_id": F.lit("X_Y.Z")}))
+    return align.ready(t, src.tokens(t)).select("text_id", "doc_id")
+
+
+@query(f"WITH {D} SELECT text_id, text_id AS of_sigle, text_id AS of_name FROM d")
+def id_of_document(spark, d):
+    """Text ids back from a document's sigle, and from its file's name."""
+    t = src.texts(spark, d).select("text_id")
+    back = merge.text_id_of
+    none = F.lit(None).cast("string")
+    return t.select("text_id", back(tx.sigle(F.col("text_id"))).alias("of_sigle"), back(none, F.concat(tx.file_name(F.col("text_id")), F.lit(".json.lz4"))).alias("of_name"))
+
+
+@query(f"""WITH {TOK} SELECT text_id, 'x/s:s' AS layer, f AS "from", t AS "to", 0 AS depth FROM sen""")
+def sentences_layer(spark, d):
+    """Sentence layers as XML; one that comes twice counts once."""
+    s = _sentences(_spans(spark, d))
+    one = F.concat(F.lit('<span id="s'), F.col("sent_idx").cast("string"), F.lit('" from="'), F.col("from").cast("string"), F.lit('" to="'), F.col("to").cast("string"), F.lit('"/>'))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", one.alias("x")))), lambda x: x["x"]), "")
+    xml = s.groupBy("text_id").agg(F.concat(F.lit("<layer><spanList>"), body, F.lit("</spanList></layer>")).alias("xml"))
+    rows = xml.select("text_id", F.lit("x").alias("foundry"), F.lit("sentences").alias("layer"), "xml")
+    return layers.sentences(rows.unionByName(rows)).drop("attributes")
+
+
+@query(f"""WITH {D}, t AS (SELECT text_id, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'doc' ELSE 'corpus' END AS level, corpus, doc FROM d)
+SELECT text_id, level, CASE level WHEN 'text' THEN replace(replace(text_id, '_', '/'), '.', '/') WHEN 'doc' THEN doc ELSE corpus END AS sigle FROM t""")
+def header_levels(spark, d):
+    """Headers without a sigle take it from their path."""
+    k = F.col("doc_id") % 3
+    path = F.concat(F.when(k == 0, tx.sigle(F.col("text_id"))).when(k == 1, F.col("doc")).otherwise(F.col("corpus")), F.lit("/header.xml"))
+    rows = src.texts(spark, d).select("text_id", path.alias("path"), F.lit("<idsHeader/>").alias("xml"))
+    return headers.header_level(headers.fields(rows)).select("text_id", "level", "sigle")
+
+
 @query(f"WITH {D} SELECT text_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_texts(spark, d):
     return src.texts(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id", "left_anti").select("text_id")
@@ -445,16 +734,6 @@ def text_union(spark, d):
     return t.filter("doc_id % 2 = 0").select("text_id").unionByName(t.filter("doc_id % 3 = 0").select("text_id")).dropDuplicates(["text_id"])
 
 
-_TURNS = """c AS (SELECT conv_id, turn, role, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM conversations)"""
-
-
-def _turns(spark, d) -> DataFrame:
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("int")
-    return c.select(F.col("conv_id").cast("string").alias("text_id"), "turn", "role", start.alias("from"), (start + F.length("text")).cast("int").alias("to"))
-
-
 @query(f'WITH {_TURNS} SELECT conv_id::VARCHAR AS text_id, turn, f::INT AS "from", (f + n)::INT AS "to" FROM c')
 def posting_fallback(spark, d):
     t = _turns(spark, d)
@@ -469,11 +748,11 @@ def attr_comments(spark, d):
     return align.attribute_lines(t.select("text_id", "from", F.col("turn").cast("int").alias("pos"), F.concat(F.lit("# posting/role = "), "role").alias("line")), tokens)
 
 
-def _headers(spark, d) -> DataFrame:
+def _headers(spark, d, more=None) -> DataFrame:
     k = F.col("doc_id")
     xml = F.concat(
         F.lit("<idsHeader><textSigle>"), tx.sigle(F.col("text_id")), F.lit('</textSigle><analytic><h.title type="sub">s</h.title><h.title type="main"> Title '), k.cast("string"), F.lit('</h.title></analytic><pubPlace key="'), F.upper("lang"), F.lit('">'), F.col("source"),
-        F.lit('</pubPlace><pubDate type="year">2020</pubDate><pubDate type="month">'), (k % 12 + 1).cast("string"), F.lit('</pubDate><catRef target="topic.'), F.col("lang"), F.lit("."), F.col("source"), F.lit('"/><xenoData><meta name="word" type="keyword" project="P">'), F.col("lang"), F.lit('</meta><meta name="word" type="keyword" project="P">'), F.col("source"),
+        F.lit('</pubPlace><pubDate type="year">2020</pubDate><pubDate type="month">'), (k % 12 + 1).cast("string"), F.lit('</pubDate><catRef target="topic.'), F.col("lang"), F.lit("."), F.col("source"), F.lit('"/>'), F.lit("<xenoData>") if more is None else more, F.lit('<meta name="word" type="keyword" project="P">'), F.col("lang"), F.lit('</meta><meta name="word" type="keyword" project="P">'), F.col("source"),
         F.lit('</meta><meta name="text_id" type="string">old</meta><meta name="text_id" type="string">'), k.cast("string"), F.lit('</meta><meta name="day" type="date">20210'), (k % 9 + 1).cast("string"), F.lit('00</meta><meta name="x" type="other">y</meta></xenoData></idsHeader>'),
     )
     return src.texts(spark, d).select("text_id", xml.alias("xml"))

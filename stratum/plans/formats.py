@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell, surface_cell
@@ -27,21 +27,25 @@ def w2v_lines(scanned: DataFrame, value: Column, meta: Column | None = None) ->
     last = F.col("tok_idx") >= F.col("__n") - 1
     m = F.concat(meta, F.lit("\t")) if meta is not None else F.lit("")
     glue = F.when(F.col("tok_idx") == 0, m).when(F.col("boundary"), F.concat(F.lit("\n"), F.when(last, "").otherwise(m))).otherwise(" ")
-    counts = scanned.groupBy("text_id").agg(F.count(F.lit(1)).alias("__n"))
-    return scanned.join(counts, "text_id").groupBy("text_id").agg(_joined("tok_idx", F.concat(glue, value)).alias("lines"))
+    # over the texts as the scan left them: no exchange, no second scan
+    return scanned.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("text_id"))).groupBy("text_id").agg(_joined("tok_idx", F.concat(glue, value)).alias("lines"))
 
 
-def conllu_rows(tokens: DataFrame, compatible: bool = False) -> DataFrame:
-    """One row per token: the ten columns as strings. tokens: scanned, numbered, with annotation and heads."""
+def conllu_rows(tokens: DataFrame, compatible: bool = False, offsets: bool = False) -> DataFrame:
+    """One row per token: the ten columns as strings. tokens: scanned, numbered, with annotation and heads; heads may lack.
+    offsets: each token's span stands behind all else in the last column."""
     number = rank.certainties(F.col("misc"))
     several = F.size(F.split("xpos", r"\|")) > 1
     # a certainty alone, of a single reading, isn't shown
-    misc = F.when(F.col("misc").rlike("^[0-9.]+$") & ~F.coalesce(several, F.lit(False)), F.lit(None)).otherwise(F.when(F.size(number) > 0, rank.sorted_misc(F.col("xpos"), F.col("misc"))).otherwise(F.col("misc")))
+    misc = F.when(F.col("misc").isNull(), F.lit(None)).when(F.col("misc").rlike("^[0-9.]+$") & ~F.coalesce(several, F.lit(False)), F.lit(None)).otherwise(F.when(F.size(number) > 0, rank.sorted_misc(F.col("xpos"), F.col("misc"))).otherwise(F.col("misc")))
     xpos = F.when(F.col("misc").isNotNull(), rank.sorted_pos(F.col("xpos"), F.col("misc"))).otherwise(F.col("xpos"))
-    lemma = F.when(F.col("misc").isNotNull(), rank.sorted_lemma(F.col("lemma"), F.col("xpos"), F.col("misc"))).otherwise(F.array_join(F.array_distinct(F.split("lemma", r"\|")), "|"))
+    lemma = F.when(F.col("misc").isNotNull(), rank.sorted_lemma(F.col("lemma"), F.col("xpos"), F.col("misc"))).when(F.col("lemma").contains("|"), F.array_join(F.array_distinct(F.split("lemma", r"\|")), "|")).otherwise(F.col("lemma"))
     upos = F.coalesce(F.col("upos"), xpos) if compatible else F.col("upos")
+    if offsets:
+        misc = F.concat_ws("|", F.nullif(misc, F.lit("_")), F.concat(F.lit("Offset="), F.col("from").cast("string"), F.lit("-"), F.col("to").cast("string")))
+    head, deprel = (cell(F.col(c).cast("string")) if c in tokens.columns else F.lit("_") for c in ("head", "deprel"))
     # new names first: inside lambdas a name may mean a column of the same select
-    made = [F.col("id").cast("string"), surface_cell(F.col("surface")), cell(lemma), cell(upos), cell(xpos), cell(F.col("feats")), cell(F.col("head").cast("string")), cell(F.col("deprel")), F.lit("_"), cell(misc)]
+    made = [F.col("id").cast("string"), surface_cell(F.col("surface")), cell(lemma), cell(upos), cell(xpos), cell(F.col("feats")), head, deprel, F.lit("_"), cell(misc)]
     return tokens.select("text_id", "tok_idx", "sent", *[c.alias(f"__{i}") for i, c in enumerate(made)]).toDF("text_id", "tok_idx", "sent", *COLUMNS)
 
 
@@ -55,22 +59,38 @@ def conllu_line(columns: int = 10) -> Column:
 
 def offset_comments(scanned: DataFrame, sentences: DataFrame) -> DataFrame:
     """(text_id, sent, start_offsets, end_offsets): the sentence's first start and its own end, then each token's."""
-    w = scanned.groupBy("text_id", "sent").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "from", "to"))).alias("ts"))
     s = sentences.select("text_id", F.col("sent_idx").alias("sent"), F.col("to").alias("__to"))
-    rows = w.join(s, ["text_id", "sent"], "left")
-    end = F.coalesce("__to", F.expr("ts[size(ts) - 1].to"))
-    inside = F.filter("ts", lambda x: x["to"] <= end)
-    text = lambda xs: F.array_join(F.transform(xs, lambda x: x.cast("string")), " ")
-    return rows.select("text_id", "sent", F.concat_ws(" ", F.expr("ts[0].from").cast("string"), text(F.transform(inside, lambda x: x["from"]))).alias("start_offsets"), F.concat_ws(" ", end.cast("string"), text(F.transform(inside, lambda x: x["to"]))).alias("end_offsets"))
-
-
-def conllu_texts(rows: DataFrame, comments: DataFrame, foundry: str, columns: int = 10, separator: str = "\n") -> DataFrame:
-    """(text_id, conllu): header, sentences with their comments, a blank line after each."""
-    lines = rows.groupBy("text_id", "sent").agg(_joined("tok_idx", F.concat(conllu_line(columns), F.lit(separator))).alias("body"))
-    whole = lines.join(comments, ["text_id", "sent"]).withColumn("part", F.concat(F.lit("# start_offsets = "), F.col("start_offsets"), F.lit("\n# end_offsets = "), F.col("end_offsets"), F.lit("\n"), F.col("body"), F.lit("\n")))
+    # the sentence's end comes to its tokens, so that a token beyond it is left out before the list is made
+    w = scanned.select("text_id", "sent", "tok_idx", "from", "to").join(s, ["text_id", "sent"], "left")
+    rows = w.groupBy("text_id", "sent").agg(F.array_sort(F.collect_list(F.when(F.col("__to").isNull() | (F.col("to") <= F.col("__to")), F.struct("tok_idx", "from", "to")))).alias("ts"), F.min("from").alias("first"), F.coalesce(F.max("__to"), F.max("to")).alias("end"))
+    text = lambda k: F.array_join(F.transform("ts", lambda x: x[k].cast("string")), " ")
+    return rows.select("text_id", "sent", F.concat_ws(" ", F.col("first").cast("string"), text("from")).alias("start_offsets"), F.concat_ws(" ", F.col("end").cast("string"), text("to")).alias("end_offsets"))
+
+
+def conllu_texts(rows: DataFrame, comments: DataFrame, foundry: str, columns: int = 10, separator: str = "\n", metadata: DataFrame | None = None, trees: DataFrame | None = None, attributes: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(text_id, conllu): header, sentences with their comments, a blank line after each.
+
+    metadata: (text_id, values), tab-joined before the first sentence's tokens; trees: (text_id, sent, brackets) before each;
+    attributes: (text_id, tok_idx, lines) before a token; texts: those without tokens have the header alone."""
+    line = F.concat(conllu_line(columns), F.lit(separator))
+    if attributes is not None:
+        rows = rows.join(attributes.select("text_id", "tok_idx", F.col("lines").alias("__lines")), ["text_id", "tok_idx"], "left")
+        line = F.concat(F.coalesce(F.concat("__lines", F.lit("\n")), F.lit("")), line)
+    whole = rows.groupBy("text_id", "sent").agg(_joined("tok_idx", line).alias("body")).join(comments, ["text_id", "sent"])
+    before = [F.lit("# start_offsets = "), F.col("start_offsets"), F.lit("\n# end_offsets = "), F.col("end_offsets"), F.lit("\n")]
+    if trees is not None:
+        whole = whole.join(trees.select("text_id", "sent", "brackets"), ["text_id", "sent"], "left")
+        before.append(F.coalesce(F.concat(F.lit("# constituency = "), F.when(F.trim("brackets") != "", F.col("brackets")), F.lit("\n")), F.lit("")))
+    if metadata is not None:
+        whole = whole.join(metadata.select("text_id", F.array_join("values", "\t").alias("__meta")), "text_id", "left")
+        before.append(F.when((F.col("sent") == 0) & F.col("__meta").isNotNull(), F.concat(F.lit("# metadata="), F.col("__meta"), F.lit("\n"))).otherwise(""))
+    whole = whole.withColumn("part", F.concat(*before, F.col("body"), F.lit("\n")))
     layer = "base/tokens.xml" if foundry == "base" else f"{foundry}/morpho.xml"
     head = F.concat(F.lit(f"# foundry = {foundry}\n# filename = "), F.translate("text_id", "_.", "//"), F.lit(f"/{layer}\n# text_id = "), F.col("text_id"), F.lit("\n"))
-    return whole.groupBy("text_id").agg(_joined("sent", F.col("part")).alias("body")).select("text_id", F.concat(head, F.col("body")).alias("conllu"))
+    out = whole.groupBy("text_id").agg(_joined("sent", F.col("part")).alias("body"))
+    if texts is not None:
+        out = texts.select("text_id").join(out, "text_id", "left")
+    return out.select("text_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("conllu"))
 
 
 def morpho_xml(rows: DataFrame) -> DataFrame:

@@ -85,6 +85,17 @@ def read_header(xml: str | None) -> dict:
     return out
 
 
+def header_level(rows: DataFrame) -> DataFrame:
+    """``fields`` of headers by archive path (``path``), with (level, sigle): by the sigle that the header states, else by how
+    deep it lies: one folder for a corpus, two for a document, more for a text."""
+    part = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    depth = F.size(part)
+    by_path = F.when(depth == 1, part[0]).when(depth >= 2, F.concat_ws("/", F.slice(part, 1, F.least(depth, F.lit(3)))))
+    sigle = F.coalesce("sigle", by_path)
+    level = F.when(F.size(F.split(sigle, "/")) >= 3, "text").when(F.size(F.split(sigle, "/")) == 2, "doc").otherwise("corpus")
+    return rows.withColumns({"level": level, "sigle": sigle})
+
+
 def fields(rows: DataFrame, language: str = "de", resolver: str = "http://nbn-resolving.de/") -> DataFrame:
     """A row of fields per header of (text_id, xml), with all other columns of ``rows``.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 OPTIONS = {"ignoreSurroundingSpaces": "false", "attributePrefix": "_", "valueTag": "_VALUE"}
 _F = "array<struct<_name:string,_VALUE:string>>"
 SPANS = "_docid string, spanList struct<span:array<struct<_id:string,_from:string,_to:string,_l:string,_type:string,rel:array<struct<_label:string,_target:string,_uri:string,span:struct<_from:string,_to:string>>>,fs:array<struct<_type:string,f:array<struct<_name:string,_VALUE:string,fs:array<struct<f:" + _F + ">>>>>>>>>"
@@ -34,6 +36,44 @@ def tokens(rows: DataFrame) -> DataFrame:
     return s.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_idx", "from", "to"))), lambda x, i: F.struct(i.alias("tok_idx"), x["from"].alias("from"), x["to"].alias("to"))).alias("ts")).select("text_id", F.inline("ts"))
 
 
+def sentences(rows: DataFrame) -> DataFrame:
+    """(text_id, layer, from, to, depth, attributes) of sentence layers: the spans of each foundry, once for a text."""
+    one = rows.dropDuplicates(["text_id", "foundry"])
+    none = F.lit(None).cast("map<string,string>")
+    return _spans(one).select("text_id", F.concat("foundry", F.lit("/s:s")).alias("layer"), "from", "to", F.lit(0).alias("depth"), none.alias("attributes"))
+
+
+def tree_levels(nodes: DataFrame, levels: int = 100) -> DataFrame:
+    """``nodes`` with ``depth``. Levels are found one after another, each by a semi-join with the children of the one before."""
+    at = ["text_id", "foundry", "node_id"]
+    children = lambda df: df.select("text_id", "foundry", F.explode(F.filter("children", lambda c: c["kind"] == "node")).alias("c")).select("text_id", "foundry", F.col("c.id").alias("node_id")).distinct()
+    level, out = nodes.join(children(nodes), at, "left_anti"), None
+    for depth in range(levels):
+        level = materialize(level, "tree-level")
+        found = level.withColumn("depth", F.lit(depth))
+        out = found if out is None else out.unionByName(found)
+        level_children = children(level)
+        if level_children.isEmpty():
+            return out
+        level = nodes.join(level_children, at, "left_semi")
+    raise RuntimeError(f"trees of over {levels} levels")
+
+
+def constituency_spans(nodes: DataFrame, levels: int = 100) -> DataFrame:
+    """(text_id, layer, from, to, depth, attributes) of trees: a span ``F/c:label`` for each node, by its depth in its tree."""
+    none = F.lit(None).cast("map<string,string>")
+    return tree_levels(nodes, levels).select("text_id", F.concat("foundry", F.lit("/c:"), F.coalesce("label", F.lit(""))).alias("layer"), "from", "to", "depth", none.alias("attributes"))
+
+
+def attributes(structure: DataFrame, pattern: str) -> DataFrame:
+    """(text_id, from, pos, line) of ``structure`` spans: a comment for each attribute whose ``element/attribute`` the
+    pattern matches as a whole."""
+    rows = structure.withColumn("pos", F.row_number().over(Window.partitionBy("text_id").orderBy("from", F.desc("to"), "depth", "name")))
+    each = rows.select("text_id", "from", "pos", "name", F.posexplode(F.map_entries("attributes")).alias("i", "a"))
+    key = F.concat(F.trim("name"), F.lit("/"), F.col("a.key"))
+    return each.filter(key.rlike(f"^(?:{pattern})$")).select("text_id", "from", F.struct("pos", "i").alias("pos"), F.concat(F.lit("# "), key, F.lit(" = "), F.col("a.value")).alias("line"))
+
+
 def structure(rows: DataFrame) -> DataFrame:
     """(text_id, name, from, to, depth, attributes)."""
     feats = F.flatten(F.transform("s.fs", lambda x: x["f"]))
