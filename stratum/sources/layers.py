@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 OPTIONS = {"ignoreSurroundingSpaces": "false", "attributePrefix": "_", "valueTag": "_VALUE"}
-_F = "array<struct<_name:string,_VALUE:string>>"
+_F = "array<struct<_name:string,_VALUE:string,symbol:struct<_value:string>>>"
 SPANS = "_docid string, spanList struct<span:array<struct<_id:string,_from:string,_to:string,_l:string,_type:string,rel:array<struct<_label:string,_target:string,_uri:string,span:struct<_from:string,_to:string>>>,fs:array<struct<_type:string,f:array<struct<_name:string,_VALUE:string,fs:array<struct<f:" + _F + ">>>>>>>>>"
 
 
@@ -93,11 +93,15 @@ def morpho(rows: DataFrame) -> DataFrame:
     outer = F.flatten(F.transform(F.filter("s.fs", lambda x: F.coalesce(x["_type"], F.lit("")) != "alt"), lambda x: x["f"]))
     inner = F.flatten(F.transform(outer, lambda x: F.flatten(F.transform(x["fs"], lambda y: y["f"]))))
 
+    # of a span without features the symbol of its type, where it has one
+    symbol = F.nullif(F.trim(F.get(F.filter(inner, lambda x: (x["_name"] == "type") & x["symbol"].isNotNull()), F.lit(0))["symbol"]["_value"]), F.lit(""))
+
     def cells(column: str) -> Column:
         names = [k for k, v in FEATURES.items() if v == column]
         value = lambda x: F.when(x["_VALUE"].isin("UNKNOWN", "<unknown>"), "--").otherwise(x["_VALUE"]) if column in ("lemma", "xpos") else x["_VALUE"]
         found = F.transform(F.filter(inner, lambda x: x["_name"].isin(*names) & x["_VALUE"].isNotNull()), value)
-        return F.nullif(F.array_join(found, "|"), F.lit("")).alias(column)
+        out = F.nullif(F.array_join(found, "|"), F.lit(""))
+        return F.coalesce(out, symbol).alias(column) if column == "feats" else out.alias(column)
 
     return s.select("text_id", "foundry", "span_idx", "from", "to", *[cells(c) for c in dict.fromkeys(FEATURES.values())])
 

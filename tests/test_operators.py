@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import zipfile
 
@@ -6,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import text as tx
-from stratum.operators import align, annotate, counters, index, meta, rank
-from stratum.plans import formats
+from stratum.operators import align, annotate, counters, index, merge, meta, rank
+from stratum.plans import formats, outputs
 from stratum.sources import archive, conllu, headers, layers
 from stratum.streaming.completion import complete_texts
 
@@ -133,6 +134,122 @@ def test_zip_layers(spark, zipped):
     assert annotate.brackets(layers.constituency(layer("constituency")), words).first().brackets == "(NP (D Ein) -LRB-Text-RRB-)"
 
 
+def test_symbol_stands_for_features(spark):
+    xml = '<layer><spanList><span from="0" to="2"><fs type="lex"><f name="lex"><fs><f name="type"><symbol value=" num "/></f></fs></f></fs></span><span from="3" to="4"><fs type="lex"><f name="lex"><fs><f name="type"><symbol value="x"/></f><f name="msd">a=b</f></fs></f></fs></span></spanList></layer>'
+    m = layers.morpho(spark.createDataFrame([("a", "f", xml)], "text_id string, foundry string, xml string")).orderBy("from").collect()
+    assert [r.feats for r in m] == ["num", "a=b"]
+
+
+def test_attribute_selection(spark):
+    s = layers.structure(spark.createDataFrame([("a", "f", STRUCT.replace("</f></fs></f>", '</f><f name="n"/></fs></f>'))], "text_id string, foundry string, xml string"))
+    assert [r.line for r in layers.attributes(s, "s/(id|x)").collect()] == ["# s/id = x"] and layers.attributes(s, "id").count() == 0
+
+
+def test_tree_spans(spark):
+    nodes = layers.constituency(spark.createDataFrame([("a", "f", CONST)], "text_id string, foundry string, xml string"))
+    got = sorted((r.layer, r["from"], r.to, r.depth) for r in layers.constituency_spans(nodes).collect())
+    assert got == [("f/c:D", 1, 4, 1), ("f/c:NP", 0, 11, 0)] and layers.constituency_spans(nodes.limit(0)).count() == 0
+
+
+def test_overlapping_sentences_share_no_token(spark):
+    tokens = spark.createDataFrame([("a", i, 2 * i, 2 * i + 1) for i in range(6)], "text_id string, tok_idx int, from int, to int")
+    sents = spark.createDataFrame([("a", 0, 0, 6), ("a", 1, 2, 9), ("a", 2, 20, 30)], "text_id string, sent_idx int, from int, to int")
+    assert [tuple(r) for r in align.contained(sents, tokens).orderBy("sent_idx").collect()] == [("a", 0, 0, 2), ("a", 1, 3, 4)]
+
+
+def test_strict_sentence_counter(spark):
+    """A token that starts where a sentence ends still belongs to it; there is no sentence after the last; a relation past the text's end is dropped."""
+    tokens = spark.createDataFrame([("a", 0, 0, 2, "0", "r"), ("a", 1, 5, 7, "1", "x"), ("a", 2, 9, 10, "2", "y"), ("a", 3, 30, 31, "9", "z"), ("a", 4, 33, 34, "_", "_")], "text_id string, tok_idx int, from int, to int, head string, deprel string")
+    sents = spark.createDataFrame([("a", 0, 0, 5), ("a", 1, 6, 12)], "text_id string, sent_idx int, from int, to int")
+    rows = [tuple(r)[1:] for r in align.relation_spans(tokens, sents).orderBy("tok_idx").collect()]
+    assert rows == [(0, 0, 2, 0, 1, "r", 0, 5), (1, 5, 7, 0, 2, "x", 0, 2), (2, 9, 10, 1, 1, "y", 30, 31)]
+
+
+def test_splice_keeps_all_else():
+    text = ' {"a" : [1, {"fields":2}], "fields":[ {"key":"title","value":"x"} ,{"key":"dmozDomain"},{"key":"textClass"}, 7 ],\n"data":{"stream":[["s:\\"]"]], "odd":"\\u00e9", "layerInfos":"x"} , "z":null}'
+    text = text.replace(", 7 ]", " ]")
+    new = merge.splice(text, [("textClass", '{"key":"textClass","value":["y"]}', "replace"), ("title", "never", "append"), ("award", '{"key":"award"}', "append")], {"stream": "[[]]", "layerInfos": '"n"', "none": "1"})
+    assert new == ' {"a" : [1, {"fields":2}], "fields":[{"key":"title","value":"x"},{"key":"textClass","value":["y"]},{"key":"award"}],\n"data":{"stream":[[]], "odd":"\\u00e9", "layerInfos":"n"} , "z":null}'
+    assert merge.splice(text, [], {}) == text and merge.splice('{"fields":[]}', [("k", "{}", "replace")], {}) == '{"fields":[{}]}'
+
+
+def test_merge_leaves_others_alone(spark):
+    docs = spark.createDataFrame([("C-D-1.json.gz", '{ "fields" : [{"key":"textSigle","type":"type:string","value":"C/D/1"}], "data":{"text":"t","layerInfos":"tt/p=tokens","foundries":"tt","stream":[["_0$<i>0<i>1","tt/p:A","s:t"]]}}'), ("C-D-2.json.gz", "{ }")], "name string, json string")
+    new = spark.createDataFrame([("C_D.1", 0), ("X_Y.1", 0)], "text_id string, tok_idx int").withColumn("items", F.array(index.item("foundry", F.lit("tt"), F.lit("0"), F.lit("tt/p:B"))))
+    one = spark.createDataFrame([("C_D.1", 4, "tt/p=tokens")], "text_id string, rank int, layer string")
+    got = {r.name: r.json for r in merge.merge(docs, annotations=new, layers=one).collect()}
+    before = {r.name: r.json for r in docs.collect()}
+    assert got["C-D-2.json.gz"] == "{ }" and got["C-D-1.json.gz"] == before["C-D-1.json.gz"].replace("tt/p:A", "tt/p:B").replace('"foundries":"tt"', '"foundries":"treetagger treetagger/morpho"')
+    assert [r.text_id for r in merge.unmatched(docs, new).collect()] == ["X_Y.1"] and merge.merge(docs) is docs
+    for bad in ((["a", "b"], "c", 1), (["a"], "c", 0), (["a"], "a", 1)):
+        with pytest.raises(ValueError):
+            merge.checked(*bad)
+
+
+def test_output_names(spark, tmp_path):
+    name = outputs.default_name
+    assert name(["/x/wdf.tt.zip", "/x/wdf.zip"], "index", "/o") == "/o/wdf.index.tar" and name([], "index", output="a") == "a.tar" and name([], "index", "/o", archive="/x/wdf.index.tar") == "/o/wdf.updated.index.tar"
+    assert name(["/x/wdf.zip"], "zip", "/o", foundry="tt") == "/o/wdf.tt.zip" and name(["/x/a.conllu"], "zip") == "/x/a.zip" and name(["/x/a.conllu"], "zip", "/o") == "/o/a.zip"
+    lines = spark.createDataFrame([("a\nb",), ("c",)], "line string").coalesce(1)
+    outputs.write_text(lines, f"{tmp_path}/t.gz")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t.gz/*.gz").collect()) == ["a", "b", "c"]
+    with pytest.raises(Exception):
+        outputs.write_text(lines, f"{tmp_path}/t.gz")
+    outputs.write_text(lines, f"{tmp_path}/t.gz", overwrite=True)
+
+
+def test_one_archive_of_many_tasks(spark, tmp_path):
+    """Entries of all tasks in one archive, readable by others; what is there isn't written over unasked."""
+    archive.register(spark)
+    rows = spark.createDataFrame([(f"C/D/{i}/data.xml", f"<raw_text><text>{i} {'x' * i}</text></raw_text>".encode()) for i in range(40)], "path string, content binary").repartition(5)
+    out = str(tmp_path / "one.zip")
+    rows.write.format("layer_zip").mode("append").save(out)
+    with zipfile.ZipFile(out) as z:
+        assert z.testzip() is None and len(z.namelist()) == 40 and z.infolist()[0].external_attr >> 16 == 0o644
+    back = spark.read.format("layer_zip").load(out)
+    assert {r.path: r.xml.encode() for r in back.collect()} == {r.path: bytes(r.content) for r in rows.collect()}
+    assert back.filter("layer = 'data' AND text_id = 'C_D.3'").count() == 1 and back.filter("text_id = 'C_D.3'").filter("text_id = 'C_D.4'").count() == 0
+    with pytest.raises(Exception):
+        rows.write.format("layer_zip").mode("append").save(out)
+    rows.limit(3).write.format("layer_zip").mode("append").option("mode", "overwrite").save(out)
+    assert spark.read.format("layer_zip").load(out).count() == 3
+    entries = archive.compress_entries(spark.createDataFrame([(f"C_D.{i}", f'{{"i":{i}}}') for i in range(30)], "text_id string, json string")).withColumn("mtime", F.lit(1_000_000).cast("long")).repartition(4)
+    entries.write.format("index_tar").mode("append").save(str(tmp_path / "one.tar"))
+    read = spark.read.format("index_tar").load(str(tmp_path / "one.tar"))
+    assert {r.name: (bytes(r.content), r.mtime) for r in read.collect()} == {r.name: (bytes(r.content), 1_000_000) for r in entries.collect()}
+    expanded = archive.expand_entries(read)
+    assert {r.name: r.json for r in expanded.collect()}["C-D-7.json.gz"] == '{"i":7}'
+    new = archive.repack_entries(expanded.filter("name = 'C-D-7.json.gz'").withColumn("json", F.lit("{}")))
+    merged = {r.name: r for r in archive.merge_tar(read, new).collect()}
+    assert merged["C-D-8.json.gz"].mtime == 1_000_000 and merged["C-D-7.json.gz"].content != {r.name: r.content for r in read.collect()}["C-D-7.json.gz"]
+    assert [r.name for r in archive.unmatched_entries(read, spark.createDataFrame([("C-D-99.json.gz",)], "name string")).collect()] == ["C-D-99.json.gz"]
+    with pytest.raises(Exception, match="lz4"):
+        archive.compress_entries(spark.createDataFrame([("C_D.1", "{}")], "text_id string, json string"), codec="lz4").collect()
+
+
+def test_input_planning_by_name(zipped, tmp_path):
+    assert archive.excluded("/x/a[1].zip", "a[1].*") and not archive.excluded("/x/a1.zip", "a[1].*") and archive.excluded("b.zip", "a*, b.zi?")
+    (tmp_path / "a").write_text("1")
+    (tmp_path / "b").write_text("123")
+    assert [os.path.basename(p) for p in archive.largest_first([f"{tmp_path}/a", f"{tmp_path}/b", "none"])] == ["b", "a", "none"]
+
+
+def test_texts_of_several_archives(spark):
+    e = spark.createDataFrame([("b.zip", "t1", "base", "data"), ("a.zip", "t1", "base", "data"), ("a.tt.zip", "t1", "tt", "morpho"), ("a.tt.zip", "t2", "tt", "morpho")], "archive string, text_id string, foundry string, layer string")
+    assert sorted(tuple(r) for r in archive.texts_with_data(e).select("archive", "text_id", "layer").collect()) == [("a.tt.zip", "t1", "morpho"), ("a.zip", "t1", "data")]
+
+
+def test_long_lists_are_kept_whole(spark):
+    """Topics, extra fields' names, link sources and fields beyond the lengths that once were cut."""
+    assert len(one(spark, meta.topics(F.col("t")), t=".".join(["topic"] + [f"p{i}" for i in range(300)]))) == 300
+    assert one(spark, meta.xeno_key(F.lit(None).cast("string"), F.col("n"), "doc"), n="a_" + "b" * 3000) == "docAB" + "b" * 2999
+    names = spark.createDataFrame([(f"c{i}", f"N{i}") for i in range(1500)] + [("w", "WELT")], "code string, name string")
+    row = spark.createDataFrame([("W24", None, "ID: 7", None)], "corpus string, reference string, note string, title string")
+    assert meta.external_link(row, names, archive=("http://a/", "A")).first().link == "http://a/WELT__7"
+    ids = spark.createDataFrame([("A_B.9999999999",), ("A_B.3000000000",), ("A_B.x",)], "id string").orderBy(tx.order_key(F.col("id")))
+    assert [r.id for r in ids.collect()] == ["A_B.3000000000", "A_B.9999999999", "A_B.x"]
+
+
 def test_morpho_xml_reads_back(spark):
     rows = spark.createDataFrame([("a", 0, 0, 3, "x&y", "ART|PIS", "0.9|0.1", "N")], "text_id string, tok_idx int, from int, to int, lemma string, xpos string, misc string, upos string").withColumn("feats", F.lit(None).cast("string"))
     xml = formats.morpho_xml(rows).select("text_id", F.lit("f").alias("foundry"), "xml")
@@ -179,7 +296,18 @@ def test_patch_is_idempotent(spark):
 
 def test_external_command_fails_loudly(spark):
     with pytest.raises(Exception):
-        annotate.pipe(spark.createDataFrame([("a", "b")], "text_id string, conllu string"), "false", retries=2).collect()
+        annotate.pipe(spark.createDataFrame([("a", "b")], "text_id string, conllu string"), "false").collect()
+    with pytest.raises(Exception):
+        annotate.pipe(spark.createDataFrame([("a", "b")], "text_id string, conllu string"), "false", framed=False).collect()
+
+
+def test_external_command_is_kept_and_started_again(spark, tmp_path):
+    """One process answers many texts; one that ends after two texts is started again for the next."""
+    (tmp_path / "once.py").write_text("import sys\nn = 0\nfor line in sys.stdin:\n    if line.startswith('# eof'): break\n    sys.stdout.write(line.upper() if line[0] != '#' else line)\n    if line == '# eot\\n':\n        sys.stdout.flush(); n += 1\n        if n == 2: break\n")
+    rows = spark.createDataFrame([(f"t{i}", f"a\tb{i}\n\nc\n" + "x" * 200_000) for i in range(5)], "text_id string, conllu string").coalesce(1)
+    got = {r.text_id: r.output for r in annotate.pipe(rows, f"python3 {tmp_path}/once.py").collect()}
+    assert got == {f"t{i}": f"A\tB{i}\n\nC\n" + "X" * 200_000 + "\n" for i in range(5)}
+    assert {r.text_id: r.output for r in annotate.pipe(rows, "tr a-z A-Z", framed=False).collect()}["t0"].startswith("A\tB0\n\nC\n")
 
 
 def test_completion(spark, tmp_path):
