@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, let, materialize, text_of
+from .shared import discard, documents, let, materialize, text_of
 
 #: Most labelled rows that training sees, chosen by a hash of the id.
 LABELLED = 20_000
@@ -78,8 +78,9 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, picks, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Weights of both views. y: labels of the rows of ``views``.
 
-    ``picks(k, label, w, n, known)`` gives the n unlabelled rows, as (number, row of view 0, row of view 1), that view k with
-    weights w is surest about, those that are ``known`` left out; they become labels of the other view, each once."""
+    ``picks`` takes (k, label, w, n, known) for each view k and label, and gives for each the n unlabelled rows, as (number, row of
+    view 0, row of view 1), that view k with weights w is surest about, those that are ``known`` left out; they become
+    labels of the other view, each once."""
     given: list[dict] = [{}, {}]
 
     def fitted(k):
@@ -89,12 +90,9 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, picks, rounds:
 
     w = [fitted(0), fitted(1)]
     for _ in range(rounds):
-        new = []
-        for k in (0, 1):
-            for label in (1.0, 0.0):
-                # as many of each class as its share of the labelled rows
-                n = int(PER_ROUND * (y.mean() if label else 1 - y.mean()))
-                new += [(1 - k, number, (v0, v1), label) for number, v0, v1 in picks(k, label, w[k], n, given[1 - k])]
+        # as many of each class as its share of the labelled rows
+        asked = [(k, label, w[k], int(PER_ROUND * (y.mean() if label else 1 - y.mean())), given[1 - k]) for k in (0, 1) for label in (1.0, 0.0)]
+        new = [(1 - k, number, (v0, v1), label) for (k, label, *_), found in zip(asked, picks(asked)) for number, v0, v1 in found]
         for k, number, v, label in new:
             given[k].setdefault(number, (v, label))
         if not new:
@@ -128,8 +126,11 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
     """The model, or None if there are no labels of both kinds. ``rows``: ``features`` of all documents, materialised."""
     own = ["x", "lang", "source", "size"]
     votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).filter("doc_id IS NOT NULL AND q IS NOT NULL").groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("double").alias("y"))
-    known = rows.join(votes, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(*own)).alias("f"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("doc_id", "y", "f.*").collect()
+    known = materialize(rows.join(votes, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(*own)).alias("f")), "labelled")
+    # of many, those of the lowest hashes: few more than wanted are sorted, and no task sends its own
+    share = min(1.0, 1.5 * labelled / max(1, known.count()))
+    low = known.filter(F.xxhash64("doc_id") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    sample = low.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("doc_id", "y", "f.*").collect()
     if len({r.y for r in sample}) < 2:
         return None
     sample.sort(key=lambda r: r.doc_id)
@@ -148,13 +149,21 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
     pool = materialize(free.select(*own, F.monotonically_increasing_id().alias("number")), "pool")
     sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
 
-    def picks(k, label, w, n, given):
-        odds = _text_odds(w, mean, scale) if k == 0 else _meta_odds(w, size)
-        top = pool.withColumn("__o", odds if label else -odds).filter(F.col("__o") >= sure)
-        # PER_ROUND rows for each round at most
-        found = top.orderBy(F.desc("__o"), F.xxhash64(*own), "number").limit(n + len(given)).collect() if n else []
-        found = [r for r in found if r.number not in given][:n]
-        return zip([r.number for r in found], *scaled(*_views(found)))
+    def picks(asked):
+        """All in one job: the surest of each task meet by a shuffle, so that the driver gets PER_ROUND rows of each view."""
+        every = None
+        for i, (k, label, w, n, known) in enumerate(asked):
+            odds = _text_odds(w, mean, scale) if k == 0 else _meta_odds(w, size)
+            # PER_ROUND numbers for each round before at most
+            open_ = pool.filter(f"number NOT IN ({', '.join(map(str, known))})") if known else pool
+            top = open_.withColumn("__o", odds if label else -odds).filter(F.col("__o") >= sure).orderBy(F.desc("__o"), F.xxhash64(*own), "number").limit(n)
+            top = top.withColumn("__i", F.lit(i))
+            every = top if every is None else every.unionByName(top)
+        written = materialize(every, "picks")
+        rows = sorted(written.collect(), key=lambda r: (r["__i"], -r["__o"], r.number))
+        discard(written)
+        own_rows = [[r for r in rows if r["__i"] == i] for i in range(len(asked))]
+        return [zip([r.number for r in found], *scaled(*_views(found))) for found in own_rows]
 
     xt, xm = scaled(xt, xm)
     fold = np.arange(len(y)) % 5
