@@ -145,7 +145,7 @@ def tree_depths(nodes: DataFrame, levels: int = 100) -> DataFrame:
 def gaps(texts: DataFrame, expected: list[str]) -> DataFrame:
     """(text_id, missing, complete) of (text_id, foundry): which of the expected foundries a text lacks."""
     seen = texts.groupBy("text_id").agg(F.collect_set("foundry").alias("seen"))
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(x) for x in expected]), "seen"))
+    missing = F.sort_array(F.array_except(F.array(*[F.lit(x) for x in expected]), "seen"))
     return seen.select("text_id", missing.alias("missing"), (F.size(missing) == 0).alias("complete"))
 
 
@@ -162,7 +162,7 @@ def attribute_lines(attrs: DataFrame, tokens: DataFrame) -> DataFrame:
     # backwards: a frame that only grows costs one step for each row
     w = Window.partitionBy("text_id").orderBy(F.desc("at"), F.desc("k"), F.desc("tok_idx")).rowsBetween(Window.unboundedPreceding, 0)
     placed = marks.withColumn("tok", F.last("tok_idx", ignorenulls=True).over(w)).filter("k = 0 AND tok IS NOT NULL")
-    return placed.groupBy("text_id", F.col("tok").alias("tok_idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    return placed.groupBy("text_id", F.col("tok").alias("tok_idx")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
 
 
 def fallback_sentences(structure: DataFrame) -> DataFrame:

@@ -74,8 +74,8 @@ def layer_summary(layers: DataFrame) -> DataFrame:
     kind = F.when(full[1].startswith("d="), at(2, full[0], 1, F.concat(name, F.lit("/dependency")))).otherwise(at(2, full[0], 2, F.concat(name, F.lit("/morpho"))))
     words = F.when(F.col("rank") == 0, own).when(F.col("rank").isin(2, 3), foreign).when(F.col("rank") == 4, F.array(at(2, full[0], 0, name), kind))
     rows = layers.select("text_id", "rank", "layer", words.alias("words"))
-    infos = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("rank", "layer"))), lambda x: x["layer"]), " ")
-    each = F.array_join(F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_set("words")))), lambda x: x["word"]), " ")
+    infos = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("rank", "layer"))), lambda x: x["layer"]), " ")
+    each = F.array_join(F.transform(F.sort_array(F.array_distinct(F.flatten(F.collect_set("words")))), lambda x: x["word"]), " ")
     return rows.groupBy("text_id").agg(infos.alias("layer_infos"), each.alias("foundries"))
 
 
@@ -324,7 +324,7 @@ def field_json(values: bool) -> Column:
 
 
 def _gathered(key: str, v: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), v.alias("v")))), lambda x: x["v"]), ",")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), v.alias("v")))), lambda x: x["v"]), ",")
 
 
 def stream_json(stream_rows: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def merge(docs: DataFrame, fields: DataFrame | None = None, annotations: DataFra
     if fields is not None:
         values = fields if "values" in fields.columns else fields.withColumn("values", F.lit(None).cast("array<string>"))
         one = F.struct("pos", "key", index.field_json(True).alias("json"), "mode")
-        update = update.join(values.groupBy("text_id").agg(F.array_sort(F.collect_list(one)).alias("new_fields")), "text_id", "left")
+        update = update.join(values.groupBy("text_id").agg(F.sort_array(F.collect_list(one)).alias("new_fields")), "text_id", "left")
     else:
         update = update.withColumn("new_fields", F.lit(None).cast("array<struct<pos:int,key:string,json:string,mode:string>>"))
     if annotations is not None:

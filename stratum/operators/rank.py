@@ -24,7 +24,7 @@ def certainties(misc: Column) -> Column:
 
 def _ordered(values: Column, numbers: Column) -> Column:
     """Structs (minus certainty, place, value), highest certainty first, ties in place."""
-    return F.array_sort(F.transform(values, lambda v, i: F.struct((-F.get(numbers, i)).alias("p"), i.alias("i"), v.alias("v"))))
+    return F.sort_array(F.transform(values, lambda v, i: F.struct((-F.get(numbers, i)).alias("p"), i.alias("i"), v.alias("v"))))
 
 
 def sorted_pos(xpos: Column, misc: Column) -> Column:
@@ -60,4 +60,4 @@ def payloads(prefix: Column, xpos: Column, misc: Column) -> Column:
 def features(prefix: Column, feats: Column) -> Column:
     """``prefix/m:key:value`` in lower case, sorted; items without exactly one = are left out."""
     parts = F.filter(F.transform(_alternatives(feats), lambda x: F.split(x, "=")), lambda x: F.size(x) == 2)
-    return F.array_sort(F.transform(parts, lambda x: F.concat(prefix, F.lit("/m:"), escape_value(F.lower(x[0])), F.lit(":"), escape_value(F.lower(x[1])))))
+    return F.sort_array(F.transform(parts, lambda x: F.concat(prefix, F.lit("/m:"), escape_value(F.lower(x[0])), F.lit(":"), escape_value(F.lower(x[1])))))

@@ -519,7 +519,7 @@ def merge_fields(spark, d):
     fields = meta.guard_dates(t.select("text_id", each).select("text_id", "f.*"), t.filter("doc_id % 2 = 0"))
     rows = merge.field_rows(merge.read_documents(merge.merge(docs, fields=fields)))
     one = F.concat("key", F.lit("="), F.coalesce("value", F.array_join("values", " ")))
-    return rows.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda x: x["x"]), " ").alias("fields"))
+    return rows.groupBy("text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", one.alias("x")))), lambda x: x["x"]), " ").alias("fields"))
 
 
 @query(f"""WITH {D}, {_FIELDS}, p AS (SELECT text_id, 'pubDate' AS key, CASE WHEN doc_id % 2 = 0 THEN 'own' ELSE CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'inherited' END END AS value FROM d) SELECT text_id, key, value FROM p""")
@@ -707,7 +707,7 @@ def sentences_layer(spark, d):
     """Sentence layers as XML; one that comes twice counts once."""
     s = _sentences(_spans(spark, d))
     one = F.concat(F.lit('<span id="s'), F.col("sent_idx").cast("string"), F.lit('" from="'), F.col("from").cast("string"), F.lit('" to="'), F.col("to").cast("string"), F.lit('"/>'))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", one.alias("x")))), lambda x: x["x"]), "")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", one.alias("x")))), lambda x: x["x"]), "")
     xml = s.groupBy("text_id").agg(F.concat(F.lit("<layer><spanList>"), body, F.lit("</spanList></layer>")).alias("xml"))
     rows = xml.select("text_id", F.lit("x").alias("foundry"), F.lit("sentences").alias("layer"), "xml")
     return layers.sentences(rows.unionByName(rows)).drop("attributes")
@@ -786,6 +786,6 @@ b AS (SELECT text_id, string_agg(x, '' ORDER BY sent_idx) AS body FROM s GROUP B
 SELECT text_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || coalesce('<layer docid="' || text_id || '"><spanList>' || body || '</spanList></layer>', '') AS xml FROM d LEFT JOIN b USING (text_id)""")
 def constituency_layer(spark, d):
     t = src.texts(spark, d)
-    kids = F.transform(F.array_sort(F.collect_list("tok_idx")), lambda i: F.struct(F.lit("morpho").alias("kind"), F.concat(F.lit("t_"), i.cast("string")).alias("id")))
+    kids = F.transform(F.sort_array(F.collect_list("tok_idx")), lambda i: F.struct(F.lit("morpho").alias("kind"), F.concat(F.lit("t_"), i.cast("string")).alias("id")))
     nodes = src.spans(t).groupBy("text_id", "sent_idx").agg(F.min("from").alias("from"), F.max("to").alias("to"), kids.alias("children"))
     return formats.constituency_xml(nodes.select("text_id", F.col("sent_idx").alias("span_idx"), F.concat(F.lit("s"), F.col("sent_idx").cast("string")).alias("node_id"), F.lit("S").alias("label"), "from", "to", "children"), t)

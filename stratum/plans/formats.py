@@ -10,7 +10,7 @@ from ..operators import rank
 
 
 def _joined(key: str, piece: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), piece.alias("p")))), lambda x: x["p"]), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), piece.alias("p")))), lambda x: x["p"]), "")
 
 
 def now_lines(scanned: DataFrame, value: Column) -> DataFrame:
@@ -62,7 +62,7 @@ def offset_comments(scanned: DataFrame, sentences: DataFrame) -> DataFrame:
     s = sentences.select("text_id", F.col("sent_idx").alias("sent"), F.col("to").alias("__to"))
     # the sentence's end comes to its tokens, so that a token beyond it is left out before the list is made
     w = scanned.select("text_id", "sent", "tok_idx", "from", "to").join(s, ["text_id", "sent"], "left")
-    rows = w.groupBy("text_id", "sent").agg(F.array_sort(F.collect_list(F.when(F.col("__to").isNull() | (F.col("to") <= F.col("__to")), F.struct("tok_idx", "from", "to")))).alias("ts"), F.min("from").alias("first"), F.coalesce(F.max("__to"), F.max("to")).alias("end"))
+    rows = w.groupBy("text_id", "sent").agg(F.sort_array(F.collect_list(F.when(F.col("__to").isNull() | (F.col("to") <= F.col("__to")), F.struct("tok_idx", "from", "to")))).alias("ts"), F.min("from").alias("first"), F.coalesce(F.max("__to"), F.max("to")).alias("end"))
     text = lambda k: F.array_join(F.transform("ts", lambda x: x[k].cast("string")), " ")
     return rows.select("text_id", "sent", F.concat_ws(" ", F.col("first").cast("string"), text("from")).alias("start_offsets"), F.concat_ws(" ", F.col("end").cast("string"), text("to")).alias("end_offsets"))
 

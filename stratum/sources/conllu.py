@@ -29,15 +29,20 @@ def parse(files: DataFrame, foundry: str | None = None, strict: bool = True) ->
         "file", "pos", "line", last(tag("text_id")).alias("text_id"), (F.lit(foundry) if foundry else last(tag("foundry"))).alias("foundry"),
         counter("start_offsets").alias("block"), counter("end_offsets").alias("end_block"), tag("start_offsets").alias("starts"), tag("end_offsets").alias("ends"),
     )
-    cells = F.split("line", "\t")
-    tokens = rows.filter(F.col("line").rlike(r"^[0-9]+\t") & (F.size(cells) >= 10)).withColumn("id", cells[0].cast("int"))
+    # a sentence's tokens meet its comments in one group, in the exchange by file: its numbers are split once, and found by place
+    rows = rows.withColumn("part", F.greatest("block", "end_block"))
+    is_token = F.col("line").rlike(r"^[0-9]+\t") & (F.size(F.split("line", "\t")) >= 10)
+    numbers = lambda c: F.transform(F.split(c, r"\s+"), lambda x: x.try_cast("int"))
+    comments = lambda block, c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(block).alias("b"), numbers(F.col(c)).alias("v"))))
+    held = rows.groupBy("file", "part").agg(F.collect_list(F.when(is_token, F.struct("pos", "line", "text_id", "foundry", "block", "end_block"))).alias("ts"), comments("block", "starts").alias("ss"), comments("end_block", "ends").alias("es"))
+    number = lambda list_, block, i: F.get(F.get(F.filter(list_, lambda x: x["b"] == block), F.lit(0))["v"], i)
 
-    def numbers(c: str, block: str, name: str) -> DataFrame:
-        """A comment's numbers as rows: a token that carried its sentence's comment would cost the square of its length."""
-        each = rows.filter(F.col(c).isNotNull()).select("file", block, F.posexplode(F.split(c, r"\s+")).alias("id", "v"))
-        return each.select("file", block, "id", F.col("v").try_cast("int").alias(name))
+    def placed(t):
+        i = F.substring_index(t["line"], "\t", 1).cast("int")
+        return F.struct(t["line"].alias("line"), t["text_id"].alias("text_id"), t["foundry"].alias("foundry"), t["block"].alias("block"), i.alias("id"), number("ss", t["block"], i).alias("from"), number("es", t["end_block"], i).alias("to"))
 
-    tokens = tokens.join(numbers("starts", "block", "from"), ["file", "block", "id"], "left").join(numbers("ends", "end_block", "to"), ["file", "end_block", "id"], "left")
+    tokens = held.select("file", F.inline(F.transform("ts", placed)))
+    cells = F.split("line", "\t")
     empty = lambda c: F.when(c != "_", c)
     sent = F.dense_rank().over(Window.partitionBy("file", "text_id").orderBy("block")) - 1
     out = tokens.select("text_id", "foundry", sent.alias("sent_idx"), "id", *[(cells[i + 1] if c == "form" else empty(cells[i + 1])).alias(c) for i, c in enumerate(COLUMNS)], "from", "to")

@@ -6,11 +6,11 @@ lengths, one window per text; all later windows use the same key, so the shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIECE = r"[ \t\n\r\f]+|[\p{L}\p{M}\p{N}_]+|[^ \t\n\r\f\p{L}\p{M}\p{N}_]"
-SPACE = r"^[ \t\n\r\f]"
+SPACE = " \t\n\r\f"
 #: Months of the made-up text ids, by doc_id modulo 12.
 MONTHS = ["JAN", "FEB", "MRZ", "APR", "MAI", "JUN", "JUL", "AUG", "SEP", "OKT", "NOV", "DEZ"]
 
@@ -33,12 +33,20 @@ def pieces(texts: DataFrame) -> DataFrame:
 
 
 def spans(texts: DataFrame) -> DataFrame:
-    """(text_id, tok_idx, from, to, surface, sent_idx): tokens with the sentence each lies in."""
+    """(text_id, tok_idx, from, to, surface, sent_idx): tokens with the sentence each lies in.
+
+    All windows have one partitioning and one order, so the pieces are exchanged and sorted once."""
     by_pos = Window.partitionBy("text_id").orderBy("pos")
-    closes = F.col("piece").isin(".", "!", "?") | (F.col("piece").rlike(SPACE) & F.col("piece").contains("\n"))
+    closes = F.col("piece").isin(".", "!", "?") | (_space("piece") & F.col("piece").contains("\n"))
     rows = pieces(texts).withColumn("part", F.coalesce(F.sum(closes.cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    tokens = rows.filter(~F.col("piece").rlike(SPACE))
-    return tokens.select("text_id", (F.row_number().over(by_pos) - 1).alias("tok_idx"), "from", "to", F.col("piece").alias("surface"), (F.dense_rank().over(Window.partitionBy("text_id").orderBy("part")) - 1).alias("sent_idx"))
+    tokens = rows.filter(~_space("piece")).withColumns({"tok_idx": F.row_number().over(by_pos) - 1, "__before": F.lag("part").over(by_pos)})
+    sent = F.sum((F.col("part") != F.col("__before")).cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
+    return tokens.select("text_id", "tok_idx", "from", "to", F.col("piece").alias("surface"), F.coalesce(sent, F.lit(0)).cast("int").alias("sent_idx"))
+
+
+def _space(piece: str) -> Column:
+    """Whether a piece is white space: its first character tells."""
+    return F.substring(piece, 1, 1).isin(*SPACE)
 
 
 def tokens(texts: DataFrame) -> DataFrame:

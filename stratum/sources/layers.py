@@ -33,7 +33,7 @@ def data(rows: DataFrame) -> DataFrame:
 def tokens(rows: DataFrame) -> DataFrame:
     """(text_id, tok_idx, from, to); spans whose offsets aren't numbers are skipped."""
     s = _spans(rows)
-    return s.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_idx", "from", "to"))), lambda x, i: F.struct(i.alias("tok_idx"), x["from"].alias("from"), x["to"].alias("to"))).alias("ts")).select("text_id", F.inline("ts"))
+    return s.groupBy("text_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("span_idx", "from", "to"))), lambda x, i: F.struct(i.alias("tok_idx"), x["from"].alias("from"), x["to"].alias("to"))).alias("ts")).select("text_id", F.inline("ts"))
 
 
 def sentences(rows: DataFrame) -> DataFrame:
