@@ -501,11 +501,57 @@ def test_one_odd_label_does_not_set_the_limit(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version of it on what the stage before kept."""
     names = spark.read.parquet(f"{DATA}/documents.parquet").columns
-    docs, before = spark.read.parquet(f"{DATA}/documents.parquet"), None
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, DATA)
+    docs, held = spark.read.parquet(f"{DATA}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, DATA), "stage")
         assert docs.columns == names
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()} == ids
-    assert before is None and not docs.filter(F.col("text").rlike(r"[a-z]@[a-z0-9]+\.")).count()
+        held.append({r.doc_id: r for r in docs.collect()})
+    good, once, apart, masked = held
+    verdicts = {r.doc_id for r in QUERIES["op8_quality_classifier"](spark, DATA).filter("kept").collect()}
+    assert set(good) == verdicts
+    last = {}
+    for i in sorted(good):
+        last[good[i].text or ""] = i
+    assert set(once) == set(last.values())
+    texts = {i: (r.text or "").encode().lower().split() for i, r in once.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in texts.items()}
+    ids = sorted(sets)
+    near = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for k, i in enumerate(ids) for j in ids[:k] if sets[i] & sets[j]]
+    sure, never = (classes(len(ids), [(ids.index(i), ids.index(j)) for i, j, s in near if s >= t]) for t in (0.84, 0.76))
+    assert {ids[x] for x in set(never)} <= set(apart) <= {ids[x] for x in set(sure)}  # between the two the estimate decides
+    for r in pii.report(spark.createDataFrame([(i, r.text) for i, r in apart.items()], "doc_id long, text string")).collect():
+        t, out, at = apart[r.doc_id].text or "", "", 0
+        for start, end, kind in sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0].upper()) for x in r.spans.split(",") if x):
+            if start >= at:
+                out += t[at:start] + f"[{kind}]"
+            at = max(at, end)
+        out += t[at:]
+        assert (masked[r.doc_id].text or "") == out and masked[r.doc_id].n_chars == len(out)
+    lib = encoder("word_bpe_49k.json").tokenizer
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, DATA).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(masked)
+    for i, rs in pieces.items():
+        tokens, at = np.array(lib.encode(masked[i].text or "", add_special_tokens=False).ids + [2], "<u4"), 0
+        for r in sorted(rs, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(tokens[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(tokens)
+    assert not any(re.search(r"[a-z]@[a-z0-9]+\.", r.text or "") for r in masked.values())
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, repeated rows, long texts and columns whose names the operators use; and a table without rows."""
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, 0, 1), (None, 1, 0), (900, None, None)], "doc_id long, quality int, toxic int")
+    for name, rows in (("odd", odd), ("empty", empty)):
+        rows.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, f"file://{tmp_path}/{name}"), "stage")
+            assert docs.columns == odd.columns
+        found = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in found} == {r.doc_id for r in docs.collect()} and bool(found) == (name == "odd")
