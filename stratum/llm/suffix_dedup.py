@@ -56,9 +56,9 @@ class Unit:
 LENGTH, PASSAGE = 400, 51
 BYTES, WORDS = Unit(False, LENGTH, 32, 100, 40), Unit(True, PASSAGE, 8, 17, 5)
 #: Items of text that anchors are sought in at once, and of segments compared at once and in one shard.
-PIECE, GROUP, SHARD = 1 << 20, 1 << 20, 1 << 18
-#: Rows whose lists are Python objects at once.
-ROWS = 512
+PIECE, GROUP, SHARD = 1 << 18, 1 << 19, 1 << 17
+#: Rows whose lists are Python objects at once, and bytes of text that words are told apart in.
+ROWS, STEP_BYTES = 512, 1 << 22
 #: Different segments of one anchor beyond which their strings are dealt out by digest.
 HOT = 3000
 LOWEST = -(1 << 63)
@@ -195,7 +195,7 @@ def _find_runs(unit: Unit):
             if not unit.words:
                 yield from found(ids, same, *_raw(texts))
                 continue
-            for i, j in steps(texts):
+            for i, j in steps(texts, STEP_BYTES):
                 yield from found(ids[i:j], same[i:j], *_word_values(texts.slice(i, j - i)))
 
     def found(ids, same, data, offsets):
