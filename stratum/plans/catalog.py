@@ -491,18 +491,13 @@ def merge_foundry(spark, d):
     return _digest(merge.read_documents(_merged(spark, d, spans, docs)))
 
 
-@query(f"WITH {TOK} SELECT text_id, true AS unchanged, true AS as_made_anew FROM tok GROUP BY text_id")
+@query(f"WITH {TOK} SELECT text_id, true AS unchanged FROM tok GROUP BY text_id")
 def merge_twice(spark, d):
-    """The same update once more changes nothing, and its documents are those that the new annotation gives at once, byte for byte."""
+    """The same update once more changes nothing, byte for byte."""
     spans = _spans(spark, d)
-    rows = materialize(_index_rows(spans), "annotations")
-    once = materialize(_merged(spark, d, spans, _documents(spark, d, spans, rows, src.rule_foundry(spans))), "merged")
+    once = materialize(_merged(spark, d, spans, _documents(spark, d, spans, _index_rows(spans), src.rule_foundry(spans))), "merged")
     twice = _merged(spark, d, spans, once).select("name", F.col("json").alias("twice"))
-    none = F.lit(None).cast("string")
-    only = src.rule_foundry(spans).select("text_id", "foundry", "from", "to", *[none.alias(c) for c in ("lemma", "upos", "feats", "misc")], F.lit("NEW").alias("xpos"))
-    anew = _documents(spark, d, spans, index.patch_foundries(rows, _new_tags(spans)), only).select("name", F.col("json").alias("anew"))
-    both = once.join(twice, "name").join(anew, "name")
-    return both.select(merge.text_id_of(F.lit(None).cast("string"), F.col("name")).alias("text_id"), (F.col("json") == F.col("twice")).alias("unchanged"), (F.col("json") == F.col("anew")).alias("as_made_anew"))
+    return once.join(twice, "name").select(merge.text_id_of(F.lit(None).cast("string"), F.col("name")).alias("text_id"), (F.col("json") == F.col("twice")).alias("unchanged"))
 
 
 @query(f"""WITH {D}, {_FIELDS}, n AS (SELECT text_id, doc_id % 2 = 0 AS own FROM d),
