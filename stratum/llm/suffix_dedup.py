@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize, skew_safe_join, text_of
+from .shared import discard, documents, materialize, skew_safe_join, text_of
 from .tokens import spread, steps
 
 
@@ -409,9 +409,10 @@ def _cut(unit: Unit):
 def spans(keyed: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """(id, same, lo, hi) of stretches of repeated strings, in any order, overlapping or not; in items of the text."""
     found = materialize(keyed.filter(F.octet_length("t") >= unit.length * (2 if unit.words else 1) - 1).mapInArrow(_find_runs(unit), _RUN), "runs")
-    known, own = found.filter("seg IS NULL").select(*_PLACE), found.filter("seg IS NOT NULL")
+    known, own = materialize(found.filter("seg IS NULL").select(*_PLACE), "known-runs"), found.filter("seg IS NOT NULL")
     keys = own.groupBy("key").agg(F.sum("n").alias("k"), F.count(F.lit(1)).alias("rows")).filter("k > 1").select("key", "rows")
     held = materialize(skew_safe_join(own, keys, "key", "rows", found.count()).drop("rows"), "repeated-runs")
+    discard(found)  # most runs' anchors occur once
     segments = materialize(held.groupBy("seg").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "same", "lo", "hi", "key", "at")).alias("f")).select("seg", "n", "rows", "f.*"), "segments")
     whole = skew_safe_join(held.select("seg", *_PLACE), segments.filter("n > 1").select("seg", "rows"), "seg", "rows", held.count()).select(*_PLACE)
     many = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
