@@ -236,12 +236,17 @@ def attribute_annotation(key: Column, value: Column, depth: Column, token_to: Co
     return F.concat(F.lit(f"@:{prefix}:"), body, F.lit("$<b>17<s>"), depth.cast("string"), F.lit("<i>"), token_to.cast("string"))
 
 
-def fields(texts: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
-    """(text_id, pos, key, type, value): sigles first, then given fields in order; blanks are left out."""
+def field_list(values: dict[str, tuple[str, Column]]) -> Column:
+    """A text's fields as a list of (pos, key, type, value), see ``fields``."""
     part = F.split(sigle(F.col("text_id")), "/")
     fixed = {"corpusSigle": ("type:string", part[0]), "docSigle": ("type:string", F.concat_ws("/", part[0], part[1])), "textSigle": ("type:string", sigle(F.col("text_id")))}
     entries = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("key"), F.lit(t).alias("type"), v.cast("string").alias("value")) for i, (k, (t, v)) in enumerate({**fixed, **values}.items())])
-    return texts.select("text_id", F.explode(F.filter(entries, lambda x: x["value"].isNotNull() & (F.trim(x["value"]) != ""))).alias("f")).select("text_id", "f.*")
+    return F.filter(entries, lambda x: x["value"].isNotNull() & (F.trim(x["value"]) != ""))
+
+
+def fields(texts: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(text_id, pos, key, type, value): sigles first, then given fields in order; blanks are left out."""
+    return texts.select("text_id", F.explode(field_list(values)).alias("f")).select("text_id", "f.*")
 
 
 #: Header fields in the order of a document, each with its type. ``link``: an address with a title, ``data``: a value in a data
@@ -316,6 +321,12 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), escape_json(c), F.lit('"'))
 
 
+def fields_json(fields: Column) -> Column:
+    """The JSON of a ``field_list``, without brackets; null if it is empty."""
+    one = lambda f: F.concat(F.lit('{"@type":"field","type":'), _quoted(f["type"]), F.lit(',"key":'), _quoted(f["key"]), F.lit(',"value":'), _quoted(f["value"]), F.lit("}"))
+    return F.when(F.size(fields) > 0, F.array_join(F.transform(fields, one), ","))
+
+
 def field_json(values: bool) -> Column:
     """A field as JSON, of the columns key, type, value and, with ``values``, values."""
     listed = lambda: F.concat(F.lit("["), F.array_join(F.transform("values", _quoted), ","), F.lit("]"))

@@ -29,6 +29,14 @@ def text_id_of(textsigle: Column, name: Column | None = None) -> Column:
     return F.coalesce(of_sigle, of_name)
 
 
+def text_id(textsigle: str | None) -> str | None:
+    """As ``text_id_of``, of a string."""
+    if textsigle is None:
+        return None
+    part = textsigle.split("/", 2)
+    return f"{part[0]}_{part[1]}.{part[2]}" if len(part) == 3 else textsigle.replace("/", "_")
+
+
 def read_documents(docs: DataFrame) -> DataFrame:
     """(text_id, fields, data, json) and the other columns of ``docs`` (json, and name where there is one)."""
     rows = docs.withColumn("__d", F.from_json("json", _DOCUMENT))
