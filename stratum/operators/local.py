@@ -8,6 +8,7 @@ codes. Each row is a text of its own; layers that lie elsewhere are joined by th
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -211,14 +212,11 @@ def taken(values: pa.Array, at: np.ndarray, default: str | None = None) -> pa.Ar
     return out if default is None else pc.fill_null(out, default)
 
 
-def _rows(layer: Layer, columns: tuple[str, ...]) -> Iterator[tuple]:
-    n = len(next(iter(layer.cells.values())))
-    return zip(*((layer.cells[c] if c in layer.cells else pa.nulls(n, pa.string())).to_pylist() for c in columns))
-
-
 def made(layer: Layer, make: Callable, *columns: str) -> list:
     """``make`` of each distinct reading."""
-    return [make(*x) for x in _rows(layer, columns)]
+    n = len(next(iter(layer.cells.values())))
+    given = [c in layer.cells and layer.cells[c].null_count < n for c in columns]
+    return list(map(make, *(layer.cells[c].to_pylist() if some else itertools.repeat(None, n) for c, some in zip(columns, given))))
 
 
 # --- readings, as in ``rank`` ---------------------------------------------------------------------------------------

@@ -130,7 +130,7 @@ def readings(t: Tokens, m: Layer) -> list[Source]:
     at = local.find(m, t)
     if pre is None or not (at >= 0).any():
         return []
-    lists = local.made(m, lambda *x: _values(m.foundry, *x), "lemma", "upos", "xpos", "feats", "misc", *index.EXTRA)
+    lists = local.made(m, functools.partial(_values, m.foundry), "lemma", "upos", "xpos", "feats", "misc", *index.EXTRA)
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     token, code = at[at >= 0], m.code[at >= 0]
     n = size[code]
@@ -233,7 +233,13 @@ def quoted(a: pa.Array) -> pa.Array:
     """JSON strings."""
     odd = pc.match_substring_regex(a, '["\\\\\\x00-\\x1f]')
     if pc.any(odd).as_py():
-        a = pc.replace_with_mask(a, odd, pa.array([x.translate(_JSON) for x in a.filter(odd).to_pylist()], pa.string()))
+        some = a.filter(odd)
+        if pc.any(pc.match_substring_regex(some, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]")).as_py():
+            some = pa.array([x.translate(_JSON) for x in some.to_pylist()], pa.string())
+        else:
+            for char in '\\"\n\r\t':
+                some = pc.replace_substring(some, char, _JSON[ord(char)])
+        a = pc.replace_with_mask(a, odd, some)
     return glue('"', a, '"')
 
 
