@@ -168,9 +168,11 @@ def alt_foundry(t: Tokens) -> Layer:
     """As ``documents.alt_foundry``: two readings on each third token."""
     w = t.words
     third = (t.idx % 3 == 0) & pc.not_equal(w, "|").to_numpy(zero_copy_only=False)[t.code] if len(w) else np.zeros(0, bool)
+    used, code = np.unique(t.code[third], return_inverse=True)
+    w = w.take(pa.array(used))
     even, low, none = pc.equal(pc.bit_wise_and(pc.utf8_length(w), 1), 0), pc.utf8_lower(w), pa.nulls(len(w), pa.string())
     cells = {"lemma": glue(low, "|", low, pc.if_else(even, "", "x")), "upos": none, "xpos": pa.repeat("ADV|KON", len(w)), "feats": none, "misc": pc.if_else(even, "0.784759|0.215241", "0.2|0.8")}
-    return Layer(t.text[third], t.start[third], t.end[third], "alt", t.code[third], cells)
+    return Layer(t.text[third], t.start[third], t.end[third], "alt", code, cells)
 
 
 def dependencies(t: Tokens) -> Relations:
